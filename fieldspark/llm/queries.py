@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this subpackage
 MODULES = {
+    "op4_quality": "quality",
+    "op6_pii": "pii",
+    "op9_html": "html",
     "op10_bpe": "bpe",
 }
 
