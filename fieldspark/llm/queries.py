@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op4_quality": "quality",
     "op6_pii": "pii",
+    "op7_jaccard": "jaccard",
     "op8_substrings": "substring",
     "op9_html": "html",
     "op10_bpe": "bpe",
