@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module of this subpackage
 MODULES = {
     "op4_quality": "quality",
+    "op5_language_model": "hpy",
     "op6_pii": "pii",
     "op7_jaccard": "jaccard",
     "op8_substrings": "substring",
