@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_spotsigs": "spotsigs",
     "op2_decontaminate": "decontaminate",
+    "op3_licenses": "licenses",
     "op4_quality": "quality",
     "op5_language_model": "hpy",
     "op6_pii": "pii",
