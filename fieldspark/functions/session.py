@@ -7,9 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A frame written to spark.checkpoint.dir and read back; where that is unset (tests), to a folder of this process."""
-    sc = df.sparkSession.sparkContext
+def shared(spark) -> str:
+    """The folder that driver and executors share."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A frame written to the shared folder and read back; it survives lost executors."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -19,6 +19,10 @@ def brick_sizes(df: DataFrame, info: VolumeInfo) -> DataFrame:
     return df.withColumns({f"n{a}": F.least(F.lit(info.brick), F.lit(n) - F.col(f"b{a}") * info.core + 2 * info.overlap).cast("int") for a, n in zip(AXES, info.size, strict=True)})
 
 
+def _between(low: int, high: int):
+    return lambda p: (p >= low) & (p < high)
+
+
 def with_halo(df: DataFrame, info: VolumeInfo, boundary: str | None = None, halo: int | None = None) -> DataFrame:
     """Cells copied to every brick that needs them: adds bx, by, bz, the place gx, gy, gz (beyond the volume at its borders)
     and is_halo. Each axis gives the at most three bricks around a cell, and at a border the ghost places it stands for."""
@@ -33,7 +37,7 @@ def with_halo(df: DataFrame, info: VolumeInfo, boundary: str | None = None, halo
             high = F.when(cell == n - 1, F.sequence(F.lit(n), F.lit(n + w - 1))).otherwise(F.array().cast("array<int>")) if w else F.array().cast("array<int>")
             places = F.concat(here, low, high)
         else:
-            places = F.filter(F.array(cell, cell - n, cell + n), lambda p, n=n: (p >= -w) & (p < n + w))
+            places = F.filter(F.array(cell, cell - n, cell + n), _between(-w, n + w))
         df = df.withColumn(f"g{a}", F.explode(places))
         first = F.greatest(F.lit(0), F.floor((F.col(f"g{a}") - w) / info.core)).cast("int")
         last = F.least(F.lit(count - 1), F.floor((F.col(f"g{a}") + w) / info.core)).cast("int")
@@ -51,7 +55,7 @@ def pack_bricks(df: DataFrame, cols: list[str], place: tuple[str, str, str] = ("
     """A row for each brick with its extent and an array for each channel, x fastest."""
     key = F.struct(*[F.col(p).alias(f"k{k}") for k, p in enumerate(reversed(place))], *cols)
     rows = df.groupBy("t", "bx", "by", "bz").agg(F.array_sort(F.collect_list(key)).alias("cells"), *[(F.max(p) - F.min(p) + 1).cast("int").alias(f"n{a}") for a, p in zip(AXES, place, strict=True)], *[F.min(p).alias(f"o{a}") for a, p in zip(AXES, place, strict=True)])
-    return rows.select("t", "bx", "by", "bz", "nx", "ny", "nz", "ox", "oy", "oz", *[F.transform("cells", lambda s, c=c: s[c]).alias(c) for c in cols])
+    return rows.select("t", "bx", "by", "bz", "nx", "ny", "nz", "ox", "oy", "oz", *[F.col(f"cells.{c}").alias(c) for c in cols])
 
 
 def unpack_bricks(bricks: DataFrame, cols: list[str]) -> DataFrame:

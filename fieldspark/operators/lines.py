@@ -12,23 +12,25 @@ from fieldspark.functions.info import AXES, VolumeInfo, heat_map_dims
 from fieldspark.operators.bricks import DIRECTIONS, brick_neighbors
 from fieldspark.operators.select import with_region
 
-LINE = Window.partitionBy("line_id").orderBy("seq")
+
+def _line():
+    return Window.partitionBy("line_id").orderBy("seq")
 
 
 def segments(vertices: DataFrame) -> DataFrame:
     """line_id, seq and the two ends of each segment: x0..z0, x1..z1."""
-    out = vertices.select("line_id", "seq", *[F.col(a).alias(f"{a}0") for a in AXES], *[F.lead(a).over(LINE).alias(f"{a}1") for a in AXES])
+    out = vertices.select("line_id", "seq", *[F.col(a).alias(f"{a}0") for a in AXES], *[F.lead(a).over(_line()).alias(f"{a}1") for a in AXES])
     return out.where("x1 is not null")
 
 
 def step_lengths(vertices: DataFrame) -> DataFrame:
     """Adds the distance and the time from the vertex before; nulls for a line's first."""
-    d = F.sqrt(sum(((F.col(a) - F.lag(a).over(LINE)) * (F.col(a) - F.lag(a).over(LINE)) for a in AXES[1:]), (F.col("x") - F.lag("x").over(LINE)) * (F.col("x") - F.lag("x").over(LINE))))
-    return vertices.withColumn("step_length", d).withColumn("step_time", F.col("time") - F.lag("time").over(LINE))
+    d = F.sqrt(sum(((F.col(a) - F.lag(a).over(_line())) * (F.col(a) - F.lag(a).over(_line())) for a in AXES[1:]), (F.col("x") - F.lag("x").over(_line())) * (F.col("x") - F.lag("x").over(_line()))))
+    return vertices.withColumn("step_length", d).withColumn("step_time", F.col("time") - F.lag("time").over(_line()))
 
 
 def cap_lines(vertices: DataFrame, n: int) -> DataFrame:
-    return vertices.withColumn("_n", F.row_number().over(LINE)).where(F.col("_n") <= n).drop("_n")
+    return vertices.withColumn("_n", F.row_number().over(_line())).where(F.col("_n") <= n).drop("_n")
 
 
 def union_lines(*sets: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def heat_map(vertices: DataFrame, info: VolumeInfo, weight: str = "vertex", chan
     dims = dims or heat_map_dims(info)
     rows = vertices
     if weight == "segment_end":
-        first, last = F.lag("x").over(LINE).isNotNull().cast("long"), F.lead("x").over(LINE).isNotNull().cast("long")
+        first, last = F.lag("x").over(_line()).isNotNull().cast("long"), F.lead("x").over(_line()).isNotNull().cast("long")
         rows = rows.withColumn("_w", first + last)
     else:
         rows = rows.withColumn("_w", F.lit(1).cast("long"))

@@ -6,6 +6,8 @@ the border's (clamp) or wrap (periodic). Axis weights stay columns, so the whole
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +72,37 @@ def derivative_at(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel
         part = rows.groupBy("pid").agg(*[(F.sum(F.col("weight") * F.col(c)) / h).alias(f"d{c}_d{a}") for c in cols])
         out = part if out is None else out.join(part, "pid")
     return out
+
+
+def sample_by_brick(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str, cols: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
+    """sample() for wide kernels: points meet halo'd bricks, so no support cell travels by itself. Points inside the volume."""
+    from fieldspark.operators.bricks import pack_bricks, with_halo
+
+    k = KERNELS[kernel]
+    halo = k.radius + 2
+    packed = pack_bricks(with_halo(voxels, info, halo=halo), list(cols))
+    keys = ["t", "bx", "by", "bz"]
+    own = {f"b{a}": F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(F.col(f"g{a}") / info.core))).cast("int") for a, n in zip(AXES, info.brick_count, strict=True)}
+
+    def run(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(b):
+            return pd.DataFrame({c: [] for c in ("pid", *cols)})
+        r = b.iloc[0]
+        n, origin = (r["nx"], r["ny"], r["nz"]), (r["ox"], r["oy"], r["oz"])
+        arrays = [np.asarray(r[c], float).reshape(n[::-1]) for c in cols]
+        at = p[["gx", "gy", "gz"]].to_numpy(float) - 0.5
+        base = np.floor(at)
+        weights, cells = [], []
+        for d in range(3):
+            weights.append(np.stack(k.weights(at[:, d] - base[:, d]), 1))
+            cells.append(np.clip(base[:, d].astype(int)[:, None] + np.array(k.offsets) - origin[d], 0, n[d] - 1))
+        out = {}
+        for c, a in zip(cols, arrays, strict=True):
+            total = np.zeros(len(p))
+            for i, z in enumerate(cells[2].T):
+                plane = a[z[:, None, None], cells[1][:, :, None], cells[0][:, None, :]]
+                total += weights[2][:, i] * np.einsum("nyx,ny,nx->n", plane, weights[1], weights[0])
+            out[c] = total
+        return pd.DataFrame({"pid": p["pid"].to_numpy(), **out})
+
+    return points.withColumns(own).groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInPandas(run, "pid long, " + ", ".join(f"{c} double" for c in cols))

@@ -172,12 +172,13 @@ def _run(lines: pd.DataFrame, rows: pd.DataFrame, info: VolumeInfo, p: TracePara
         inside = ((pos[done] >= lo) & ((pos[done] < hi) | (hi >= half))).all(1)
         status[done[~inside & ~outside]] = "left_brick" if hold else "moved"
     v = [np.concatenate([o[k] for o in out]) if out else np.empty((0, 3) if k in (2, 4, 5) else 0) for k in range(6)]
-    vertices = pd.DataFrame({"kind": "v", "line_id": v[0], "seq": v[1].astype(np.int64), "x": v[2][:, 0], "y": v[2][:, 1], "z": v[2][:, 2], "time": v[3], "vel_x": v[4][:, 0], "vel_y": v[4][:, 1], "vel_z": v[4][:, 2], "nrm_x": v[5][:, 0], "nrm_y": v[5][:, 1], "nrm_z": v[5][:, 2]})
-    state = pd.DataFrame({"kind": "c", "line_id": ids, "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "sx": lines["sx"].to_numpy(), "sy": lines["sy"].to_numpy(), "sz": lines["sz"].to_numpy(), "time": time, "dt": dt, "nrm_x": nrm[:, 0], "nrm_y": nrm[:, 1], "nrm_z": nrm[:, 2], "steps_total": total, "steps_accepted": took, "length": length, "status": status, "limit": lines["limit"].to_numpy()})
+    vertices = pd.DataFrame({"kind": 0, "line_id": v[0], "seq": v[1].astype(np.int64), "x": v[2][:, 0], "y": v[2][:, 1], "z": v[2][:, 2], "time": v[3], "vel_x": v[4][:, 0], "vel_y": v[4][:, 1], "vel_z": v[4][:, 2], "nrm_x": v[5][:, 0], "nrm_y": v[5][:, 1], "nrm_z": v[5][:, 2]})
+    state = pd.DataFrame({"kind": 1, "line_id": ids, "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "sx": lines["sx"].to_numpy(), "sy": lines["sy"].to_numpy(), "sz": lines["sz"].to_numpy(), "time": time, "dt": dt, "nrm_x": nrm[:, 0], "nrm_y": nrm[:, 1], "nrm_z": nrm[:, 2], "steps_total": total, "steps_accepted": took, "length": length, "code": [STATUS.index(x) for x in status], "limit": lines["limit"].to_numpy()})
     return pd.concat([vertices, state], ignore_index=True)
 
 
-_OUT = "kind string, line_id long, seq int, x double, y double, z double, time double, vel_x double, vel_y double, vel_z double, nrm_x double, nrm_y double, nrm_z double, sx double, sy double, sz double, dt double, steps_total long, steps_accepted long, length int, status string, limit double"
+_OUT = "kind int, line_id long, seq int, x double, y double, z double, time double, vel_x double, vel_y double, vel_z double, nrm_x double, nrm_y double, nrm_z double, sx double, sy double, sz double, dt double, steps_total long, steps_accepted long, length int, code int, limit double"
+STATUS = ("active", "moved", "boundary", "old", "long", "left", "slow", "left_brick", "lost")
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
@@ -203,8 +204,7 @@ def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams,
         if not len(lines):
             return pd.DataFrame({c: [] for c in _NAMES})
         if not len(rows):
-            done = lines.assign(kind="c", status="lost")
-            return done.reindex(columns=_NAMES)
+            return lines.assign(kind=1, code=STATUS.index("lost")).reindex(columns=_NAMES)
         until = (key[4] + 1) * info.dt if path and key[4] < info.nt - 2 else 1e301
         lines = lines.sort_values("line_id")
         return _run(lines, rows.sort_values("t"), info, p, np.array([int(v) for v in key[:3]]), until, hold).reindex(columns=_NAMES)
@@ -223,11 +223,12 @@ def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams,
         live = live.withColumns({f"b{a}": F.least(F.col(f"b{a}"), F.lit(n - 1)) for a, n in zip(AXES, info.brick_count, strict=True)}).withColumn("salt", F.pmod(F.xxhash64("line_id"), F.lit(p.salt)).cast("int"))
         if path:
             live = live.withColumn("tk", F.least(F.floor(F.col("time") / info.dt + 1e-9), F.lit(max(0, info.nt - 2))).cast("int"))
-        got = cut(live.groupBy(*keys).cogroup(bricks.groupBy(*keys)).applyInPandas(solve, _OUT))
-        vertices.append(got.where("kind = 'v'").select(*_VERTEX))
-        ended = got.where("kind = 'c' and status not in ('active', 'moved', 'boundary')")
+        got = cut(live.drop("status").groupBy(*keys).cogroup(bricks.groupBy(*keys)).applyInPandas(solve, _OUT))
+        got = got.withColumn("status", F.get(F.array(*[F.lit(x) for x in STATUS]), F.col("code")))
+        vertices.append(got.where("kind = 0").select(*_VERTEX))
+        ended = got.where("kind = 1 and status not in ('active', 'moved', 'boundary')")
         finals.append(ended.select(*_STATE))
-        state = got.where("kind = 'c' and status in ('active', 'moved', 'boundary')").select(*_STATE, "limit")
+        state = got.where("kind = 1 and status in ('active', 'moved', 'boundary')").select(*_STATE, "limit")
     else:
         finals.append(state.select(*_STATE))
     union = lambda parts, like: parts[0] if len(parts) == 1 else _all(parts)
