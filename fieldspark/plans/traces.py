@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fieldspark.functions import info as I
 from fieldspark.functions.session import shared
@@ -171,6 +172,8 @@ def _(s, d):
 def _stream(s, df: DataFrame, files: int) -> DataFrame:
     """A frame as a stream of Parquet files, one for each trigger."""
     at = _folder(s)
+    if "ts" in df.columns:
+        df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     df.repartitionByRange(files, *[c for c in ("ts", "seq", "t") if c in df.columns][:1]).write.parquet(at)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(at)
 
@@ -180,7 +183,7 @@ def _collect(s, df: DataFrame, keys: list[str], mode: str = "update") -> DataFra
     at = _folder(s)
     q = df.writeStream.outputMode(mode).foreachBatch(lambda b, n: b.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/batch={n}")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = s.read.schema(df.schema.add("_batch", "long")).parquet(f"{at}/out")
+    out = s.read.schema(StructType([*df.schema.fields, StructField("_batch", LongType())])).parquet(f"{at}/out")
     last = out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "_batch").alias("r"))
     return last.select(*keys, "r.*")
 
@@ -210,11 +213,12 @@ def _(s, d):
     return _collect(s, streams.stream_heat_map(_stream(s, vertices(s, d), 3), INFO, (8, 8, 8)), ["gx", "gy", "gz"])
 
 
-@query("str4_5_windowed_heat_map", f"WITH {P} SELECT time_bucket(INTERVAL 1 DAY, ts) start,CAST(trunc(px/7.01*8) AS INT) gx,count(*) cnt FROM p JOIN events ON event_id=pid GROUP BY 1,2")
+@query("str4_5_windowed_heat_map", f"WITH {P} SELECT strftime(ts, '%Y-%m-%d') "day",CAST(trunc(px/7.01*8) AS INT) gx,count(*) cnt FROM p JOIN events ON event_id=pid GROUP BY 1,2")
 def _(s, d):
     rows = table(s, d, "events").select("ts", ((F.col("event_id") % 701) / 100.0 * 16.0 / 7.01 - 8.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     out = streams.stream_heat_map(_stream(s, rows, 3), INFO, (8, 8, 8), "1 day", "30 days")
-    return _collect(s, out.select(F.col("window.start").alias("start"), "gx", "gy", "gz", "cnt"), ["start", "gx", "gy", "gz"]).select("start", "gx", "cnt")
+    done = _collect(s, out.select(F.col("window.start").alias("start"), "gx", "gy", "gz", "cnt"), ["start", "gx", "gy", "gz"])
+    return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "gx", "cnt")
 
 
 @query("trj10_progress")
