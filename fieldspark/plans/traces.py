@@ -213,12 +213,12 @@ def _(s, d):
     return _collect(s, streams.stream_heat_map(_stream(s, vertices(s, d), 3), INFO, (8, 8, 8)), ["gx", "gy", "gz"])
 
 
-@query("str4_5_windowed_heat_map", f"WITH {P} SELECT strftime(ts, '%Y-%m-%d') "day",CAST(trunc(px/7.01*8) AS INT) gx,count(*) cnt FROM p JOIN events ON event_id=pid GROUP BY 1,2")
+@query("str4_5_windowed_heat_map", f"WITH {P} SELECT strftime(ts, '%Y-%m-%d') AS ymd,CAST(trunc(px/7.01*8) AS INT) gx,count(*) cnt FROM p JOIN events ON event_id=pid GROUP BY 1,2")
 def _(s, d):
     rows = table(s, d, "events").select("ts", ((F.col("event_id") % 701) / 100.0 * 16.0 / 7.01 - 8.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     out = streams.stream_heat_map(_stream(s, rows, 3), INFO, (8, 8, 8), "1 day", "30 days")
     done = _collect(s, out.select(F.col("window.start").alias("start"), "gx", "gy", "gz", "cnt"), ["start", "gx", "gy", "gz"])
-    return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "gx", "cnt")
+    return done.select(F.date_format("start", "yyyy-MM-dd").alias("ymd"), "gx", "cnt")
 
 
 @query("trj10_progress")
