@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import tensor as T
@@ -297,17 +297,29 @@ def enrich_vertices(vertices: DataFrame, voxels: DataFrame, info: VolumeInfo, ke
 def thin_vertices(vertices: DataFrame, pos_diff: float, time_diff: float) -> DataFrame:
     """Vertices that lie far enough, in place or time, from the last one kept; first and last vertices stay."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        at, when = pdf[list(AXES)].to_numpy(float), pdf["time"].to_numpy(float)
-        keep, last = [], -1
-        for k in range(len(pdf)):
-            if last < 0 or k == len(pdf) - 1 or ((at[k] - at[last]) ** 2).sum() >= pos_diff**2 or when[k] - when[last] >= time_diff:
-                keep.append(k)
-                last = k
-        return pdf.iloc[keep]
-
-    return vertices.groupBy("line_id").applyInPandas(run, vertices.schema)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        line, last, held = None, None, None  # the line at hand, its last vertex kept, its latest vertex if not kept
+        for pdf in parts:
+            keep: list[int] = []
+            ends: list[pd.DataFrame] = []
+            ids, at, when = pdf["line_id"].tolist(), pdf[list(AXES)].to_numpy(float), pdf["time"].tolist()
+            for k in range(len(pdf)):
+                if ids[k] != line:
+                    if held is not None:
+                        ends.append(held) if isinstance(held, pd.DataFrame) else keep.append(held)
+                    line, last, held = ids[k], None, None
+                if last is None or ((at[k] - last[0]) ** 2).sum() >= pos_diff**2 or when[k] - last[1] >= time_diff:
+                    keep.append(k)
+                    last, held = (at[k], when[k]), None
+                else:
+                    held = k
+            yield pd.concat([*ends, pdf.iloc[sorted(keep)]]) if ends else pdf.iloc[sorted(keep)]
+            if held is not None and not isinstance(held, pd.DataFrame):
+                held = pdf.iloc[[held]]
+        if isinstance(held, pd.DataFrame):
+            yield held
+
+    return vertices.repartition("line_id").sortWithinPartitions("line_id", "seq").mapInPandas(run, vertices.schema)
 
 
 def euler_step(points: DataFrame, voxels: DataFrame, info: VolumeInfo, dt: float) -> DataFrame:
@@ -352,11 +364,3 @@ def flow_graph(voxels: DataFrame, info: VolumeInfo, seeds: DataFrame, dt: float,
     sides = [F.avg((F.col(f"e{a}") < F.col(f"lo_{a}")).cast("double")) for a in AXES] + [F.avg((F.col(f"e{a}") > F.col(f"hi_{a}")).cast("double")) for a in AXES]
     wide = rows.groupBy("bx", "by", "bz").agg(*[s.alias(f"d{k}") for k, s in enumerate(sides)])
     return wide.select("bx", "by", "bz", F.posexplode(F.array(*[f"d{k}" for k in range(6)])).alias("dir", "freq"))
-
-
-def line_window() -> Window:
-    return Window.partitionBy("line_id").orderBy("seq")
-
-
-def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from rows

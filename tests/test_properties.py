@@ -180,3 +180,19 @@ def test_description():
 def test_seed_function_in_sql(spark):
     seeds.register_seed_functions(spark)
     assert spark.sql("select * from grid_seeds(4, 0.0, 0.0, 0.0, 1.0, 1.0)").count() == 4
+
+
+def test_thinned_lines_by_hand(spark):
+    rows = [(i, k, 0.1 * k * (i + 1), 0.0, 0.0, float(k)) for i in range(6) for k in range(40)]
+    v = spark.createDataFrame(rows, "line_id long, seq int, x double, y double, z double, time double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = {(r.line_id, r.seq) for r in TR.thin_vertices(v, 0.75, 1e9).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for i in range(6):
+        last = None
+        for k in range(40):
+            if last is None or k == 39 or 0.1 * k * (i + 1) - last >= 0.75:
+                want.add((i, k))
+                last = 0.1 * k * (i + 1)
+    assert got == want
