@@ -5,16 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rule `[^\x20\x09-\x0D]+`.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-_ODD_SPACE = None
-MASK64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Reads one input table by Spark's own reader."""
@@ -48,30 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lower_ascii(text: str) -> str:
-    """A-Z to a-z and nothing else."""
-    if text.isascii():
-        return text.lower()
-    return text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def words(text: str | None) -> list[str]:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text, in order."""
-    if not text:
-        return []
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    # bytes.split() knows exactly the six ASCII white space characters
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+def each(column) -> Iterator:
+    """Values of an Arrow column one by one, so that a batch's texts don't lie in memory twice."""
+    for v in column:
+        yield v.as_py()
 
 
 class WordHashes:
     """64-bit hashes of byte words, kept for words seen lately (two generations, so its size is bounded)."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 60_000):
         self.young: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
         self.limit = limit

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import WordHashes, cut, mix, ngram_hashes, table
 from fieldspark.llm.components import components
-from fieldspark.llm.packed import byte_words, hash_bits, pack_hashes, pack_texts, runs, size_of, text_buckets, unpack_texts, unz, wide, z
+from fieldspark.llm.packed import byte_words, hash_bits, pack_hashes, pack_keys, pack_texts, runs, size_of, text_buckets, unpack_keys, unpack_texts, unz, wide, z
 
 WORDS, PERCENT = 5, 75
 CHUNK = 4096
+HASH_BUCKET = 16 << 20
 GROUPS = 64
 LEAF, FAN = 32, 8
 
@@ -112,21 +113,30 @@ def link_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 def frequencies(pdf: pd.DataFrame, width: int, buckets: int) -> pd.DataFrame:
     """How many documents hold each n-gram of a bucket (255 at most), back to the documents' buckets."""
     h = np.concatenate([wide(x, width) for x in pdf["hashes"]])
-    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-    df, at = np.minimum(n[inverse], 255).astype(np.uint8), 0
+    order = np.argsort(h)
+    h = h[order]
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    n = np.diff(np.r_[edge, len(h)])
+    df, at = np.empty(len(h), np.uint8), 0
+    df[order] = np.repeat(np.minimum(n, 255).astype(np.uint8), n)
+    del h, order
     out: dict[int, list[list[np.ndarray]]] = {}
-    for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
-        keys, counts = unz(k, np.uint64), unz(c, np.uint32).astype(np.int64)
+    for i, tag, c in zip(pdf["ids"], pdf["tags"], pdf["counts"], strict=True):
+        keys, ids = unpack_keys(i, tag)
+        tags, counts = np.frombuffer(tag, np.uint32), unz(c, np.uint32).astype(np.int64)
         own, at = df[at : at + counts.sum()], at + int(counts.sum())
         which = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(which, kind="stable")
         start = np.r_[0, np.cumsum(counts)]
         for s, e in runs(which[order]):
             docs = order[s:e]
-            out.setdefault(int(which[docs[0]]), []).append([keys[docs], counts[docs].astype(np.uint32), np.concatenate([own[start[d] : start[d + 1]] for d in docs])])
+            out.setdefault(int(which[docs[0]]), []).append([ids[docs], tags[docs], counts[docs].astype(np.uint32), np.concatenate([own[start[d] : start[d + 1]] for d in docs])])
     bucket = int(pdf["bucket"].iloc[0])
-    rows = [(d, bucket, *(z(np.concatenate(x)) for x in zip(*parts, strict=True))) for d, parts in out.items()]
-    return pd.DataFrame(rows, columns=["dbucket", "bucket", "keys", "counts", "dfs"])
+    rows = []
+    for d, parts in out.items():
+        ids, tags, counts, dfs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rows.append((d, bucket, *pack_keys(ids, tags), z(counts), z(dfs)))
+    return pd.DataFrame(rows, columns=["dbucket", "bucket", "ids", "tags", "counts", "dfs"])
 
 
 def aligned(dfs: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -134,7 +144,7 @@ def aligned(dfs: pd.DataFrame) -> dict[int, np.ndarray]:
     if not len(dfs):
         return {}
     dfs = dfs.sort_values("bucket")
-    keys = [unz(b, np.uint64) for b in dfs["keys"]]
+    keys = [unpack_keys(i, t)[0] for i, t in zip(dfs["ids"], dfs["tags"], strict=True)]
     bucket = np.repeat(dfs["bucket"].to_numpy(np.int64), [len(k) for k in keys])
     keys, counts = np.concatenate(keys), np.concatenate([unz(b, np.uint32) for b in dfs["counts"]]).astype(np.int64)
     values, start = np.concatenate([unz(b, np.uint8) for b in dfs["dfs"]]), np.r_[0, np.cumsum(counts)[:-1]]
@@ -166,10 +176,10 @@ def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
     total = size_of(docs)
-    bits, buckets = hash_bits(total), text_buckets(total)
-    width = min(4, 8 - bits // 8)
+    bits, buckets = hash_bits(total, HASH_BUCKET, 6), text_buckets(total)
+    width = 5 if bits < 8 else 4  # 40 bits at least, the bucket's among them
     packed = pack_hashes(docs, lambda h: (shingles(h, n), None), True, bits, width)
-    dfs = packed.groupBy("bucket").applyInPandas(lambda pdf: frequencies(pdf, width, buckets), "dbucket long, bucket long, keys binary, counts binary, dfs binary")
+    dfs = packed.groupBy("bucket").applyInPandas(lambda pdf: frequencies(pdf, width, buckets), "dbucket long, bucket long, ids binary, tags binary, counts binary, dfs binary")
     rows = pack_texts(docs, buckets).groupBy("dbucket").cogroup(dfs.groupBy("dbucket")).applyInPandas(lambda t, d: set_rows(t, d, n, percent), "doc_id long, n_shingles long, digest long, items binary, prefix array<long>")
     rows = cut(rows)
 

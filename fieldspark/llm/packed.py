@@ -16,11 +16,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import WordHashes, texts
+from fieldspark.llm.common import WordHashes, each, mix, texts
 
 #: Bytes of text a bucket of hashes, and a bucket of documents, are meant for.
 HASH_BUCKET, TEXT_BUCKET = 4 << 20, 12 << 20
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 NO_ID = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
@@ -38,20 +38,36 @@ def size_of(docs: DataFrame) -> int:
     return texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def hash_bits(total: int) -> int:
-    """Leading bits of a hash that name its bucket: 8 at least, as many as the input needs."""
-    return max(8, int(np.ceil(np.log2(max(1, total / HASH_BUCKET)))))
+def hash_bits(total: int, bucket: int = HASH_BUCKET, least: int = 8) -> int:
+    """Leading bits of a hash that name its bucket, as many as the input needs."""
+    return max(least, int(np.ceil(np.log2(max(1, total / bucket)))))
 
 
 def text_buckets(total: int) -> int:
     return max(12, int(np.ceil(total / TEXT_BUCKET)))
 
 
-def row_key(text: bytes | None, doc_id: int | None) -> int:
-    """Names a row by what it holds, so that repeated rows count as one document, and a null id does no harm."""
+def text_tag(text: bytes | None) -> int:
+    """32 bits of a text, another for null."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest((text or b"") + (b"" if text is None else b"\1"), seed=0 if doc_id is None else (doc_id * 2 + 1) & 0xFFFFFFFFFFFFFFFF)
+    return xxhash.xxh3_64_intdigest((text or b"") + (b"" if text is None else b"\1")) >> 32
+
+
+def row_keys(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Names rows by what they hold (id and text), so that repeated rows count as one document, and a null id does no harm."""
+    return (mix(ids.astype(np.int64).view(np.uint64), np.uint64(17)) & np.uint64(0xFFFFFFFF00000000)) | tags.astype(np.uint64)
+
+
+def pack_keys(ids: np.ndarray, tags: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids, which mostly ascend, as differences; tags as they are."""
+    return z(np.diff(ids, prepend=0)), np.ascontiguousarray(tags, dtype=np.uint32).tobytes()
+
+
+def unpack_keys(ids: bytes, tags: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Row keys and ids."""
+    own = np.cumsum(unz(ids, np.int64))
+    return row_keys(own, np.frombuffer(tags, np.uint32)), own
 
 
 def byte_words(text: str | None, lower: bool) -> list[bytes]:
@@ -66,7 +82,7 @@ def pack_texts(docs: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_pylist()
             items = [None if t is None else t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            keys = np.array([row_key(t, i) for t, i in zip(items, ids, strict=True)], np.uint64)
+            keys = row_keys(np.array([NO_ID if i is None else i for i in ids], np.int64), np.array([text_tag(t) for t in items], np.uint64))
             which = keys % np.uint64(buckets)
             order = np.argsort(which, kind="stable")
             out = []
@@ -98,11 +114,11 @@ def unpack_texts(pdf: pd.DataFrame) -> Iterator[tuple[int, int | None, str | Non
             yield key, (None if i == NO_ID else i), text
 
 
-PACKED_HASHES = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("starts", pa.binary())])
+PACKED_HASHES = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("tags", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("starts", pa.binary())])
 
 
 def pack_hashes(docs: DataFrame, grams: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | None]], lower: bool, bits: int, width: int) -> DataFrame:
-    """bucket, keys, ids, counts, hashes, starts: n-gram hashes of all documents by their leading bits.
+    """bucket, ids, tags, counts, hashes, starts: n-gram hashes of all documents by their leading bits.
 
     grams makes a document's hashes, and their starts if those are needed, from its words' hashes. Of each hash the `width`
     bytes after the bucket's whole bytes are kept. Within a bucket a document's hashes keep the order that grams gave them.
@@ -110,7 +126,7 @@ def pack_hashes(docs: DataFrame, grams: Callable[[np.ndarray], tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        keys, ids, parts, starts, held = [], [], [], [], 0
+        tags, ids, parts, starts, held = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             all_h = np.concatenate(parts)
@@ -119,7 +135,7 @@ def pack_hashes(docs: DataFrame, grams: Callable[[np.ndarray], tuple[np.ndarray,
             order = np.argsort(top, kind="stable")
             all_h, doc, top = all_h[order], doc[order], top[order]
             at = np.concatenate(starts)[order] if starts[0] is not None else None
-            key, ident = np.array(keys, np.uint64), np.array([NO_ID if i is None else i for i in ids], np.int64)
+            tag, ident = np.array(tags, np.uint32), np.array([NO_ID if i is None else i for i in ids], np.int64)
             drop = bits // 8
             low = all_h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, drop : drop + width]
             out = []
@@ -130,8 +146,7 @@ def pack_hashes(docs: DataFrame, grams: Callable[[np.ndarray], tuple[np.ndarray,
                 out.append(
                     {
                         "bucket": int(top[s]),
-                        "keys": z(key[who]),
-                        "ids": z(ident[who]) if at is not None else b"",
+                        **dict(zip(("ids", "tags"), pack_keys(ident[who], tag[who]), strict=True)),
                         "counts": z(np.diff(np.r_[edge, e - s]).astype(np.uint32)),
                         "hashes": np.ascontiguousarray(low[s:e]).tobytes(),
                         "starts": z(deltas(at[s:e], edge)) if at is not None else b"",
@@ -140,22 +155,22 @@ def pack_hashes(docs: DataFrame, grams: Callable[[np.ndarray], tuple[np.ndarray,
             return pa.RecordBatch.from_pylist(out, schema=PACKED_HASHES)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in zip(b.column(0).to_pylist(), each(b.column(1)), strict=True):
                 g, s = grams(hashes(byte_words(t, lower)))
                 if not len(g):
                     continue
-                keys.append(row_key(None if t is None else t.encode("utf-8", "surrogatepass"), i))
+                tags.append(text_tag(None if t is None else t.encode("utf-8", "surrogatepass")))
                 ids.append(i)
                 parts.append(g)
                 starts.append(s)
                 held += len(g)
                 if held >= FLUSH:
                     yield flush()
-                    keys, ids, parts, starts, held = [], [], [], [], 0
+                    tags, ids, parts, starts, held = [], [], [], [], 0
         if held:
             yield flush()
 
-    return texts(docs).mapInArrow(run, "bucket long, keys binary, ids binary, counts binary, hashes binary, starts binary")
+    return texts(docs).mapInArrow(run, "bucket long, ids binary, tags binary, counts binary, hashes binary, starts binary")
 
 
 def runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:

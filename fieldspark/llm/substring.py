@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldspark.llm.common import ngram_hashes, table
-from fieldspark.llm.packed import NO_ID, byte_words, hash_bits, pack_hashes, pack_texts, runs, size_of, text_buckets, undeltas, unpack_texts, unz, wide, z
+from fieldspark.llm.packed import NO_ID, byte_words, hash_bits, pack_hashes, pack_texts, runs, size_of, text_buckets, undeltas, unpack_keys, unpack_texts, unz, wide, z
 
 WINDOW = 20
 
@@ -28,10 +28,11 @@ WINDOW = 20
 def later_windows(pdf: pd.DataFrame, width: int, buckets: int) -> pd.DataFrame:
     """Of a bucket's windows those that have occurred earlier, with the first occurrence; packed by document bucket."""
     key, ids, start, h = [], [], [], []
-    for k, i, c, hs, st in zip(pdf["keys"], pdf["ids"], pdf["counts"], pdf["hashes"], pdf["starts"], strict=True):
+    for i, tag, c, hs, st in zip(pdf["ids"], pdf["tags"], pdf["counts"], pdf["hashes"], pdf["starts"], strict=True):
         n = unz(c, np.uint32)
-        key.append(np.repeat(unz(k, np.uint64), n))
-        ids.append(np.repeat(unz(i, np.int64), n))
+        own, ident = unpack_keys(i, tag)
+        key.append(np.repeat(own, n))
+        ids.append(np.repeat(ident, n))
         h.append(wide(hs, width))
         start.append(undeltas(unz(st, np.uint32), n))
     h = np.concatenate(h)
