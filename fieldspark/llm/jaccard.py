@@ -30,6 +30,15 @@ WORDS, PERCENT = 5, 75
 CHUNK = 4096
 HASH_BUCKET = 16 << 20
 GROUPS = 64
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT doc_id node, doc_id r FROM w UNION SELECT b, r FROM reach JOIN link ON a = node)
+SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) n_shingles, CAST(min(r) AS BIGINT) component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON node = w.doc_id GROUP BY 1
+"""
 LEAF, FAN = 32, 8
 
 

@@ -23,6 +23,14 @@ from fieldspark.llm.common import ngram_hashes, table
 from fieldspark.llm.packed import NO_ID, byte_words, hash_bits, pack_hashes, pack_texts, runs, size_of, text_buckets, undeltas, unpack_keys, unpack_texts, unz, wide, z
 
 WINDOW = 20
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+g AS (SELECT doc_id, s, array_to_string(list_slice(ws, s, s + 19), ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) s FROM w WHERE len(ws) >= 20)),
+late AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) r FROM g) WHERE r > 1),
+cut AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) p FROM late),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) t, count(*) n FROM (SELECT doc_id, unnest(ws) word, unnest(range(1, len(ws) + 1)) p FROM w) x ANTI JOIN cut ON cut.doc_id = x.doc_id AND cut.p = x.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
 
 
 def later_windows(pdf: pd.DataFrame, width: int, buckets: int) -> pd.DataFrame:
