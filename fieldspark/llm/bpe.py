@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm.common import table, texts
+from fieldspark.llm.common import each, table, texts
 
 #: A leaf is rank << 24 | place; NONE is above all.
 NONE, PLACE = 1 << 60, (1 << 24) - 1
@@ -59,7 +59,7 @@ class RankTree:
 class Bpe:
     """A vocabulary file of the tokenizers library with byte-level pieces and word ends."""
 
-    def __init__(self, path: str, cache: int = 120_000):
+    def __init__(self, path: str, cache: int = 100_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -82,6 +82,10 @@ class Bpe:
         self.young_pieces: dict[str, list[int]] = {}
         self.old_pieces: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Drops what is kept of chunks and pieces: the worker's next task may be of another kind."""
+        self.young, self.old, self.young_pieces, self.old_pieces = {}, {}, {}, {}
+
     def merge(self, symbols: list[int]) -> list[int]:
         """All merges of one piece, over symbols' ids."""
         n = len(symbols)
@@ -200,7 +204,7 @@ def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
         bpe = load(path)
         for b in batches:
             n, ids, dec = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in each(b.column(1)):
                 i, d, k = bpe.encode(t)
                 n.append(k)
                 if not with_text:
@@ -208,6 +212,7 @@ def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
                 ids.append(i)
                 dec.append(d)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", *names])
+        bpe.forget()
 
     return texts(docs).mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")
 

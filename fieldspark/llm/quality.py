@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import table, texts
+from fieldspark.llm.common import each, table, texts
 
 BITS = 18
 TRAIN_ROWS = 12_000
@@ -34,7 +34,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 class Features:
     """Hashed n-gram indices of texts; the token hashes of recent chunks are kept, in two generations."""
 
-    def __init__(self, bits: int = BITS, limit: int = 150_000):
+    def __init__(self, bits: int = BITS, limit: int = 60_000):
         self.mask, self.limit = np.uint64((1 << bits) - 1), limit
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -120,7 +120,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         w, f = held.value, Features(bits)
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for t in each(b.column(1)):
                 i, v = scaled(f(t))
                 out.append(float(1 / (1 + np.exp(-np.clip(w[i] @ v + w[-1], -35, 35)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
@@ -154,7 +154,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         w, f = held.value, Features(bits)
         for b in batches:
             keep = []
-            for t in b.column(at).to_pylist():
+            for t in each(b.column(at)):
                 i, v = scaled(f(t))
                 keep.append(bool(1 / (1 + np.exp(-np.clip(w[i] @ v + w[-1], -35, 35))) >= THRESHOLD))
             yield b.filter(pa.array(keep, pa.bool_()))
