@@ -46,7 +46,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def rr(x: str, name: str | None = None) -> str:
-    return f"floor(({x})*1e6+0.5)/1e6+0.0" + (f" AS {name}" if name else "")
+    return f"floor(({x})*1e6+0.5001)/1e6+0.0" + (f" AS {name}" if name else "")
 
 
 G = """raw AS (SELECT CAST(l_linenumber % 2 AS INT) t, CAST(l_orderkey % 8 AS INT) x, CAST(l_partkey % 8 AS INT) y, CAST(l_suppkey % 8 AS INT) z,
