@@ -6,8 +6,12 @@ documents are hash-joined; matches of a document and an item are gathered by ali
 In an alignment the slots must be consistent: each value of the item's slots stands for one value of the document's. Such an
 alignment is a leak if it has MATCHES templates or SHARE of the item's.
 
-Items with fewer than WINDOW words are one template of their own length, down to LEAST words; shorter ones, null texts and
-items without an id are never found. Templates with fewer than SOLID plain words are passed over. Repeated items and repeated documents give one
+The first word of a text is never a placeholder, but may be one where a document quotes the text within a sentence; so a
+document's templates that begin with a name or unit are also put with that word as it is.
+
+Items with fewer than WINDOW words are one template of their own length. Templates with fewer than SOLID plain words are
+passed over and not counted. Items that have no other templates, or fewer than LEAST words, are leaked where all their words
+follow each other as they are. Null texts, texts without words and items without an id are never found. Repeated items and repeated documents give one
 row for each pair of ids; a null document id finds nothing. The item side is broadcast up to BROADCAST templates and
 shuffled beyond.
 """
@@ -41,43 +45,69 @@ def canonical(text: Column) -> tuple[Column, Column]:
     return pick(F.when(has, plain).otherwise(text)), pick(F.lower(F.when(has, numbered).otherwise(named)))
 
 
-def templates(rows: DataFrame, size: Column, words: str = "canon") -> DataFrame:
-    """rows with (at, template) of every run of `size` words."""
+def _starts(words: Column, size: Column) -> Column:
+    """Places at which a run of `size` words begins."""
     n = F.size(words)
-    starts = F.when((size > 0) & (n >= size), F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i + 1, size)))
-    return rows.select(*[c for c in rows.columns if c != words], F.posexplode(hashed).alias("at", "template"))
+    return F.when((size > 0) & (n >= size), F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+
+
+def _run(words: Column, size: Column):
+    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, size)).alias("template"))
+
+
+def _run_from(own: Column, canon: Column, size: Column):
+    """A run whose first word is as it is."""
+    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.concat(F.array(F.lower(F.get(own, i))), F.slice(canon, i + 2, size - 1))).alias("template"))
+
+
+def templates(rows: DataFrame, canonical_sizes: list[int], plain_sizes: list[int]) -> DataFrame:
+    """rows without (words, canon), with (at, template) of every run of those sizes of canonical, and of plain, words."""
+    own, canon = F.col("words"), F.col("canon")
+    found = []
+    for n in canonical_sizes:
+        starts = _starts(canon, F.lit(n))
+        found.append(F.transform(starts, _run(canon, F.lit(n))))
+        masked = F.filter(starts, lambda i: F.get(canon, i).isin(NAME, UNIT))
+        found.append(F.transform(masked, _run_from(own, canon, F.lit(n))))
+    for n in plain_sizes:
+        plain = F.transform(own, lambda w: F.lower(w))
+        found.append(F.transform(_starts(own, F.lit(n)), _run(plain, F.lit(n))))
+    return rows.select(*[c for c in rows.columns if c not in ("words", "canon")], F.inline(F.concat(*found)))
 
 
 def item_templates(items: DataFrame, window: int) -> DataFrame:
-    """item_id, size, item_at, template, item_words, item_canon, n_templates: one row for each template of an item."""
+    """item_id, size, exact, item_at, template, item_words, item_canon, n_templates: one row for each template of an item.
+
+    exact: templates can't carry the item, so its runs are of plain words, and all of them are needed.
+    """
     rows = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     own, canon = canonical(F.col("text"))
-    rows = rows.select("item_id", own.alias("item_words"), canon.alias("canon")).withColumn("size", F.least(F.size("canon"), F.lit(window))).where(F.col("size") >= LEAST)
-    rows = rows.withColumn("n_templates", F.size("canon") - F.col("size") + 1).withColumn("item_canon", F.col("canon"))
-    rows = templates(rows, F.col("size")).withColumnRenamed("at", "item_at")
-    solid = F.size(F.filter(F.slice("item_canon", F.col("item_at") + 1, F.col("size")), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    return rows.where(solid >= SOLID)
+    rows = rows.select("item_id", own.alias("item_words"), canon.alias("canon")).withColumn("size", F.least(F.size("canon"), F.lit(window))).where("size > 0")
+    solid = lambda i: F.size(F.filter(F.slice("canon", i + 1, F.col("size")), lambda w: ~w.isin(NUMBER, NAME, UNIT))) >= SOLID
+    rows = rows.withColumn("solid", F.filter(_starts(F.col("canon"), F.col("size")), solid))
+    rows = rows.withColumn("exact", (F.size("canon") < LEAST) | (F.size("solid") == 0))
+    rows = rows.withColumn("item_canon", F.when(F.col("exact"), F.transform("item_words", lambda w: F.lower(w))).otherwise(F.col("canon")))
+    rows = rows.withColumn("places", F.when(F.col("exact"), _starts(F.col("item_canon"), F.col("size"))).otherwise(F.col("solid"))).withColumn("n_templates", F.size("places"))
+    runs = F.inline(F.transform("places", _run(F.col("item_canon"), F.col("size"))))
+    return rows.select("item_id", "size", "exact", "item_words", "item_canon", "n_templates", runs).withColumnRenamed("at", "item_at")
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, n_matched, n_templates, reparameterised of every leak. items has item_id, text."""
     items = cut(item_templates(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), window))
-    counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    found = None
+    counts = items.groupBy("size", "exact").agg(F.count("*").alias("n")).collect()  # at most two rows for each size up to `window`
     docs = texts(docs).where("doc_id is not null")
-    for size, n in sorted(counts.items()):
-        small = items.where(F.col("size") == size).select("template", "item_id", "item_at")
-        small = F.broadcast(small) if n <= BROADCAST else small
-        rows = docs.select("doc_id", canonical(F.col("text"))[1].alias("canon"))
-        hits = templates(rows, F.lit(size)).join(small, "template").select("doc_id", "item_id", F.lit(size).alias("size"), "at", "item_at")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    if not counts:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).alias("n_templates"), F.lit(False).alias("reparameterised")).where("false")
+    small = items.select("template", "item_id", "item_at")
+    small = F.broadcast(small) if sum(r["n"] for r in counts) <= BROADCAST else small
+    own, canon = canonical(F.col("text"))
+    rows = docs.select("doc_id", own.alias("words"), canon.alias("canon"))
+    found = templates(rows, [r["size"] for r in counts if not r["exact"]], [r["size"] for r in counts if r["exact"]]).join(small, "template")
     hits = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n_matched"), F.collect_set("item_at").alias("places"))
-    hits = hits.join(items.groupBy("item_id").agg(F.first("n_templates").alias("n_templates"), F.first("size").alias("size"), F.first("item_canon").alias("item_canon"), F.first("item_words").alias("item_words")), "item_id")
-    hits = cut(hits.where((F.col("n_matched") >= MATCHES) | (F.col("n_matched") >= SHARE * F.col("n_templates"))))
-    slotted = hits.where(F.exists("item_canon", lambda w: w.isin(NUMBER, NAME, UNIT)))
+    hits = hits.join(items.groupBy("item_id").agg(F.first("n_templates").alias("n_templates"), F.first("size").alias("size"), F.first("exact").alias("exact"), F.first("item_canon").alias("item_canon"), F.first("item_words").alias("item_words")), "item_id")
+    hits = cut(hits.where(F.when(F.col("exact"), F.col("n_matched") == F.col("n_templates")).otherwise((F.col("n_matched") >= MATCHES) | (F.col("n_matched") >= SHARE * F.col("n_templates")))))
+    slotted = hits.where(~F.col("exact")).where(F.exists("item_canon", lambda w: w.isin(NUMBER, NAME, UNIT)))
     slots = slotted.select("doc_id", "item_id", "shift", "item_words", "item_canon", F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))).alias("p"))
     slots = slots.where(F.get("item_canon", F.col("p")).isin(NUMBER, NAME, UNIT)).select("doc_id", "item_id", "shift", "p", F.lower(F.get("item_words", F.col("p"))).alias("item_value"))
     own = docs.join(slots.select("doc_id").distinct(), "doc_id").select("doc_id", canonical(F.col("text"))[0].alias("words"))

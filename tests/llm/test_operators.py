@@ -167,6 +167,15 @@ def test_leaks(spark, none):
     assert decontaminate.leaks(docs, items.where("false")).count() == 0
 
 
+def test_leaks_of_short_and_numeric_items(spark):
+    texts = {1: "What is the deepest lake?", 2: "Compute 12 + 7 + 5 + 3", 3: "2 + 2 = 4", 4: "Compute 1 + 2 + 3 + 4 + 5 + 6 + 7 + 8 + 9 + 10", 5: "Add the two numbers 3 4 5 6 7 8 9 1 2 3 4 5 6 7"}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    rows = [(k, f"some foo {t} and more") for k, t in texts.items()] + [(11, "some foo Where is the deepest lake?"), (12, "Compute 12 + 7 + 5 + 4"), (13, texts[4][:-5]), (14, "so what is the deepest lake?")]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {*((k, k) for k in texts), (14, 1)}
+    assert not any(r.reparameterised for r in found)
+
+
 def test_licenses(spark, none):
     texts = ["Intro line.\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "He lost his driving license again and the copyright of the song is old.", "", None, "plain text without any"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
