@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def text_key(text: Column) -> Column:
+    """64 bits of a text (XXH64, seed 42; 42 for null), which with the id name a row."""
+    return F.xxhash64(text.cast("string"))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs less the rows whose id and text key are in rows (doc_id, text_key); rows without an id stay."""
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(rows, (docs["doc_id"].cast("long") == F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), "left_anti").select(docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share."""
     return f"{ensure_checkpoint_dir(spark)}/fieldspark-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ document's templates that begin with a name or unit are also put with that word
 Items with fewer than WINDOW words are one template of their own length. Templates with fewer than SOLID plain words are
 passed over and not counted. Items that have no other templates, or fewer than LEAST words, are leaked where all their words
 follow each other as they are. Null texts, texts without words and items without an id are never found. Repeated items and repeated documents give one
-row for each pair of ids; a null document id finds nothing. The item side is broadcast up to BROADCAST templates and
+row for each pair of ids; a null document id finds nothing. Texts of one id are compared each by itself. The item side is broadcast up to BROADCAST templates and
 shuffled beyond.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import cut, table, texts
+from fieldspark.llm.common import cut, table, text_key, texts, without
 
 WINDOW, LEAST, SOLID = 8, 4, 3
 MATCHES, SHARE = 5, 0.5
@@ -92,30 +92,39 @@ def item_templates(items: DataFrame, window: int) -> DataFrame:
     return rows.select("item_id", "size", "exact", "item_words", "item_canon", "n_templates", runs).withColumnRenamed("at", "item_at")
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, n_matched, n_templates, reparameterised of every leak. items has item_id, text."""
+def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_key, item_id, n_matched, n_templates, reparameterised of every leak. items has item_id, text."""
     items = cut(item_templates(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), window))
     counts = items.groupBy("size", "exact").agg(F.count("*").alias("n")).collect()  # at most two rows for each size up to `window`
     docs = texts(docs).where("doc_id is not null")
     if not counts:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).alias("n_templates"), F.lit(False).alias("reparameterised")).where("false")
+        return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).alias("n_templates"), F.lit(False).alias("reparameterised")).where("false")
     small = items.select("template", "item_id", "item_at")
     small = F.broadcast(small) if sum(r["n"] for r in counts) <= BROADCAST else small
     own, canon = canonical(F.col("text"))
-    rows = docs.select("doc_id", own.alias("words"), canon.alias("canon"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), own.alias("words"), canon.alias("canon"))
     found = templates(rows, [r["size"] for r in counts if not r["exact"]], [r["size"] for r in counts if r["exact"]]).join(small, "template")
-    hits = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n_matched"), F.collect_set("item_at").alias("places"))
+    hits = found.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n_matched"), F.collect_set("item_at").alias("places"))
     hits = hits.join(items.groupBy("item_id").agg(F.first("n_templates").alias("n_templates"), F.first("size").alias("size"), F.first("exact").alias("exact"), F.first("item_canon").alias("item_canon"), F.first("item_words").alias("item_words")), "item_id")
     hits = cut(hits.where(F.when(F.col("exact"), F.col("n_matched") == F.col("n_templates")).otherwise((F.col("n_matched") >= MATCHES) | (F.col("n_matched") >= SHARE * F.col("n_templates")))))
     slotted = hits.where(~F.col("exact")).where(F.exists("item_canon", lambda w: w.isin(NUMBER, NAME, UNIT)))
-    slots = slotted.select("doc_id", "item_id", "shift", "item_words", "item_canon", F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))).alias("p"))
-    slots = slots.where(F.get("item_canon", F.col("p")).isin(NUMBER, NAME, UNIT)).select("doc_id", "item_id", "shift", "p", F.lower(F.get("item_words", F.col("p"))).alias("item_value"))
-    own = docs.join(slots.select("doc_id").distinct(), "doc_id").select("doc_id", canonical(F.col("text"))[0].alias("words"))
-    values = slots.join(own, "doc_id").select("doc_id", "item_id", "shift", "item_value", F.lower(F.get("words", F.col("p") + F.col("shift"))).alias("value"))
-    values = values.groupBy("doc_id", "item_id", "shift", "item_value").agg(F.countDistinct("value").alias("n"), F.max(F.col("value") != F.col("item_value")).alias("changed"))
-    slot = values.groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("most"), F.max("changed").alias("changed"))
-    done = hits.join(slot, ["doc_id", "item_id", "shift"], "left").where("coalesce(most, 1) = 1")
-    return done.groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_templates").alias("n_templates"), F.min(F.coalesce("changed", F.lit(False))).alias("reparameterised"))
+    slots = slotted.select("doc_id", "text_key", "item_id", "shift", "item_words", "item_canon", F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))).alias("p"))
+    slots = slots.where(F.get("item_canon", F.col("p")).isin(NUMBER, NAME, UNIT)).select("doc_id", "text_key", "item_id", "shift", "p", F.lower(F.get("item_words", F.col("p"))).alias("item_value"))
+    own = docs.withColumn("text_key", text_key(F.col("text"))).join(slots.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"]).select("doc_id", "text_key", canonical(F.col("text"))[0].alias("words"))
+    values = slots.join(own, ["doc_id", "text_key"]).select("doc_id", "text_key", "item_id", "shift", "item_value", F.lower(F.get("words", F.col("p") + F.col("shift"))).alias("value"))
+    values = values.groupBy("doc_id", "text_key", "item_id", "shift", "item_value").agg(F.countDistinct("value").alias("n"), F.max(F.col("value") != F.col("item_value")).alias("changed"))
+    slot = values.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.max("n").alias("most"), F.max("changed").alias("changed"))
+    done = hits.join(slot, ["doc_id", "text_key", "item_id", "shift"], "left").where("coalesce(most, 1) = 1")
+    return _best(done.withColumn("reparameterised", F.coalesce("changed", F.lit(False))), "doc_id", "text_key", "item_id")
+
+
+def _best(found: DataFrame, *keys: str) -> DataFrame:
+    return found.groupBy(*keys).agg(F.max("n_matched").alias("n_matched"), F.max("n_templates").alias("n_templates"), F.min("reparameterised").alias("reparameterised"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, item_id, n_matched, n_templates, reparameterised of every leak. items has item_id, text."""
+    return _best(leaking_rows(docs, items, window), "doc_id", "item_id")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +133,5 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents without a leak; rows without an id stay."""
-    return docs.join(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Stage: rows (id and text) without a leak; rows without an id stay."""
+    return without(docs, leaking_rows(docs, table(spark, sf_dir, "benchmark")))

@@ -12,7 +12,7 @@ gets a tree. In a block, pairs that are already connected need no verification,
 more than CHUNK classes are dealt as pairs of chunks.
 
 Texts with fewer than n words are one n-gram; null texts and texts without words have the empty set and no links. Repeated
-rows link as any other copies. A null id is never a component's least id; a component of null ids alone has a null id.
+rows link as any other copies; rows of one id with different texts are documents of their own. A null id is never a component's least id; a component of null ids alone has a null id.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import WordHashes, cut, mix, ngram_hashes, table
+from fieldspark.llm.common import WordHashes, cut, mix, ngram_hashes, table, text_key, without
 from fieldspark.llm.components import components
 from fieldspark.llm.packed import byte_words, hash_bits, pack_hashes, pack_keys, pack_texts, runs, size_of, text_buckets, unpack_keys, unpack_texts, unz, wide, z
 
@@ -171,25 +171,26 @@ def set_rows(texts_: pd.DataFrame, dfs: pd.DataFrame, n: int, percent: int) -> p
     known, hashes, out = aligned(dfs), WordHashes(), []
     for key, i, t in unpack_texts(texts_):
         g = shingles(hashes(byte_words(t, True)), n)
-        row = [i, len(g), None, None, None]
+        own = 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
+        row = [i, len(g), None, None, None, own]
         if len(g):
             df = known[key]
             if 100 * int((df > 1).sum()) >= percent * len(g):
                 rare = np.lexsort((g, df))[: len(g) - -(-percent * len(g) // 100) + 1]
-                row[2:] = np.int64(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).view(np.int64)), g.tobytes(), g[rare[df[rare] > 1]].view(np.int64)
+                row[2:5] = np.int64(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).view(np.int64)), g.tobytes(), g[rare[df[rare] > 1]].view(np.int64)
         out.append(row)
-    return pd.DataFrame({"doc_id": pd.array([r[0] for r in out], "Int64"), "n_shingles": [r[1] for r in out], "digest": pd.array([r[2] for r in out], "Int64"), "items": [r[3] for r in out], "prefix": [r[4] for r in out]})
+    return pd.DataFrame({"doc_id": pd.array([r[0] for r in out], "Int64"), "n_shingles": [r[1] for r in out], "digest": pd.array([r[2] for r in out], "Int64"), "items": [r[3] for r in out], "prefix": [r[4] for r in out], "text_key": [r[5] for r in out]})
 
 
-def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def link_rows(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key, n_shingles, least (doc_id and text_key of the first row of the component) of every row of docs."""
     spark = docs.sparkSession
     total = size_of(docs)
     bits, buckets = hash_bits(total, HASH_BUCKET, 6), text_buckets(total)
     width = 5 if bits < 8 else 4  # 40 bits at least, the bucket's among them
     packed = pack_hashes(docs, lambda h: (shingles(h, n), None), True, bits, width)
     dfs = packed.groupBy("bucket").applyInPandas(lambda pdf: frequencies(pdf, width, buckets), "dbucket long, bucket long, ids binary, tags binary, counts binary, dfs binary")
-    rows = pack_texts(docs, buckets).groupBy("dbucket").cogroup(dfs.groupBy("dbucket")).applyInPandas(lambda t, d: set_rows(t, d, n, percent), "doc_id long, n_shingles long, digest long, items binary, prefix array<long>")
+    rows = pack_texts(docs, buckets).groupBy("dbucket").cogroup(dfs.groupBy("dbucket")).applyInPandas(lambda t, d: set_rows(t, d, n, percent), "doc_id long, n_shingles long, digest long, items binary, prefix array<long>, text_key long")
     rows = cut(rows)
 
     some = rows.where("digest is not null")
@@ -216,11 +217,16 @@ def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
     edges = sets.groupBy("deal").applyInPandas(join, "a long, b long").where("a <> b")
     comps = components(edges)
-    every = rows.select("doc_id", "n_shingles", "digest").join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    every = rows.select("doc_id", "text_key", "n_shingles", "digest").join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     linked = every.where("comp is not null")
-    least = linked.groupBy("comp").agg(F.min("doc_id").alias("least"))
-    linked = linked.join(least, "comp").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    return linked.unionByName(rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    least = linked.groupBy("comp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
+    linked = linked.join(least, "comp").select("doc_id", "text_key", "n_shingles", "least")
+    return linked.unionByName(rows.where("digest is null").select("doc_id", "text_key", "n_shingles", F.struct("doc_id", "text_key").alias("least")))
+
+
+def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    return link_rows(docs, n, percent).select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,8 +235,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: one document of each component, the one with the least id; rows without an id all stay."""
-    drop = link(docs).where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Stage: one row of each component, the one with the least id (of one id, the least text key); rows without an id all stay.
+
+    A row is named by id and text: an id's other texts stay unless they are near copies themselves.
+    """
+    kept = without(docs, link_rows(docs).where("doc_id is not null and (doc_id <> least.doc_id or text_key <> least.text_key)"))
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")) if twice else kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null")) if twice else kept

@@ -104,6 +104,20 @@ def test_one_document_of_each_group_stays(spark, docs, rows):
     assert kept.count(None) == 2
 
 
+def test_texts_of_one_id_are_apart(spark, tmp_path):
+    r = random.Random(7)
+    base, other, free = prose(r, 60), prose(r, 60), prose(r, 60)
+    rows = [(1, base), (2, base + " more"), (2, other), (3, free), (3, "é short"), (3, free)]
+    kept = jaccard.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, kept)) == sorted({(1, base), (2, other), (3, free), (3, "é short")})
+
+    item = "We know that John has 12 apples and gives 5 km of them to Mary before he goes home"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = spark.createDataFrame([(4, item), (4, " ".join(f"w{k}" for k in range(30))), (5, "clean")], "doc_id long, text string")
+    assert {(x.doc_id, x.reparameterised) for x in decontaminate.leaks(texts, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} == {(4, False)}
+    assert {(x.doc_id, x.text[:2]) for x in decontaminate.drop_leaks(spark, texts, str(tmp_path)).collect()} == {(4, "w0"), (5, "cl")}
+
+
 def brute_strip(rows, n=20):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     seen, out = {}, {}
