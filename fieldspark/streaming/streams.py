@@ -72,10 +72,11 @@ PARTICLES = "pid long, x double, y double, z double, time double, alive boolean"
 
 
 def stream_particles(ticks: DataFrame, field: pd.DataFrame, info: VolumeInfo, p: TraceParams | None = None, seed_box: tuple = ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)), life: float = 1e9) -> DataFrame:
-    """Advances particles (one for each pid of ticks: pid, dt) by Euler steps, with state; ticks are held to TICK_MOST.
+    """Advances particles (one for each pid of ticks: pid, tick, dt and, where they go by time, ts) by Euler steps, with state; ticks are held to TICK_MOST.
 
     field: packed rows of a small volume (one brick), which travels with the tasks. A particle that leaves, or is older than
-    `life`, is told once as not alive and starts anew from its seed at the next tick.
+    `life`, starts anew from its seed at the next tick. A batch tells a particle as it is after its last tick: not alive where
+    that tick ended it. How ticks fall into batches, kept in order, doesn't change where particles are.
     """
     p = p or TraceParams(scheme="euler")
     half = np.array(info.half_size_world)
@@ -89,12 +90,13 @@ def stream_particles(ticks: DataFrame, field: pd.DataFrame, info: VolumeInfo, p:
         pid = int(key[0])
         at, time = (np.array(state.get[:3]), state.get[3]) if state.exists else (seed(pid), 0.0)
         alive = True
-        for dt in pd.concat(list(parts)).sort_values("tick")["dt"].tolist():
+        rows = pd.concat(list(parts))
+        for dt in rows.sort_values(["ts", "tick"] if "ts" in rows else ["tick"])["dt"].tolist():
+            if not alive:
+                at, time = seed(pid), 0.0
             h = min(float(dt), TICK_MOST)
             at, time = at + h * f(at[None], np.array([time]))[0], time + h
-            if (np.abs(at) > half).any() or time >= life:
-                alive = False
-                break
+            alive = not ((np.abs(at) > half).any() or time >= life)
         if alive:
             state.update((*at.tolist(), time))
         elif state.exists:

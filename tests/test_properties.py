@@ -196,3 +196,27 @@ def test_thinned_lines_by_hand(spark):
                 want.add((i, k))
                 last = 0.1 * k * (i + 1)
     assert got == want
+
+
+def test_particles_go_on_after_an_exit_whatever_the_batches(spark, tmp_path):
+    from fieldspark.streaming import streams
+
+    info = VolumeInfo(8, 8, 8)
+    one = np.ones(8**3)
+    field = pd.DataFrame([{"t": 0, "bx": 0, "by": 0, "bz": 0, "nx": 8, "ny": 8, "nz": 8, "ox": 0, "oy": 0, "oz": 0, "u": 40.0 * one, "v": 0 * one, "w": 0 * one}])
+    # ids of ticks don't follow their times
+    ticks = pd.DataFrame([(p, (k * 7) % 23, 0.01 + 0.01 * (k % 5), pd.Timestamp("2024-01-01") + pd.Timedelta(k, "s")) for k in range(23) for p in range(4)], columns=["pid", "tick", "dt", "ts"])
+
+    def run(files: int, life: float) -> dict:
+        at = f"{tmp_path}/{files}-{life}"
+        rows = spark.createDataFrame(ticks)
+        for k in range(files):
+            rows.where((F.unix_timestamp("ts") - int(ticks["ts"].min().timestamp())) * files / 23 - k >= 0).where((F.unix_timestamp("ts") - int(ticks["ts"].min().timestamp())) * files / 23 - k < 1).coalesce(1).write.mode("append").parquet(at)
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        last = {}
+        out = streams.stream_particles(source, field, info, seed_box=((0.0, 0.0, 0.0), (0.1, 0.1, 0.1)), life=life)
+        out.writeStream.outputMode("update").foreachBatch(lambda b, n: last.update({r.pid: r for r in b.collect()})).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
+        return {p: (r.alive, *np.round([r.x, r.y, r.z, r.time], 9).tolist()) for p, r in last.items()}
+
+    for life in (1e9, 0.2):
+        assert run(1, life) == run(3, life) == run(23, life)
