@@ -1,12 +1,12 @@
 """Licence scans: a paragraph classifier, confirmed by templates; DataFrame and ML pipeline stages of Spark alone.
 
-Paragraphs are a document's lines. Those with a licence cue word are put as sparse hashed word 1- to 3-grams before a
-multinomial logistic regression trained on the licence texts, on paragraphs that are none and on damaged forms of both. The
+Paragraphs are a document's lines. Those with a licence cue word are scored, whatever their length, in overlapping windows of
+WINDOW words, and a line holds what one of its windows with a cue holds. Windows are put as sparse hashed word 1- to 3-grams before a multinomial logistic regression trained on the licence texts, on paragraphs that are none and on damaged forms of both. The
 class `unknown` has training rows of its own, and takes every paragraph whose best probability is under a cut calibrated on
 held-back rows. A prediction is confirmed if the paragraph holds most of one of the family's texts, or lies in one.
 
-Null and empty texts hold no licence. Repeated rows give one row; a null id gives a row with a null id. Paragraphs without a
-cue word hold no licence by definition.
+Null and empty texts hold no licence. Repeated rows give one row; a null id gives a row with a null id. Windows without a
+cue word hold no licence by definition: scored, plain prose is at times taken for a licence.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from fieldspark.llm.common import table, texts
 from fieldspark.llm.license_texts import FAMILIES, NONE
 
 FEATURES = 1 << 13
-#: Every licence text holds one of these.
-CUES = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|rights reserved|public domain|permission|creative commons|free and unencumbered|neither the name of|proprietary|unauthori[sz]ed|anyone is free|mozilla public|\bcc0\b"
+#: Every licence text holds one of these (a test holds them against the texts).
+CUES = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|rights reserved|public domain|permission|creative commons|free and unencumbered|neither the name of|proprietary|unauthori[sz]ed|anyone is free|mozilla public|\bcc0\b|gpl\b|\bgnu\b|\bapache\b|\bcc[ -]by|\b(?-i:MIT|BSD|MPL|ISC)\b"
 UNKNOWN = "unknown"
 CONFIRM = 0.8
 PRECISION = 0.98
+#: Words of a window, and between the starts of two: a text of up to WINDOW - STEP words lies whole in one.
+WINDOW, STEP = 96, 48
 
 
 def words(text: Column) -> Column:
@@ -45,6 +47,14 @@ def grams(w: Column) -> Column:
     return F.concat(*runs)
 
 
+def windows(text: Column) -> Column:
+    """A line of up to WINDOW words as it is, a longer one as its windows, the last of which ends it."""
+    w = F.regexp_extract_all(text, F.lit(r"(?i)[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    n = F.size(w)
+    starts = F.when(n > WINDOW, F.sequence(F.lit(1), n - WINDOW + STEP, F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+    return F.when(n <= WINDOW, F.array(text)).otherwise(F.transform(starts, _joined(w, WINDOW)))
+
+
 def training_rows(spark: SparkSession) -> DataFrame:
     """family, text, fold: the texts, their halves, and the texts with words around them."""
     rows = [(f, t) for f, ts in FAMILIES.items() for t in ts] + [(UNKNOWN, t) for t in NONE]
@@ -99,7 +109,8 @@ class Classifier:
     def classify(self, paragraphs: DataFrame) -> DataFrame:
         """paragraphs (with text) and family, p."""
         out = self._best(self.model, featured(paragraphs))
-        return out.withColumn("family", F.when(F.col("p") < self.cut, UNKNOWN).otherwise(F.col("best"))).drop("grams", "features", "rawPrediction", "probability", "prediction", "best")
+        family = F.when(F.col("p") < self.cut, UNKNOWN).otherwise(F.col("best"))
+        return out.select(*paragraphs.columns, F.inline(F.array(F.struct(family.alias("family"), "p"))))  # a generator: filters stay behind the scores
 
 
 def confirmed(family: Column, text: Column) -> Column:
@@ -118,14 +129,12 @@ def confirmed(family: Column, text: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, family, n_paragraphs, probability, confirmed: licences that documents hold."""
-    rows = texts(docs).where(F.col("text").rlike(CUES))
-    lines = rows.select("doc_id", F.explode(F.split("text", r"[\r\n]+")).alias("text")).where(F.col("text").rlike(CUES))
-    # a long paragraph is told by the sentences around its cues
-    lines = lines.select("doc_id", F.explode(F.when(F.length("text") > 1200, F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: s.rlike(CUES))).otherwise(F.array("text"))).alias("text"))
-    distinct = lines.groupBy("text").agg(F.count("*").alias("n"))  # a licence line recurs in many documents: classified once
-    found = Classifier(docs.sparkSession).classify(distinct.select("text")).where(F.col("family") != UNKNOWN).withColumn("confirmed", confirmed(F.col("family"), F.col("text")))
-    out = lines.join(found, "text")
-    return out.groupBy("doc_id", "family").agg(F.count("*").alias("n_paragraphs"), F.round(F.max("p"), 6).alias("probability"), F.max("confirmed").alias("confirmed"))
+    rows = texts(docs).where(F.col("text").rlike(CUES)).withColumn("row", F.monotonically_increasing_id())
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "text")).where(F.col("text").rlike(CUES))
+    pieces = lines.select("doc_id", "row", "line", F.explode(windows(F.col("text"))).alias("text")).where(F.col("text").rlike(CUES))
+    found = Classifier(docs.sparkSession).classify(pieces).where(F.col("family") != UNKNOWN).withColumn("confirmed", confirmed(F.col("family"), F.col("text")))
+    by_line = found.groupBy("doc_id", "row", "line", "family").agg(F.max("p").alias("p"), F.max("confirmed").alias("confirmed"))
+    return by_line.groupBy("doc_id", "family").agg(F.count("*").alias("n_paragraphs"), F.round(F.max("p"), 6).alias("probability"), F.max("confirmed").alias("confirmed"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

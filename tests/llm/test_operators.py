@@ -199,6 +199,24 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licence_lines_of_all_kinds(spark):
+    from pyspark.sql import functions as F
+
+    from fieldspark.llm.license_texts import FAMILIES
+
+    own = [(f, t) for f, ts in FAMILIES.items() for t in ts]
+    assert spark.createDataFrame([(t,) for _, t in own], "text string").where(~F.col("text").rlike(licenses.CUES)).count() == 0
+    r = random.Random(9)
+    mit = FAMILIES["mit"][4]
+    long = " ".join(prose(r, 20) for _ in range(30))
+    rows = [(k, t) for k, (_, t) in enumerate(own)] + [(1000, long + " " + mit + " " + long), (1001, long), (1002, None)]
+    got = {(x.doc_id, x.family): x for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in (k for k, (_, t) in enumerate(own) if t.startswith(("Released under the GNU GPL", "Released under the LGPL", "If a copy of the MPL"))):
+        assert (k, own[k][0]) in got
+    assert got[1000, "mit"].confirmed and got[1000, "mit"].n_paragraphs == 1
+    assert not any(k in (1001, 1002) for k, _ in got)
+
+
 def test_quality_learns_and_scores_all_rows(spark, docs, rows, none):
     r = random.Random(3)
     labelled = [(k, prose(r, 40) if k % 2 else " ".join(w + "###" for w in prose(r, 40).split())) for k in range(300)]
