@@ -1,19 +1,22 @@
 """SpotSigs fingerprints, by DataFrame functions alone.
 
 A signature is the chain of the next CHAIN content words after an anchor, a common word; content words are all others. A
-fingerprint is the set of a text's signatures, told by its size and a digest. Texts are alike as their sets' Jaccard index.
+fingerprint is the set of a text's signatures, as numbers in order. Texts are alike as their sets' Jaccard index.
 
 A text without any chain has one signature, the whole text; the empty text (and null) has none. Two empty sets are alike by
-1, an empty and another by 0. Repeated ids follow one another in the order of their texts; a null id counts as the least id
-of the table. An empty table gives no rows. Other columns are not read.
+1, an empty and another by 0. A null id comes before all ids; the texts of one id follow one another in the order of their
+hashes, and rows alike in id and text have the same next document. An empty table gives no rows. Texts of any length count
+whole. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import table, texts
+from fieldspark.llm.common import cut, table, texts
 
 #: Common words of the four languages.
 ANCHORS = (
@@ -23,28 +26,54 @@ ANCHORS = (
     "al como con del el es la las los lo no para por se su una y"
 )
 CHAIN = 2
-ROWS_A_CELL = 2000
-_WORD, _GAP, _MARK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]", "\u0001"
+_WORD, _GAP, _MARK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]++", "\u0001"
+
+
+def _by_letters(words: list[str]) -> str:
+    """A pattern of all the words, branching letter by letter, so that a word is compared with few."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [h + (_by_letters(rest) if rest != [""] else "") for h, rest in sorted(heads.items()) if h]
+    inner = parts[0] if len(parts) == 1 and "" not in words else "(?:" + "|".join(parts) + ")"
+    return inner + ("?+" if "" in words else "")
 
 
 def signatures(text: Column) -> Column:
-    """Distinct signatures of a text, as 64-bit hashes."""
+    """Distinct signatures of a text, as 32-bit hashes, ascending.
+
+    The text is cut at its anchors. What lies between two of them is content words alone, so an anchor's chain is the first
+    CHAIN words of the pieces that follow it; each piece but the last has a word at least.
+    """
     text = F.coalesce(text, F.lit(""))
-    words = sorted(set(ANCHORS.split()), key=lambda w: (-len(w), w))
-    first = "".join(sorted({w[0] for w in words}))
-    marked = F.regexp_replace(F.lower(text), rf"(?<!{_WORD})(?=[{first}])(?:{'|'.join(words)})(?!{_WORD})", _MARK)
-    chain = rf"{_MARK}(?={_GAP}*+({_WORD}++)" + rf"{_GAP}++({_WORD}++)" * (CHAIN - 1) + ")"
-    parts = [F.regexp_extract_all(marked, F.lit(chain), F.lit(k + 1)) for k in range(CHAIN)]
-    found = parts[0]
-    for more in parts[1:]:
-        found = F.zip_with(found, more, lambda a, b: F.concat_ws(" ", a, b))
-    spots = F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
-    return F.when(F.size(spots) > 0, spots).when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text, F.lit("whole"))))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _GAP, " "), F.lit(" "))
+    pieces = F.split(spaced, rf" (?:{_by_letters(sorted(set(ANCHORS.split())))} )++")
+
+    def chains(p: Column) -> Column:
+        after = lambda k: F.slice(p, F.lit(k + 1), F.size(p))
+        found = after(1)
+        for k in range(2, CHAIN + 1):
+            found = F.zip_with(found, after(k), lambda a, b: F.concat_ws(" ", a, b))
+        heads = F.transform(found, lambda s: F.substring_index(F.trim(s), " ", CHAIN))
+        return F.array_sort(F.array_distinct(F.transform(F.filter(heads, lambda s: F.instr(s, " ") > 0), lambda s: F.hash(s))))
+
+    whole = F.when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text, F.lit("whole"))))
+    return once(once(pieces, chains), lambda spots: F.when(F.size(spots) > 0, spots).otherwise(whole))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fingerprint(spots: Column) -> Column:
-    """Size and digest of a set of signatures."""
-    return F.concat_ws(":", F.size(spots).cast("string"), F.md5(F.array_join(F.sort_array(spots).cast("array<string>"), ",")))
+    """The signatures themselves, as numbers joined by spaces: likeness can be told from two fingerprints alone."""
+    return F.array_join(spots.cast("array<string>"), " ")
+
+
+def spots_of(fingerprint: Column) -> Column:
+    """The signatures of a fingerprint."""
+    return F.when(fingerprint == "", F.array().cast("array<int>")).otherwise(F.split(fingerprint, " ").cast("array<int>"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -54,31 +83,33 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(shared.cast("double") / union)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, spots, next_text, next_spots: every document beside the next by id; the first follows the last.
+def successors(docs: DataFrame) -> DataFrame:
+    """doc_id, key, next_id, next_key: of every row (id and text key) the next by id; the first follows the last.
 
-    Documents meet in cells of neighbouring ids. Each cell also gets, as a guest, the first document of the next cell.
+    Ids alone are dealt by range, ordered within each range, and joined to the first row of the next range that has any. So
+    many rows as the ranges are put in order by one small task.
     """
-    docs = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, n // ROWS_A_CELL)))
-    key = F.coalesce("doc_id", F.lit(low).cast("long"))
-    docs = docs.withColumn("key", key).withColumn("cell", F.expr(f"key div {width}L"))
-    heads = docs.groupBy("cell").agg(F.min("key").alias("key"))
-    # cells are thousands of times fewer than documents; their order is made in groups, the groups' heads in one small task
-    group = F.expr("cell div 4096")
-    inner = heads.withColumn("g", group).withColumn("to", F.lag("cell").over(Window.partitionBy("g").orderBy("cell")))
-    ends = heads.groupBy(group.alias("g")).agg(F.max("cell").alias("end")).withColumn("all", F.lit(0))
-    order = Window.partitionBy("all").orderBy("g")
-    ends = ends.withColumn("before", F.coalesce(F.lag("end").over(order), F.last("end").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("g", "before")
-    heads = inner.join(ends, "g").select("key", F.coalesce("to", "before").alias("to"))
-    guests = docs.join(heads, "key").select("doc_id", "text", "key", F.col("to").alias("cell"), F.lit(True).alias("guest"))
-    rows = docs.withColumn("guest", F.lit(False)).select("doc_id", "text", "key", "cell", "guest").unionByName(guests)
-    rows = rows.repartition("cell").withColumn("spots", signatures(F.col("text")))
-    after = Window.partitionBy("cell").orderBy("guest", "key", "doc_id", "text")
-    rows = rows.withColumn("next_text", F.lead("text").over(after)).withColumn("next_spots", F.lead("spots").over(after))
-    return rows.where("not guest").select("doc_id", "text", "spots", "next_text", "next_spots")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
+    rows = docs.select("doc_id", "key").distinct().repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    rows = cut(rows)  # so that ranges stay as they are
+    one = F.struct("doc_id", "key")
+    heads = rows.groupBy("range").agg(F.min(one).alias("head")).withColumn("all", F.lit(0))
+    ring = Window.partitionBy("all").orderBy("range")
+    everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("range", F.coalesce(F.lead("head").over(ring), F.first("head").over(everything)).alias("after"))
+    inner = rows.join(heads, "range").withColumn("next", F.coalesce(F.lead(one).over(Window.partitionBy("range").orderBy(*order)), "after"))
+    return inner.select("doc_id", "key", F.col("next.doc_id").alias("next_id"), F.col("next.key").alias("next_key"))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, next_text: every document beside the next by id."""
+    docs = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
+    after = successors(docs)
+    own = docs.join(after, docs["doc_id"].eqNullSafe(after["doc_id"]) & (docs["key"] == after["key"])).select(docs["doc_id"], "text", "next_id", "next_key")
+    firsts = docs.select(F.col("doc_id").alias("other"), F.col("key").alias("other_key"), F.col("text").alias("next_text"))
+    twice = docs.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
+    firsts = firsts.dropDuplicates(["other", "other_key"]) if twice else firsts
+    return own.join(firsts, own["next_id"].eqNullSafe(firsts["other"]) & (own["next_key"] == firsts["other_key"])).select("doc_id", "text", "next_text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -110,18 +141,21 @@ def similar_pairs(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and its edited text, and their likeness."""
+    """Fingerprints of every document and its edited text, and their likeness to it and to the next document's."""
     rows = with_next(table(spark, sf_dir, "documents"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half)))
-    rows = rows.withColumn("edited_spots", signatures(F.col("edited")))
+    edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
+    # explode of one struct keeps what is computed once from being computed for each use
+    rows = rows.select("doc_id", F.inline(F.array(F.struct("text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited")))))
+    spots = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("changed"), signatures(F.col("next_text")).alias("next"))
+    rows = rows.select(F.inline(F.array(spots)))
     return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("spots")).alias("fingerprint"),
-        fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
-        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
-        likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+        "edited_sha256",
+        fingerprint(F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
