@@ -2,11 +2,12 @@
 
 A window is `window` consecutive words of one document. Recurring passages are confirmed first: all windows' 64-bit hashes
 meet by hash value, and where one value occurs again, each later occurrence (by document id, then start) is traced to the
-first. Runs of later occurrences that follow one first occurrence word by word make a passage. The passages go, as shards,
-to the buckets of the documents that hold them; there each shard is compiled into an Aho-Corasick automaton (pyahocorasick)
-and every document of the bucket is streamed through it; each occurrence that isn't the passage's first is cut out.
+first. Runs of later occurrences that follow one first occurrence word by word make a passage. The passages are dealt to the
+buckets of the documents that hold them; there each distinct one is put once into shards of bounded size, which are compiled
+into Aho-Corasick automata (pyahocorasick), and every document of the bucket, whether hashes told of it or not, is streamed
+through them; each occurrence that isn't the passage's first is cut out.
 
-Nulls and empty texts have no words. Repeated rows (same id, same text) are one document: no row is cut because of the other;
+Nulls and empty texts have no words; texts of any length are searched whole; an empty table gives no rows. Repeated rows (same id, same text) are one document: no row is cut because of the other;
 windows at the same start of rows that share an id count as one occurrence. Null ids come last in the order of documents.
 Two windows are taken as equal if their 64-bit hashes are.
 """
@@ -14,6 +15,7 @@ Two windows are taken as equal if their 64-bit hashes are.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,8 @@ from fieldspark.llm.common import ngram_hashes, table
 from fieldspark.llm.packed import NO_ID, byte_words, hash_bits, pack_hashes, pack_texts, runs, size_of, text_buckets, undeltas, unpack_keys, unpack_texts, unz, wide, z
 
 WINDOW = 20
+#: Characters of passages in one automaton.
+SHARD = 3 << 20
 ORACLE_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
 g AS (SELECT doc_id, s, array_to_string(list_slice(ws, s, s + 19), ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) s FROM w WHERE len(ws) >= 20)),
@@ -87,40 +91,56 @@ def passages(late: pd.DataFrame) -> dict[int, list[tuple[int, int, int, int]]]:
 
 
 def strip(docs: pd.DataFrame, late: pd.DataFrame, window: int):
-    """doc_id, words, and a mask of the words that stay, of every document of a bucket."""
+    """doc_id, words, and a mask of the words that stay, of every document of a bucket.
+
+    Each distinct passage is put into one shard; shards are compiled one after the other, and every document is streamed
+    through each.
+    """
     import ahocorasick
 
     found = passages(late)
-    rows = [(key, i, byte_words(t, False)) for key, i, t in unpack_texts(docs)]
-    shard = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+    rows = [(NO_ID if i is None else i, i, byte_words(t, False)) for _, i, t in unpack_texts(docs)]
     known: dict[str, int] = {}
     firsts: list[tuple[int, set[tuple[int, int]]]] = []
-    for key, _, w in rows:
+    for (key, _, _), (_, _, w) in zip(unpack_texts(docs), rows, strict=True):
         for start, n, fid, fstart in found.get(key, ()):
-            text = phrase(w[start : start + n + window - 1])
-            at = known.get(text)
-            if at is None:
-                at = known[text] = len(firsts)
+            at = known.setdefault(phrase(w[start : start + n + window - 1]), len(firsts))
+            if at == len(firsts):
                 firsts.append((n + window - 1, set()))
-                shard.add_word(text, at)
             firsts[at][1].add((fid, fstart))
-    if known:
-        shard.make_automaton()
-    for key, i, w in rows:
-        keep = np.ones(len(w), bool)
-        if key in found:
-            text = phrase(w)
-            # word number of the place after each word's last character
-            ends = {e: k + 1 for k, e in enumerate(np.cumsum([len(x.decode("utf-8", "surrogatepass")) + 1 for x in w]).tolist())}
-            own = NO_ID if i is None else i
-            for last, at in shard.iter(text):
+    masks = [np.ones(len(w), bool) for _, _, w in rows]
+    for shard in shards(known):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for text in shard:
+            automaton.add_word(text, known[text])
+        automaton.make_automaton()
+        for (own, _, w), keep in zip(rows, masks, strict=True):
+            ends = None
+            for last, at in automaton.iter(phrase(w)):
+                if ends is None:  # the place of each word's last character
+                    ends = np.cumsum([len(x.decode("utf-8", "surrogatepass")) + 1 for x in w])
                 n, first = firsts[at]
-                start = ends[last] - n
+                start = int(np.searchsorted(ends, last)) + 1 - n
                 if (own, start) not in first:
                     keep[start : start + n] = False
+        del automaton
+    for (_, i, w), keep in zip(rows, masks, strict=True):
         yield i, w, keep
 
 
+def shards(known: dict[str, int]) -> Iterator[list[str]]:
+    """Passages in lists of about SHARD characters, so that an automaton's size is bounded but for one longer passage."""
+    some, held = [], 0
+    for text in known:
+        some.append(text)
+        held += len(text)
+        if held >= SHARD:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def phrase(w: list[bytes]) -> str:
     """Words as a string in which a match begins and ends with whole words."""
     return " " + b" ".join(w).decode("utf-8", "surrogatepass") + " "
