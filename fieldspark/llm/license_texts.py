@@ -114,3 +114,25 @@ NONE: list[str] = [
     "Students of MIT visited the laboratory.",
     "Working under the general, version of the story three was told.",
 ]
+
+#: Notices of licences that have no family here: the class of unknown licences.
+OTHER: list[str] = [
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the EUPL, version 1.2 or later.",
+    "Licensed under the European Union Public Licence.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3",
+    "As long as you retain this notice you can do whatever you want with this stuff. If we meet some day, and you think this stuff is worth it, you can buy me a beer in return.",
+    "THE BEER-WARE LICENSE (Revision 42)",
+    "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Released under the zlib license.",
+    "Licensed under the Academic Free License version 3.0.",
+    "This work is licensed under the Artistic License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the Open Software License version 3.0.",
+    "Licensed under the Server Side Public License, version 1.",
+    "Use of this source code is governed by a licence that can be found in the LICENSE file.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "The data are made available under the Open Database License.",
+]

@@ -29,12 +29,12 @@ CHAIN = 2
 _WORD, _GAP, _MARK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]++", "\u0001"
 
 
-def _by_letters(words: list[str]) -> str:
+def by_letters(words: list[str]) -> str:
     """A pattern of all the words, branching letter by letter, so that a word is compared with few."""
     heads: dict[str, list[str]] = {}
     for w in words:
         heads.setdefault(w[:1], []).append(w[1:])
-    parts = [h + (_by_letters(rest) if rest != [""] else "") for h, rest in sorted(heads.items()) if h]
+    parts = [h + (by_letters(rest) if rest != [""] else "") for h, rest in sorted(heads.items()) if h]
     inner = parts[0] if len(parts) == 1 and "" not in words else "(?:" + "|".join(parts) + ")"
     return inner + ("?+" if "" in words else "")
 
@@ -47,7 +47,7 @@ def signatures(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _GAP, " "), F.lit(" "))
-    pieces = F.split(spaced, rf" (?:{_by_letters(sorted(set(ANCHORS.split())))} )++")
+    pieces = F.split(spaced, rf" (?:{by_letters(sorted(set(ANCHORS.split())))} )++")
 
     def chains(p: Column) -> Column:
         after = lambda k: F.slice(p, F.lit(k + 1), F.size(p))
