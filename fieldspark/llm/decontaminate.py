@@ -26,7 +26,7 @@ from fieldspark.llm.common import cut, table, text_key, texts, without
 WINDOW, LEAST, SOLID = 8, 4, 3
 MATCHES, SHARE = 5, 0.5
 BROADCAST = 500_000
-#: Placeholders, and units.
+#: This library's own choice: placeholders, and units.
 NUMBER, NAME, UNIT = "xnumx", "xnamex", "xunitx"
 UNITS = "km m cm mm nm mi ft kg g mg t lb oz l ml s ms min h hr hrs hz khz mhz ghz w kw kwh v a j kj pa kpa bar usd eur gbp dollars euros pounds cents percent degrees hours minutes seconds days weeks months years miles meters metres grams liters litres kilometers kilometres kilograms"
 _TOKEN = r"[\p{L}\p{N}]+(?:[.,][0-9]+)*"

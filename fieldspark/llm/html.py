@@ -5,7 +5,9 @@ neighbours, and what surrounds it (an article, a heading, a container that its t
 boilerplate). A small decision tree, trained on the labelled table below, decides. Scripts, styles, forms and the like never
 become text.
 
-A null or empty page gives the empty text. One row out for each row in; null ids pass through; other columns are not read.
+A null or empty page gives the empty text. Quotes count within an attribute's value alone, so a stray one swallows nothing.
+Pages of any length are read whole. One row out for each row in, repeated rows too; null ids pass through; other columns are
+not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select option datalist button textarea form fieldset label input dialog menu".split())
@@ -31,7 +33,7 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 #: Elements that end a block.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and names that mark boilerplate.
+#: This library's own choice: elements and names that mark boilerplate.
 ASIDE = frozenset("nav footer aside".split())
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|foot|masthead|site-header|header|topbar|sidebar|side|aside|widget|related|recommended|share|sharing|social|"
@@ -39,6 +41,8 @@ HINTS = re.compile(
     r"comment|comments|comment-list|replies|reply|respond|disqus|discussion|contentinfo|complementary|toc|pagination|pager|tags|meta|byline|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
+#: A header within an article is the article's own.
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body)(?:$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -119,7 +123,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
         _, article, bad, silent = stack[-1] if stack else ("", 0, 0, 0)
         if name in ("article", "main") or named and name != "body" and MAIN.search(named) and not HINTS.search(named):
             article = 1
-        if name in ASIDE or name == "header" and not article or named and name not in ("article", "main", "body", "html") and HINTS.search(named):
+        if name in ASIDE or name == "header" and not article or named and name not in ("article", "main", "body", "html") and HINTS.search(HEADER.sub("", named) if article else named):
             bad = 1
         stack.append((name, article, bad, int(silent or name in SILENT or "hidden" in m[3].split())))
         if name == "a":
@@ -143,7 +147,7 @@ def features(found: list[tuple[str, float, int, int, int, int]]) -> np.ndarray:
     return np.column_stack([words, links, np.r_[zero, words[:-1]], np.r_[zero, links[:-1]], np.r_[words[1:], zero], np.r_[links[1:], zero], shape]) if n else np.empty((0, len(FEATURES)))
 
 
-#: The labelled table, fixed values: FEATURES in order, then 1 for main text.
+#: The labelled table, this library's own: FEATURES in order, then 1 for main text.
 LABELLED = """
   1 1.0   0 0.0   1 1.0  0 1 0 1  0
   2 1.0   1 1.0   1 1.0  0 1 0 1  0
