@@ -9,7 +9,8 @@ packed exchange); a document of which less than the threshold's share of n-grams
 the others, equal sets become one class; a class's prefix (its rarest n - ceil(t * n) + 1 n-grams, in one order for all)
 must meet the prefix of any partner, so classes that share a prefix n-gram, taken transitively, form a block, and each block
 gets a tree. In a block, pairs that are already connected need no verification, so copies cost one check each. Blocks of
-more than CHUNK classes are dealt as pairs of chunks.
+more than CHUNK classes are dealt as pairs of chunks, about as many chunks as the root of the block's size, so that neither
+a task nor the number of copies of a set grows faster than that root.
 
 Texts with fewer than n words are one n-gram; null texts and texts without words have the empty set and no links. Repeated
 rows link as any other copies; rows of one id with different texts are documents of their own. A null id is never a component's least id; a component of null ids alone has a null id.
@@ -27,7 +28,7 @@ from fieldspark.llm.components import components
 from fieldspark.llm.packed import byte_words, hash_bits, pack_hashes, pack_keys, pack_texts, runs, size_of, text_buckets, unpack_keys, unpack_texts, unz, wide, z
 
 WORDS, PERCENT = 5, 75
-CHUNK = 4096
+CHUNK = 512
 HASH_BUCKET = 16 << 20
 GROUPS = 64
 ORACLE_SQL = r"""
@@ -198,7 +199,7 @@ def link_rows(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFr
     least = heads.groupBy("h").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1")
     blocks = components(heads.join(least, "h").select(F.col("digest").alias("a"), "b").distinct())
     large = blocks.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = blocks.join(large, "comp").select(F.col("node").alias("digest"), "comp", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    blocks = blocks.join(large, "comp").select(F.col("node").alias("digest"), "comp", F.when(F.col("size") <= CHUNK, 1).otherwise(F.ceil(F.sqrt(F.col("size") * 8 / CHUNK))).cast("int").alias("chunks"))
     sets = some.groupBy("digest").agg(F.first("items").alias("items")).join(blocks, "digest")
     own = F.pmod(F.xxhash64("digest"), F.col("chunks"))
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.expr("filter(sequence(0L, cast(chunks - 1 as bigint)), x -> x <> own)"))))
