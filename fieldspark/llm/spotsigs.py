@@ -5,7 +5,7 @@ fingerprint is the set of a text's signatures, as numbers in order. Texts are al
 
 A text without any chain has one signature, the whole text; the empty text (and null) has none. Two empty sets are alike by
 1, an empty and another by 0. A null id comes before all ids; the texts of one id follow one another in the order of their
-hashes, and rows alike in id and text have the same next document. An empty table gives no rows. Texts of any length count
+hashes. An empty table gives no rows. Texts of any length count
 whole. Other columns are not read.
 """
 
@@ -26,6 +26,7 @@ ANCHORS = (
     "al como con del el es la las los lo no para por se su una y"
 )
 CHAIN = 2
+ROWS_A_CELL, MOST_CELLS = 2000, 1 << 16
 _WORD, _GAP, _MARK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]++", "\u0001"
 
 
@@ -83,33 +84,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(shared.cast("double") / union)
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """doc_id, key, next_id, next_key: of every row (id and text key) the next by id; the first follows the last.
+def cells(docs: DataFrame, n: int) -> Column:
+    """The cell of a row (doc_id, key) in the order of ids, then keys, of about ROWS_A_CELL rows each and at most MOST_CELLS.
 
-    Ids alone are dealt by range, ordered within each range, and joined to the first row of the next range that has any. So
-    many rows as the ranges are put in order by one small task.
+    Cells end at quantiles of the ids, so that outlying ids empty none and crowd none. An id that fills several cells is dealt
+    to them by ranges of its rows' keys. Null ids come first.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
-    rows = docs.select("doc_id", "key").distinct().repartitionByRange(*order).withColumn("range", F.spark_partition_id())
-    rows = cut(rows)  # so that ranges stay as they are
-    one = F.struct("doc_id", "key")
-    heads = rows.groupBy("range").agg(F.min(one).alias("head")).withColumn("all", F.lit(0))
-    ring = Window.partitionBy("all").orderBy("range")
-    everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("range", F.coalesce(F.lead("head").over(ring), F.first("head").over(everything)).alias("after"))
-    inner = rows.join(heads, "range").withColumn("next", F.coalesce(F.lead(one).over(Window.partitionBy("range").orderBy(*order)), "after"))
-    return inner.select("doc_id", "key", F.col("next.doc_id").alias("next_id"), F.col("next.key").alias("next_key"))
+    wanted = min(MOST_CELLS, max(1, n // ROWS_A_CELL))
+    shares = [k / wanted for k in range(1, wanted)]
+    ends = docs.agg(F.percentile_approx("doc_id", shares, 10 * wanted)).first()[0] if shares else None
+    if not ends:
+        return F.lit(0)
+    bounds = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(ends).bit_length() - 1, -1, -1)])
+    below = lambda test: F.aggregate(steps, F.lit(0), lambda at, step: F.when(test(F.get(bounds, at + step - 1)), at + step).otherwise(at))
+    low, high = below(lambda e: e < F.col("doc_id")), below(lambda e: e <= F.col("doc_id"))
+    share = F.col("key") / F.lit(2.0**64) + 0.5
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(low + F.floor(share * (high - low) * 0.999999).cast("int"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: every document beside the next by id."""
+    """doc_id, text, spots, next_text, next_spots: every document beside the next by id; the first follows the last.
+
+    Documents meet in cells of neighbours; each cell also gets, as a guest, the first row of the next one that has any. There
+    is one such row for each cell, so these are broadcast, and put in order by one small task.
+    """
     docs = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
-    after = successors(docs)
-    own = docs.join(after, docs["doc_id"].eqNullSafe(after["doc_id"]) & (docs["key"] == after["key"])).select(docs["doc_id"], "text", "next_id", "next_key")
-    firsts = docs.select(F.col("doc_id").alias("other"), F.col("key").alias("other_key"), F.col("text").alias("next_text"))
-    twice = docs.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
-    firsts = firsts.dropDuplicates(["other", "other_key"]) if twice else firsts
-    return own.join(firsts, own["next_id"].eqNullSafe(firsts["other"]) & (own["next_key"] == firsts["other_key"])).select("doc_id", "text", "next_text")
+    docs = docs.withColumn("cell", cells(docs, docs.count()))
+    heads = docs.groupBy("cell").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "key")).alias("head")).withColumn("all", F.lit(0))
+    ring = Window.partitionBy("all").orderBy("cell")
+    last = F.last("cell").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select(F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"), F.coalesce(F.lag("cell").over(ring), last).alias("to"))
+    guests = docs.join(F.broadcast(cut(heads)), docs["doc_id"].eqNullSafe(F.col("head_id")) & (docs["key"] == F.col("head_key")))
+    guests = guests.select("doc_id", "text", "key", F.col("to").alias("cell"), F.lit(True).alias("guest")).dropDuplicates(["cell"])
+    rows = docs.withColumn("guest", F.lit(False)).select("doc_id", "text", "key", "cell", "guest").unionByName(guests)
+    rows = rows.repartition("cell").withColumn("spots", signatures(F.col("text")))
+    after = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), "key")
+    rows = rows.withColumn("next_text", F.lead("text").over(after)).withColumn("next_spots", F.lead("spots").over(after))
+    return rows.where("not guest").select("doc_id", "text", "spots", "next_text", "next_spots")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -124,7 +136,7 @@ def similar_pairs(docs: DataFrame, percent: int = 75) -> DataFrame:
     signatures of their prefixes (rarest first), and a pair is compared only if its lengths let it reach the threshold.
     """
     base = 100 / percent
-    sets = fingerprints(docs).where("size(spots) > 0 and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("spots").alias("spots"))
+    sets = fingerprints(docs).where("size(spots) > 0 and doc_id is not null").groupBy(F.md5("fingerprint")).agg(F.min("doc_id").alias("doc_id"), F.first("spots").alias("spots"))
     sets = sets.withColumn("n", F.size("spots")).withColumn("part", F.floor(F.log(base, F.col("n") + 1e-9)))
     long = sets.select("doc_id", "n", "part", F.explode("spots").alias("s"))
     rare = long.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
@@ -146,9 +158,9 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
-    # explode of one struct keeps what is computed once from being computed for each use
-    rows = rows.select("doc_id", F.inline(F.array(F.struct("text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited")))))
-    spots = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("changed"), signatures(F.col("next_text")).alias("next"))
+    # a generator of one struct keeps what is computed once from being computed for each use
+    rows = rows.select("doc_id", "spots", "next_spots", F.inline(F.array(F.struct(n.cast("long").alias("n_chars"), edited.alias("edited")))))
+    spots = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("spots").alias("own"), signatures(F.col("edited")).alias("changed"), F.col("next_spots").alias("next"))
     rows = rows.select(F.inline(F.array(spots)))
     return rows.select(
         "doc_id",
