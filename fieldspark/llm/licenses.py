@@ -2,7 +2,7 @@
 
 Paragraphs are a document's lines. All of them are scored, whatever their length, in overlapping windows of WINDOW words, and a
 line holds what one of its windows holds. Windows are put as sparse word 1- and 2-grams (features are those of the module's
-texts, told by their hashes, that are not made of common words alone) before a multinomial logistic regression with an L1
+texts that are not made of common words alone) before a multinomial logistic regression with an L1
 penalty: a sparse sum of weight rows. It is trained on the licence texts of each family, on notices of other licences (class `unknown`), and on what is no licence (class
 `none`): the paragraphs of the module, and one window each of at most BACKGROUND documents at hand, least xxhash64 of the
 text, that share no 3-gram with a licence text. A window that looks like a licence but whose best family is less likely
@@ -27,11 +27,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import table, texts
+from fieldspark.llm.common import cut, table, texts
 from fieldspark.llm.license_texts import FAMILIES, NONE, OTHER
 from fieldspark.llm.spotsigs import ANCHORS, by_letters, once
 
-PLACES = 1 << 16
 COMMON = sorted(set(ANCHORS.split()))
 UNKNOWN, NO_LICENCE = "unknown", "none"
 CONFIRM = 0.8
@@ -101,51 +100,52 @@ class Classifier:
     """The trained weights, class names and the cut below which what looks like a licence is unknown."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame | None = None):
-        self.names = [*sorted(FAMILIES), UNKNOWN, NO_LICENCE]
+        self.spark, self.names = spark, [*sorted(FAMILIES), UNKNOWN, NO_LICENCE]
         every = [t for ts in FAMILIES.values() for t in ts] + OTHER + NONE
         own = spark.createDataFrame([(t,) for t in every], "text string").select(F.explode(grams(words(F.col("text")))).alias("g")).distinct()
-        own = own.where(F.exists(F.split("g", " "), lambda w: ~w.isin(COMMON))).select("g", F.hash("g").alias("h")).orderBy("g")
-        self.grams, number, hashes = [], [-1] * PLACES, [0] * PLACES
-        for r in own.collect():  # n-grams of the module's texts alone
-            if number[r["h"] % PLACES] < 0:  # of two at one place the first is a feature
-                number[r["h"] % PLACES], hashes[r["h"] % PLACES] = len(self.grams), r["h"]
-                self.grams.append(r["g"])
-        constant = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<int>")
-        self.number, self.hashes = constant(number), constant(hashes)
-        rows = training_rows(spark, docs).withColumn("own", F.explode(F.array(self.features(F.col("w")))))
+        own = own.where(F.exists(F.split("g", " "), lambda w: ~w.isin(COMMON))).orderBy("g")
+        self.grams = [r["g"] for r in own.collect()]  # n-grams of the module's texts alone
+        numbers = F.broadcast(spark.createDataFrame([(g, k) for k, g in enumerate(self.grams)], "g string, i int"))
+        rows = cut(training_rows(spark, docs).withColumn("id", F.monotonically_increasing_id()))
+        have = rows.select("id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g")).join(numbers, "g").groupBy("id").agg(F.collect_list("i").alias("own"))
         flags = F.transform(F.sequence(F.lit(0), F.lit(len(self.grams) - 1)), lambda i: F.array_contains("own", i).cast("double"))
-        rows = rows.withColumn("features", array_to_vector(flags)).drop("own").withColumn("label", F.array_position(F.array(*[F.lit(n) for n in self.names]), F.col("family")).cast("double") - 1).repartition(2).cache()
-        fit = LogisticRegression(maxIter=40, regParam=PENALTY, elasticNetParam=1.0, family="multinomial", standardization=False)
-        half, _ = self._table(fit.fit(rows.where("fold > 0")))
-        best = self._best(half, rows.where("fold = 0").drop("features")).where(~F.col("best").isin(UNKNOWN, NO_LICENCE))
+        label = F.array_position(F.array(*[F.lit(n) for n in self.names]), F.col("family")).cast("double") - 1
+        table_ = rows.join(have, "id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<int>"))).select("fold", array_to_vector(flags).alias("features"), label.alias("label")).repartition(1).cache()
+        fit = LogisticRegression(maxIter=30, regParam=PENALTY, elasticNetParam=1.0, family="multinomial", standardization=False)
+        half = self._table(fit.fit(table_.where("fold > 0")))
+        best = self._best(half, rows.where("fold = 0")).where(~F.col("best").isin(UNKNOWN, NO_LICENCE))
         seen = [(r["p"], r["ok"]) for r in best.select("p", (F.col("best") == F.col("family")).alias("ok")).collect()]  # a few dozen rows
         self.cut = self._calibrate(seen)
-        self.weights, self.strong = self._table(fit.fit(rows))
-        rows.unpersist()
+        self.weights = self._table(fit.fit(table_))
+        self.strong = self._strong(*self.weights)
+        table_.unpersist()
 
-    def features(self, w: Column) -> Column:
-        """The features of a window, each once."""
-        at = lambda g: once(F.hash(g), lambda h: F.when(F.get(self.hashes, F.pmod(h, F.lit(PLACES))) == h, F.get(self.number, F.pmod(h, F.lit(PLACES)))).otherwise(-1))
-        return F.array_distinct(F.filter(F.transform(grams(w), at), lambda i: i >= 0))
+    def _table(self, model) -> tuple[list[list[float]], list[float]]:
+        """A row of weights for each feature; intercepts."""
+        return model.coefficientMatrix.toArray().T.tolist(), model.interceptVector.toArray().tolist()
 
-    def _table(self, model) -> tuple[Column, list[str]]:
-        """A row of weights for each feature, and one of intercepts, as a constant; the words of strong features."""
-        m = [[round(x, 9) for x in r] for r in model.coefficientMatrix.toArray().T.tolist() + [model.interceptVector.toArray().tolist()]]
+    def _strong(self, m: list[list[float]], intercepts: list[float]) -> list[str]:
+        """Words of the features without which `none` keeps its lead."""
         none = self.names.index(NO_LICENCE)
-        gain = [max(0.0, *(x - r[none] for x in r)) for r in m[:-1]]
-        lead = m[-1][none] - max(x for k, x in enumerate(m[-1]) if k != none)
+        gain = [max(0.0, *(x - r[none] for x in r)) for r in m]
+        lead = intercepts[none] - max(x for k, x in enumerate(intercepts) if k != none)
         weak, strong = 0.0, set()
         for g, name in sorted(zip(gain, self.grams, strict=True)):
             weak += g
             if weak >= 0.999 * lead:
                 strong.add(next(w for w in sorted(name.split(" "), key=len, reverse=True) if w not in COMMON))
-        return F.from_json(F.lit(json.dumps(m)), "array<array<double>>"), sorted(strong)
-
-    def _best(self, weights: Column, rows: DataFrame) -> DataFrame:
-        """rows with best (the likeliest class) and p (its probability)."""
-        plus = lambda acc, i: F.zip_with(acc, F.get(weights, i), lambda a, b: a + b)
-        sums = F.aggregate(self.features(F.col("w")), F.get(weights, F.lit(len(self.grams))), plus)
-        out = rows.select(*rows.columns, F.explode(F.array(sums)).alias("sums")).withColumn("top", F.array_max("sums"))
+        return sorted(strong)
+
+    def _best(self, weights: tuple[list[list[float]], list[float]], rows: DataFrame) -> DataFrame:
+        """rows (id, w) with best (the likeliest class) and p (its probability): a join of their n-grams to the weights.
+
+        The weights have a row for each feature that bears any, so their number is bounded by the module's texts.
+        """
+        m, intercepts = weights
+        some = self.spark.createDataFrame([(g, *r) for g, r in zip(self.grams, m, strict=True) if any(r)], ", ".join(["g string", *(f"c{k} double" for k in range(len(self.names)))]))
+        sums = rows.select("id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g")).join(F.broadcast(some), "g").groupBy("id").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(self.names))])
+        total = F.array(*[F.coalesce(F.col(f"c{k}"), F.lit(0.0)) + x for k, x in enumerate(intercepts)])
+        out = rows.join(sums, "id", "left").select(*rows.columns, F.explode(F.array(total)).alias("sums")).withColumn("top", F.array_max("sums"))
         p = 1 / F.aggregate("sums", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
         return out.select(*rows.columns, p.alias("p"), F.get(F.array(*[F.lit(n) for n in self.names]), F.array_position("sums", F.col("top")).cast("int") - 1).alias("best"))
 
@@ -166,7 +166,7 @@ class Classifier:
 
     def classify(self, windows_: DataFrame) -> DataFrame:
         """windows (with w) that are no `none`, and family, p."""
-        out = self._best(self.weights, windows_).where(F.col("best") != NO_LICENCE)
+        out = self._best(self.weights, cut(windows_.withColumn("id", F.monotonically_increasing_id()))).drop("id").where(F.col("best") != NO_LICENCE)
         return out.withColumn("family", F.when(F.col("p") < self.cut, UNKNOWN).otherwise(F.col("best"))).drop("best")
 
 
