@@ -4,8 +4,8 @@ Paragraphs are a document's lines. All of them are scored, whatever their length
 line holds what one of its windows holds. Windows are put as sparse word 1- and 2-grams (features are those of the module's
 texts that are not made of common words alone) before a multinomial logistic regression with an L1
 penalty: a sparse sum of weight rows. It is trained on the licence texts of each family, on notices of other licences (class `unknown`), and on what is no licence (class
-`none`): the paragraphs of the module, and one window each of at most BACKGROUND documents at hand, least xxhash64 of the
-text, that share no 3-gram with a licence text. A window that looks like a licence but whose best family is less likely
+`none`): the paragraphs of the module, and the longest window each of at most BACKGROUND documents at hand, least xxhash64 of
+the text, of LEAST words or more that share no 3-gram with a licence text. A window that looks like a licence but whose best family is less likely
 than a cut is `unknown`; the cut is calibrated on held-back rows of all classes. A family is confirmed if the window holds most
 of one of its texts, or lies in one.
 
@@ -36,7 +36,7 @@ UNKNOWN, NO_LICENCE = "unknown", "none"
 CONFIRM = 0.8
 PRECISION = 0.98
 PENALTY = 0.0003
-BACKGROUND = 2000
+BACKGROUND, LEAST = 2000, 12
 #: Words of a window, and between the starts of two: a text of up to WINDOW - STEP words lies whole in one.
 WINDOW, STEP = 96, 64
 
@@ -90,7 +90,7 @@ def training_rows(spark: SparkSession, docs: DataFrame | None = None) -> DataFra
     found = base.select("family", F.explode(forms).alias("text")).where("text is not null").select("family", words(F.col("text")).alias("w"))
     if docs is not None:
         some = texts(docs).where("length(text) > 0").select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(BACKGROUND)  # a documented bound on training alone
-        some = pieces(some.select(F.col("h").alias("doc_id"), "text")).groupBy("doc_id").agg(F.min("w").alias("w"))
+        some = pieces(some.select(F.col("h").alias("doc_id"), "text")).groupBy("doc_id").agg(F.max(F.struct(F.size("w").alias("n"), "w")).alias("x")).select("x.*").where(F.col("n") >= LEAST)
         runs = F.slice(grams(F.col("w"), 3), 2 * F.size("w"), F.size("w"))
         found = found.unionByName(some.where(~F.arrays_overlap(runs, known_runs())).select(F.lit(NO_LICENCE).alias("family"), "w"))
     return found.withColumn("fold", F.pmod(F.xxhash64("w"), F.lit(4)))
