@@ -103,8 +103,13 @@ def advance(name: str, f: Velocity, pos: np.ndarray, time: np.ndarray, vel: np.n
     return Step(out, np.where(ok, time + dt, time), after, np.clip(dt * scale, dt_min, dt_max), ok, coeffs)
 
 
-def bezier(coeffs: np.ndarray, s: float) -> np.ndarray:
+def bezier(coeffs: np.ndarray, s: float | np.ndarray) -> np.ndarray:
     """A point of each curve of five control points (n, 5, 3), by repeated linear interpolation."""
     while coeffs.shape[1] > 1:
         coeffs = (1 - s) * coeffs[:, :-1] + s * coeffs[:, 1:]
     return coeffs[:, 0]
+
+
+def bezier_slope(coeffs: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The derivative of each curve at its own s: a curve of one degree less, over the differences of the control points."""
+    return (coeffs.shape[1] - 1) * bezier(np.diff(coeffs, axis=1), s[:, None, None])

@@ -12,7 +12,11 @@ def shared(spark) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        path = sc.getCheckpointDir()
+    if not path:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-")  # one machine, one process
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

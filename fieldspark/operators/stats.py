@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VALUE_BYTES = 4
@@ -107,3 +107,10 @@ def points_per_brick(points: DataFrame, time: str = "time") -> DataFrame:
 def bricks_touched(vertices: DataFrame, brick_bytes: int) -> DataFrame:
     """Visits, distinct bricks and their bytes for each line."""
     return vertices.groupBy("line_id").agg(F.count("*").alias("visits"), F.count_distinct("bx", "by", "bz").alias("bricks")).withColumn("bytes", F.col("bricks") * brick_bytes)
+
+
+def prefix_sum(rows: DataFrame, keys: list[str], order: list[str], col: str, name: str = "prefix", exclusive: bool = False) -> DataFrame:
+    """rows with the running sum of col within each key, in the given order; exclusive: without the row's own value (0 at first)."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    total = F.sum(col).over(upto)
+    return rows.withColumn(name, F.coalesce(total, F.lit(0)) if exclusive else total)

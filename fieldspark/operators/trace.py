@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import tensor as T
 from fieldspark.functions.info import AXES, VolumeInfo, velocity_scale, with_brick_of
 from fieldspark.functions.kernels import KERNELS
-from fieldspark.functions.schemes import SCHEMES, advance, bezier, scheme_info
+from fieldspark.functions.schemes import SCHEMES, advance, bezier, bezier_slope, scheme_info
 from fieldspark.functions.session import cut
 from fieldspark.operators.bricks import pack_bricks, with_halo
 from fieldspark.operators.seeds import Box, checkpoints, seed_ftle
@@ -53,6 +53,8 @@ VERTEX = "line_id long, seq int, x double, y double, z double, time double, vel_
 STATE = "line_id long, x double, y double, z double, sx double, sy double, sz double, time double, dt double, nrm_x double, nrm_y double, nrm_z double, steps_total long, steps_accepted long, length int, status string"
 _STATE = [c.split()[0] for c in STATE.split(", ")]
 _VERTEX = [c.split()[0] for c in VERTEX.split(", ")]
+STATUS = ("active", "moved", "boundary", "old", "long", "left", "slow", "left_brick", "lost")
+ACTIVE = 0
 
 
 class BrickField:
@@ -75,11 +77,14 @@ class BrickField:
         w = [self.k.weights(q[:, d] - base[:, d]) for d in range(3)]
         n = a.shape[:0:-1]
         cells = [[np.clip(base[:, d].astype(int) + o - origin[d], 0, n[d] - 1) for o in self.k.offsets] for d in range(3)]
+        parts = [a[c] for c in channels]  # views
         out = np.zeros((len(g), len(channels)))
         for wz, iz in zip(w[2], cells[2], strict=True):
             for wy, iy in zip(w[1], cells[1], strict=True):
                 for wx, ix in zip(w[0], cells[0], strict=True):
-                    out += (wx * wy * wz)[:, None] * a[channels][:, iz, iy, ix].T
+                    weight = wx * wy * wz
+                    for k, part in enumerate(parts):
+                        out[:, k] += weight * part[iz, iy, ix]
         return out
 
     def _step(self, t: int, g: np.ndarray) -> np.ndarray:
@@ -103,6 +108,13 @@ def _normal(vel: np.ndarray) -> np.ndarray:
     return n / np.maximum(np.linalg.norm(n, axis=1), 1e-30)[:, None]
 
 
+def _across(vel: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """The part of each normal across its velocity, of unit length; the normal as it was where there is none."""
+    n = np.cross(np.cross(vel, normal), vel)
+    size = np.linalg.norm(n, axis=1)[:, None]
+    return np.where(size > 1e-30, n / np.maximum(size, 1e-30), normal)
+
+
 def _run(lines: pd.DataFrame, rows: pd.DataFrame, info: VolumeInfo, p: TraceParams, brick: np.ndarray, until: float, hold: bool) -> pd.DataFrame:
     """Lines of one brick, to its border; vertices and states in one table (`kind`). hold: stop there for good."""
     f = BrickField(rows, info, p.kernel, p.backward)
@@ -113,16 +125,16 @@ def _run(lines: pd.DataFrame, rows: pd.DataFrame, info: VolumeInfo, p: TracePara
     pos, time, dt = lines[list(AXES)].to_numpy(float), lines["time"].to_numpy(float).copy(), lines["dt"].to_numpy(float).copy()
     length, total, took = (lines[c].to_numpy().astype(np.int64).copy() for c in ("length", "steps_total", "steps_accepted"))
     nrm, ids = lines[["nrm_x", "nrm_y", "nrm_z"]].to_numpy(float), lines["line_id"].to_numpy()
-    status = np.array(["active"] * len(lines), dtype=object)
+    status = np.full(len(lines), ACTIVE, np.int8)
     vel = f(pos, time)
     if p.normals:
         new = ~nrm.any(1)
         nrm[new] = _normal(vel[new])
     out: list[tuple] = []
 
-    def write(who: np.ndarray, at: np.ndarray, when: np.ndarray) -> None:
+    def write(who: np.ndarray, at: np.ndarray, when: np.ndarray, v: np.ndarray | None = None, n: np.ndarray | None = None) -> None:
         if len(who):
-            out.append((ids[who], length[who].copy(), at.copy(), when.copy(), vel[who].copy(), nrm[who].copy()))
+            out.append((ids[who], length[who].copy(), at.copy(), when.copy(), (vel[who] if v is None else v).copy(), (nrm[who] if n is None else n).copy()))
             length[who] += 1
 
     fresh = np.flatnonzero(length == 0)
@@ -131,9 +143,9 @@ def _run(lines: pd.DataFrame, rows: pd.DataFrame, info: VolumeInfo, p: TracePara
     end = np.minimum(lines["limit"].to_numpy(float), until)
     margin = max(0.1, info.overlap - 0.5 - KERNELS[p.kernel].radius) * 2.0 * min(info.spacing)
     for _ in range(p.steps_per_round):
-        status[(status == "active") & (time >= end - 1e-12)] = "boundary" if until < 1e300 else "old"
-        status[(status == "active") & (length >= p.max_len)] = "long"
-        live = np.flatnonzero(status == "active")
+        status[(status == ACTIVE) & (time >= end - 1e-12)] = STATUS.index("boundary" if until < 1e300 else "old")
+        status[(status == ACTIVE) & (length >= p.max_len)] = STATUS.index("long")
+        live = np.flatnonzero(status == ACTIVE)
         if not len(live):
             break
         h = np.minimum(dt[live], end[live] - time[live])
@@ -147,38 +159,40 @@ def _run(lines: pd.DataFrame, rows: pd.DataFrame, info: VolumeInfo, p: TracePara
         total[live] += 1
         took[live] += s.accepted
         if p.normals:
-            n = np.cross(np.cross(vel[live], nrm[live]), vel[live])
-            size_n = np.linalg.norm(n, axis=1)[:, None]
-            nrm[live] = np.where(size_n > 1e-30, n / np.maximum(size_n, 1e-30), nrm[live])
+            old_nrm = nrm[live]
+            nrm[live] = _across(vel[live], old_nrm)
         done = live[s.accepted]
         moved = np.linalg.norm(pos[done] - out_pos[done], axis=1)
         outside = (np.abs(pos[done]) > half).any(1)
         emit = (moved >= p.pos_diff) | (time[done] - out_time[done] >= p.time_diff) | outside
         if s.coeffs is not None and p.pos_diff > 0:
-            parts = np.floor(moved / p.pos_diff).clip(1, 64).astype(int)
+            room = np.maximum(p.max_len - length[done], 1)  # the last part is the step's own end
+            parts = np.minimum(np.floor(moved / p.pos_diff).clip(1), room).astype(int)
+            curves, t0, span = s.coeffs[s.accepted], before[s.accepted], (time[live] - before)[s.accepted]
+            side = old_nrm[s.accepted] if p.normals else nrm[done]
             for k in range(1, int(parts.max(initial=1))):
                 sel = np.flatnonzero((parts > k) & emit)
                 if len(sel):
-                    cf, part = s.coeffs[s.accepted][sel], k / parts[sel]
-                    at = np.stack([bezier(cf[i : i + 1], part[i])[0] for i in range(len(sel))])
-                    t0 = before[s.accepted][sel]
-                    write(done[sel], at, t0 + part * (time[done[sel]] - t0))
+                    part = k / parts[sel]
+                    v = bezier_slope(curves[sel], part) / span[sel][:, None]
+                    n = _across(v, side[sel]) if p.normals else nrm[done[sel]]
+                    side[sel] = n
+                    write(done[sel], bezier(curves[sel], part[:, None, None]), t0[sel] + part * span[sel], v, n)
         who = done[emit]
         write(who, pos[who], time[who])
         out_pos[who], out_time[who] = pos[who], time[who]
-        status[done[outside]] = "left"
+        status[done[outside]] = STATUS.index("left")
         if p.min_velocity > 0:
-            status[done[(vel[done] ** 2).sum(1) < p.min_velocity**2]] = "slow"
+            status[done[(vel[done] ** 2).sum(1) < p.min_velocity**2]] = STATUS.index("slow")
         inside = ((pos[done] >= lo) & ((pos[done] < hi) | (hi >= half))).all(1)
-        status[done[~inside & ~outside]] = "left_brick" if hold else "moved"
+        status[done[~inside & ~outside]] = STATUS.index("left_brick" if hold else "moved")
     v = [np.concatenate([o[k] for o in out]) if out else np.empty((0, 3) if k in (2, 4, 5) else 0) for k in range(6)]
     vertices = pd.DataFrame({"kind": 0, "line_id": v[0], "seq": v[1].astype(np.int64), "x": v[2][:, 0], "y": v[2][:, 1], "z": v[2][:, 2], "time": v[3], "vel_x": v[4][:, 0], "vel_y": v[4][:, 1], "vel_z": v[4][:, 2], "nrm_x": v[5][:, 0], "nrm_y": v[5][:, 1], "nrm_z": v[5][:, 2]})
-    state = pd.DataFrame({"kind": 1, "line_id": ids, "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "sx": lines["sx"].to_numpy(), "sy": lines["sy"].to_numpy(), "sz": lines["sz"].to_numpy(), "time": time, "dt": dt, "nrm_x": nrm[:, 0], "nrm_y": nrm[:, 1], "nrm_z": nrm[:, 2], "steps_total": total, "steps_accepted": took, "length": length, "code": [STATUS.index(x) for x in status], "limit": lines["limit"].to_numpy()})
+    state = pd.DataFrame({"kind": 1, "line_id": ids, "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "sx": lines["sx"].to_numpy(), "sy": lines["sy"].to_numpy(), "sz": lines["sz"].to_numpy(), "time": time, "dt": dt, "nrm_x": nrm[:, 0], "nrm_y": nrm[:, 1], "nrm_z": nrm[:, 2], "steps_total": total, "steps_accepted": took, "length": length, "code": status.astype(np.int32), "limit": lines["limit"].to_numpy()})
     return pd.concat([vertices, state], ignore_index=True)
 
 
 _OUT = "kind int, line_id long, seq int, x double, y double, z double, time double, vel_x double, vel_y double, vel_z double, nrm_x double, nrm_y double, nrm_z double, sx double, sy double, sz double, dt double, steps_total long, steps_accepted long, length int, code int, limit double"
-STATUS = ("active", "moved", "boundary", "old", "long", "left", "slow", "left_brick", "lost")
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
@@ -223,13 +237,16 @@ def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams,
         live = live.withColumns({f"b{a}": F.least(F.col(f"b{a}"), F.lit(n - 1)) for a, n in zip(AXES, info.brick_count, strict=True)}).withColumn("salt", F.pmod(F.xxhash64("line_id"), F.lit(p.salt)).cast("int"))
         if path:
             live = live.withColumn("tk", F.least(F.floor(F.col("time") / info.dt + 1e-9), F.lit(max(0, info.nt - 2))).cast("int"))
-        got = cut(live.drop("status").groupBy(*keys).cogroup(bricks.groupBy(*keys)).applyInPandas(solve, _OUT))
+        near = bricks.join(live.select(*keys).distinct(), keys, "left_semi")  # bricks without lines stay where they are
+        got = cut(live.drop("status").groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(solve, _OUT))
         got = got.withColumn("status", F.get(F.array(*[F.lit(x) for x in STATUS]), F.col("code")))
         vertices.append(got.where("kind = 0").select(*_VERTEX))
         ended = got.where("kind = 1 and status not in ('active', 'moved', 'boundary')")
         finals.append(ended.select(*_STATE))
         state = got.where("kind = 1 and status in ('active', 'moved', 'boundary')").select(*_STATE, "limit")
     else:
+        if not hold and state.limit(1).count():
+            raise RuntimeError(f"lines are still on their way after {p.rounds} rounds; raise TraceParams.rounds")
         finals.append(state.select(*_STATE))
     union = lambda parts, like: parts[0] if len(parts) == 1 else _all(parts)
     spark = seeds.sparkSession
@@ -286,7 +303,7 @@ def enrich_vertices(vertices: DataFrame, voxels: DataFrame, info: VolumeInfo, ke
     from fieldspark.functions.info import world_to_grid
     from fieldspark.operators.sampling import derivative_at, sample
 
-    keyed = vertices.withColumn("pid", F.col("line_id") * 1_000_000 + F.col("seq"))
+    keyed = vertices.withColumn("pid", F.struct("line_id", "seq"))
     points = world_to_grid(keyed, info).withColumn("t", F.lit(0)).select("pid", "t", "gx", "gy", "gz")
     values = sample(points, voxels, info, kernel, ("u", "v", "w", "temp"))
     d = derivative_at(points, voxels, info, kernel, ("u", "v", "w", "temp"))

@@ -383,7 +383,7 @@ def _symbols(s, d):
 
 @query("agg5_prefix_sum", f"WITH {_RUNS} SELECT l_orderkey,i,CAST(sum(s) OVER (PARTITION BY l_orderkey ORDER BY i) AS BIGINT) prefix FROM r")
 def _(s, d):
-    return _symbols(s, d).select("l_orderkey", "i", F.sum("s").over(Window.partitionBy("l_orderkey").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("prefix"))
+    return stats.prefix_sum(_symbols(s, d), ["l_orderkey"], ["i"], "s").select("l_orderkey", "i", "prefix")
 
 
 @query("agg6_points_per_brick", f'WITH {_PB} SELECT bx,"by",bz,count(*) n_points,min("time") first_time FROM pb GROUP BY bx,"by",bz')

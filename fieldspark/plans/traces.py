@@ -59,7 +59,7 @@ def _(s, d):
 
 @query("trc3_dense_lines")
 def _(s, d):
-    return rounded(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="dopri5", dt=0.01, tol=1.0, dt_max=0.02, max_age=0.04, dense=True, pos_diff=0.25, time_diff=1.0)[0], ["line_id", "seq"], ["x", "y", "z", "time"])
+    return rounded(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="dopri5", dt=0.01, tol=1.0, dt_max=0.02, max_age=0.04, dense=True, normals=True, pos_diff=0.25, time_diff=1.0)[0], ["line_id", "seq"], ["x", "y", "z", "time", "vel_x", "vel_y", "vel_z", "nrm_x", "nrm_y", "nrm_z"])
 
 
 @query("trc4_path_lines")

@@ -78,7 +78,10 @@ def write_stats(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 
-write_trace_stats = write_stats
+def write_trace_stats(df: DataFrame, path: str, **keys: str | int | float) -> None:
+    """Statistics or timings of a trace, under the given key columns, which come first; runs add up in one folder."""
+    rows = df.select(*[F.lit(v).alias(k) for k, v in keys.items()], *[c for c in df.columns if c not in keys])
+    rows.write.mode("append").option("sep", ";").option("header", True).csv(path)
 
 
 def read_stats(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -220,3 +220,36 @@ def test_particles_go_on_after_an_exit_whatever_the_batches(spark, tmp_path):
 
     for life in (1e9, 0.2):
         assert run(1, life) == run(3, life) == run(23, life)
+
+
+def test_dense_vertices_have_the_curves_velocity_and_normal(spark, vortex):
+    start = spark.createDataFrame([(1, 0.5, 0.0, 0.0), (2, 0.3, 0.2, 0.1)], "pid long, x double, y double, z double")
+    info = VolumeInfo(8, 8, 8, 1, brick=8, overlap=2)
+    made = dict(scheme="dopri5", dt=0.02, tol=10.0, dt_max=0.3, max_age=3.0, dense=True, normals=True, pos_diff=0.01, time_diff=1e9)
+    v, ends = TR.trace_stream(vortex, info, start, **made)
+    rows = v.toPandas().sort_values(["line_id", "seq"])
+    for _, line in rows.groupby("line_id"):
+        at, time = line[["x", "y", "z"]].to_numpy(), line["time"].to_numpy()
+        vel, nrm = line[["vel_x", "vel_y", "vel_z"]].to_numpy(), line[["nrm_x", "nrm_y", "nrm_z"]].to_numpy()
+        assert line["seq"].tolist() == list(range(len(line))) and len(line) > 6
+        slope = (at[2:] - at[:-2]) / (time[2:] - time[:-2])[:, None]
+        assert np.abs(slope - vel[1:-1]).max() < 0.1 * np.abs(vel).max()
+        assert np.allclose((vel * nrm).sum(1), 0, atol=1e-9) and np.allclose(np.linalg.norm(nrm, axis=1), 1)
+    short = TR.trace_stream(vortex, info, start, **(made | {"max_len": 5}))[0].groupBy("line_id").count().collect()
+    assert all(r["count"] == 5 for r in short)
+
+
+def test_lines_on_their_way_are_an_error(spark, vortex):
+    start = spark.createDataFrame([(1, 0.5, 0.0, 0.0)], "pid long, x double, y double, z double")
+    with pytest.raises(RuntimeError, match="rounds"):
+        TR.trace_stream(vortex, VolumeInfo(8, 8, 8, 1, brick=4, overlap=1), start, scheme="rk4", dt=0.1, max_age=60.0, max_len=10**6, rounds=1)
+
+
+def test_prefix_sums_and_trace_statistics(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 5)], "k string, i int, s int")
+    assert sorted(r.prefix for r in stats.prefix_sum(rows, ["k"], ["i"], "s").collect()) == [2, 5, 5]
+    assert sorted(r.prefix for r in stats.prefix_sum(rows, ["k"], ["i"], "s", exclusive=True).collect()) == [0, 0, 2]
+    for run in (1, 2):
+        VOL.write_trace_stats(rows.where(f"i = {run}"), f"{tmp_path}/stats", run=run, scheme="rk4")
+    got = VOL.read_stats(spark, f"{tmp_path}/stats", "run int, scheme string, k string, i int, s int")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "rk4", "a", 1, 2), (1, "rk4", "b", 1, 5), (2, "rk4", "a", 2, 3)]
