@@ -32,9 +32,14 @@ def neighbour(col: str, axis: str, k: int, boundary: str = "clamp") -> Column:
     if boundary == "clamp":
         return F.coalesce(value, (F.last if k >= 0 else F.first)(col).over(whole))
     if boundary == "periodic":
-        n = F.count("*").over(Window.partitionBy(*PENCIL[axis]))
-        values = F.collect_list(col).over(whole)
-        return F.coalesce(value, F.get(values, F.pmod(F.row_number().over(w) - 1 + k, n).cast("int")))
+        m, n = abs(k), F.count("*").over(whole)
+        if k >= 0:
+            far, at = [F.nth_value(col, j).over(whole) for j in range(1, m + 1)], F.row_number().over(w) - 1
+        else:
+            back = Window.partitionBy(*PENCIL[axis]).orderBy(F.desc(axis)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            far, at = [F.last(col).over(whole)] if m == 1 else [F.nth_value(col, j).over(back) for j in range(1, m + 1)], n - F.row_number().over(w)
+        # only the |k| values of the far end travel with a row; within the border `at` + m lies past them
+        return F.coalesce(value, F.get(F.array(*far), F.pmod(at + m, n).cast("int"))) if m else value
     raise ValueError(boundary)
 
 
