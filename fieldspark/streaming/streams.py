@@ -41,20 +41,42 @@ def ingested_stats(spark: SparkSession, path: str) -> DataFrame:
 CELLS = "pid long, current_cell long, time_in_cell double, longest_cell long, longest_time double"
 
 
-def stream_time_in_cell(visits: DataFrame, threshold: float, watermark: str | None = None, time: str = "ts") -> DataFrame:
-    """The state of each particle after every batch of visits (pid, seq, region, dt); late rows go past the watermark."""
+def stream_time_in_cell(visits: DataFrame, threshold: float, watermark: str | None = None, time: str = "ts", keep: float | None = None) -> DataFrame:
+    """The state of each particle after every batch of visits (pid, seq, region, dt).
+
+    With a watermark, rows older than it as their batch begins are left out. keep: seconds after which, by the watermark, a particle not seen again
+    is forgotten; it starts anew if it comes back. Without keep, states stay.
+    """
+    if keep is not None and not watermark:
+        raise ValueError("keep needs a watermark")
     if watermark:
-        visits = visits.withWatermark(time, watermark)
+        visits = visits.withWatermark(time, watermark).withColumn("_ms", F.unix_millis(time))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = state.get if state.exists else (0, 0.0, 0.0, 0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *own, last = state.get if state.exists else (0, 0.0, 0.0, 0, 0.0, 0)
         rows = pd.concat(list(parts)).sort_values("seq")
+        if watermark:
+            rows = rows[rows["_ms"] >= state.getCurrentWatermarkMs()]  # Spark itself leaves them out a batch later
+        if not len(rows):
+            if keep is not None and state.exists:
+                state.setTimeoutTimestamp(max(last + int(1000 * keep), state.getCurrentWatermarkMs() + 1))
+            return
+        if keep is not None and state.exists and last + 1000 * keep <= state.getCurrentWatermarkMs():
+            own, last = (0, 0.0, 0.0, 0, 0.0), 0
         for cell, dt in zip(rows["region"].tolist(), rows["dt"].tolist(), strict=True):
-            own = cell_step(own, int(cell), float(dt), threshold)
-        state.update(own)
+            own = cell_step(tuple(own), int(cell), float(dt), threshold)
+        if watermark:
+            last = max(last, int(rows["_ms"].max()))
+        state.update((*own, last))
+        if keep is not None:
+            state.setTimeoutTimestamp(max(last + int(1000 * keep), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"pid": [key[0]], "current_cell": [own[0]], "time_in_cell": [own[1]], "longest_cell": [own[3]], "longest_time": [own[4]]})
 
-    return visits.groupBy("pid").applyInPandasWithState(run, CELLS, "cell long, inside double, outside double, longest long, most double", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
+    return visits.groupBy("pid").applyInPandasWithState(run, CELLS, "cell long, inside double, outside double, longest long, most double, last long", "update", timeout)
 
 
 def stream_heat_map(points: DataFrame, info: VolumeInfo, dims: tuple[int, int, int], window: str | None = None, watermark: str | None = None, time: str = "ts") -> DataFrame:

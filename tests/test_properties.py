@@ -222,6 +222,34 @@ def test_particles_go_on_after_an_exit_whatever_the_batches(spark, tmp_path):
         assert run(1, life) == run(3, life) == run(23, life)
 
 
+@pytest.mark.parametrize("keep,want", [(None, {1: 2.0, 2: 3.0}), (7200.0, {1: 1.0, 2: 1.0})])
+def test_late_visits_are_left_out_and_silent_particles_forgotten(spark, tmp_path, keep, want):
+    from fieldspark.streaming import streams
+
+    files = [
+        [(1, 1, 5, 1.0, "2024-01-20 00:00:00"), (2, 1, 5, 1.0, "2024-01-20 00:00:00")],
+        [(1, 2, 5, 5.0, "2024-01-10 00:00:00"), (2, 2, 5, 1.0, "2024-01-21 00:00:00")],  # the first is ten days late
+        [(1, 3, 5, 1.0, "2024-01-25 00:00:00")],
+        [(2, 3, 5, 1.0, "2024-01-25 01:00:00")],
+    ]
+    at = f"{tmp_path}/{keep}"
+    for rows in files:
+        df = spark.createDataFrame(rows, "pid long, seq int, region long, dt double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(at)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    last = {}
+    out = streams.stream_time_in_cell(source, 0.5, "1 hour", keep=keep)
+    out.writeStream.outputMode("update").foreachBatch(lambda b, n: last.update({r.pid: r.time_in_cell for r in b.collect()})).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
+    assert last == want
+
+
+@pytest.mark.parametrize("k", [-9, -3, -1, 0, 2, 9])
+def test_periodic_neighbours_by_index(spark, k):
+    cells = spark.createDataFrame([(0, x, y, 0, None if x == 2 else 10.0 * x + y) for x in range(5) for y in range(2)], "t int, x int, y int, z int, u double")
+    got = {(r.x, r.y): r.n for r in stencil.shift(cells, "u", "x", k, "periodic", "n").collect()}
+    assert got == {(x, y): None if (x + k) % 5 == 2 else 10.0 * ((x + k) % 5) + y for x in range(5) for y in range(2)}
+
+
 def test_dense_vertices_have_the_curves_velocity_and_normal(spark, vortex):
     start = spark.createDataFrame([(1, 0.5, 0.0, 0.0), (2, 0.3, 0.2, 0.1)], "pid long, x double, y double, z double")
     info = VolumeInfo(8, 8, 8, 1, brick=8, overlap=2)
