@@ -185,7 +185,8 @@ def _run(lines: pd.DataFrame, rows: pd.DataFrame, info: VolumeInfo, p: TracePara
         if p.min_velocity > 0:
             status[done[(vel[done] ** 2).sum(1) < p.min_velocity**2]] = STATUS.index("slow")
         inside = ((pos[done] >= lo) & ((pos[done] < hi) | (hi >= half))).all(1)
-        status[done[~inside & ~outside]] = STATUS.index("left_brick" if hold else "moved")
+        gone = done[~inside]
+        status[gone[status[gone] == ACTIVE]] = STATUS.index("left_brick" if hold else "moved")
     v = [np.concatenate([o[k] for o in out]) if out else np.empty((0, 3) if k in (2, 4, 5) else 0) for k in range(6)]
     vertices = pd.DataFrame({"kind": 0, "line_id": v[0], "seq": v[1].astype(np.int64), "x": v[2][:, 0], "y": v[2][:, 1], "z": v[2][:, 2], "time": v[3], "vel_x": v[4][:, 0], "vel_y": v[4][:, 1], "vel_z": v[4][:, 2], "nrm_x": v[5][:, 0], "nrm_y": v[5][:, 1], "nrm_z": v[5][:, 2]})
     state = pd.DataFrame({"kind": 1, "line_id": ids, "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "sx": lines["sx"].to_numpy(), "sy": lines["sy"].to_numpy(), "sz": lines["sz"].to_numpy(), "time": time, "dt": dt, "nrm_x": nrm[:, 0], "nrm_y": nrm[:, 1], "nrm_z": nrm[:, 2], "steps_total": total, "steps_accepted": took, "length": length, "code": status.astype(np.int32), "limit": lines["limit"].to_numpy()})

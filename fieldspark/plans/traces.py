@@ -17,6 +17,7 @@ from fieldspark.operators import trace as TR
 from fieldspark.plans.catalog import BOX, G, P, V, VIS, XYZ, _axis_sql, _HM, _LONG, _ST, _STC, _TIC, query, rounded, rr
 from fieldspark.plans.fixtures import CHANNELS, INFO, grid, grid_points, r6, regions, table, vertices, visits, world_points
 from fieldspark.plans.sweep import spaced, sweep_table, trace_sweep
+from fieldspark.plans.trace_sql import AXES, CH, SEEDS, VMAX, WORLD, ctes, trace, velocity
 from fieldspark.sources import volumes as VOL
 from fieldspark.streaming import streams
 
@@ -42,8 +43,11 @@ def _(s, d):
     return rounded(TR.euler_step(grid_points(s, d).select("pid", "t", "gx", "gy", "gz"), grid(s, d), INFO, 0.01), ["pid", "t"], ["gx", "gy", "gz"])
 
 
+_ENDS = "SELECT id line_id,status,total steps_total,took steps_accepted," + ",".join(rr(f"2*g{a}-8", a) for a in AXES) + "," + rr("time", '"time"')
+_LAST = f"{_ENDS} FROM tr WHERE status<>'active'"
+
 for _k, _scheme in enumerate(["euler", "heun", "rk3", "rk4", "bs32", "rkf34", "rkf45", "rkf54", "dopri5"], 1):
-    query(f"adv{_k}_trace_{_scheme}")(lambda s, d, scheme=_scheme: _ends(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme=scheme, dt=0.005, dt_max=0.02, tol=0.5, max_age=0.05)[1]))
+    query(f"adv{_k}_trace_{_scheme}", f"{ctes(trace(_scheme, 0.005, 0.05, tol=0.5, dt_max=0.02))} {_LAST}")(lambda s, d, scheme=_scheme: _ends(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme=scheme, dt=0.005, dt_max=0.02, tol=0.5, max_age=0.05)[1]))
 
 
 @query("trc1_stream_lines")
@@ -62,17 +66,17 @@ def _(s, d):
     return rounded(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="dopri5", dt=0.01, tol=1.0, dt_max=0.02, max_age=0.04, dense=True, normals=True, pos_diff=0.25, time_diff=1.0)[0], ["line_id", "seq"], ["x", "y", "z", "time", "vel_x", "vel_y", "vel_z", "nrm_x", "nrm_y", "nrm_z"])
 
 
-@query("trc4_path_lines")
+@query("trc4_path_lines", f"{ctes(trace('rk4', 0.01, 0.1, path=True))} {_LAST}")
 def _(s, d):
     return _ends(TR.trace_path(grid(s, d), TRACE, _seeds(s, d), scheme="rk4", dt=0.01, max_age=0.1)[1])
 
 
-@query("trc5_particles")
+@query("trc5_particles", f"{ctes(trace('rk4', 0.01, 0.03, most=None, slow=5.0))} SELECT pid,x,y,z,\"time\" FROM (SELECT id pid," + ",".join(rr(f"2*g{a}-8", a) for a in AXES) + "," + rr("time", '"time"') + " FROM tr WHERE status='old')")
 def _(s, d):
     return rounded(TR.step_particles(_seeds(s, d), _frozen(s, d), TRACE, 0.01, 3, 5.0), ["pid"], ["x", "y", "z", "time"])
 
 
-@query("trc6_end_points")
+@query("trc6_end_points", f"{ctes(trace('rk4', 0.01, 0.04, most=None))} SELECT line_id pid,status,x,y,z,\"time\" FROM ({_LAST})")
 def _(s, d):
     return TR.advect_points(_seeds(s, d), _frozen(s, d), TRACE, 0.04, scheme="rk4", dt=0.01).select("pid", "status", *[r6(c).alias(c) for c in ENDS])
 
@@ -89,12 +93,12 @@ def _(s, d):
     return rounded(TR.enrich_vertices(v, grid(s, d), INFO), ["line_id", "seq"], ["u", "temp", "j00", "j12", "grad_temp_x"])
 
 
-@query("trc10_limited_steps")
+@query("trc10_limited_steps", f"{ctes(VMAX, trace('euler', 0.02, 0.04, limit_step=True))} {_LAST}")
 def _(s, d):
     return _ends(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="euler", dt=0.02, max_age=0.04, limit_step=True, salt=2)[1])
 
 
-@query("trj7_trace_stats")
+@query("trj7_trace_stats", f"{ctes(trace('dopri5', 0.005, 0.04, tol=0.5, dt_max=0.02))} SELECT count(*) lines,CAST(sum(total) AS BIGINT) steps_total,CAST(sum(took) AS BIGINT) steps_accepted,CAST(sum(6*total) AS BIGINT) evaluations,count_if(status='old') old,count_if(status='left') \"left\",count_if(status='long') long,count_if(status NOT IN ('old','left','long')) other FROM tr WHERE status<>'active'")
 def _(s, d):
     return TR.trace_stats(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="dopri5", dt=0.005, dt_max=0.02, tol=0.5, max_age=0.04)[1], "dopri5")
 
@@ -111,7 +115,10 @@ def _(s, d):
     return rounded(sweep_table(s, ["rk4", "dopri5"], ["linear", "catrom"], 4, (0.001, 0.008), (0.01, 1.0)), ["scheme", "kernel", "quality"], ["dt", "tol"])
 
 
-@query("swp1_trace_sweep")
+_SWEEP = [(sc, dt) for sc in ("euler", "rk4") for dt in (0.0025, 0.01)]
+
+
+@query("swp1_trace_sweep", ctes(*[trace(sc, dt, 0.02, name=f"tr{k}") for k, (sc, dt) in enumerate(_SWEEP)]) + " " + " UNION ALL ".join(f"SELECT {k} run,line_id,status,x,y,z,\"time\" FROM ({_ENDS} FROM tr{k} WHERE status<>'active')" for k in range(len(_SWEEP))))
 def _(s, d):
     runs = [TR.TraceParams(scheme=sc, dt=dt, max_age=0.02, tol=0.5, dt_max=0.02) for sc in ("euler", "rk4") for dt in spaced(0.0025, 0.01, 2)]
     out = trace_sweep(_frozen(s, d), TRACE, _seeds(s, d), runs)
@@ -225,7 +232,7 @@ def _(s, d):
     return done.select(F.date_format("start", "yyyy-MM-dd").alias("ymd"), "gx", "cnt")
 
 
-@query("trj10_progress")
+@query("trj10_progress", f"{ctes(trace('rk4', 0.005, 0.03))} SELECT {rr('avg(least(1.0,greatest(len/64,time/0.03)))', 'progress')} FROM tr WHERE status<>'active'")
 def _(s, d):
     return rounded(TR.trace_progress(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="rk4", dt=0.005, max_age=0.03)[1], 64, 0.03), [], ["progress"])
 
