@@ -554,6 +554,14 @@ e3 AS (SELECT *, acos(least(1.0,greatest(-1.0,coalesce((((a-mean)*((b-mean)*(c-m
 e4 AS (SELECT *, mean+2*p*cos(phi) hi, mean+2*p*cos(phi+2*pi()/3) lo FROM e3)"""
 ORACLES["mea5_lambda2"] = f"WITH {J}, m0 AS (SELECT t,x,y,z,{_ss(0, 0)}+{_oo(0, 0)} a,{_ss(1, 1)}+{_oo(1, 1)} b,{_ss(2, 2)}+{_oo(2, 2)} c,{_ss(0, 1)}+{_oo(0, 1)} d,{_ss(0, 2)}+{_oo(0, 2)} e,{_ss(1, 2)}+{_oo(1, 2)} f FROM j), {_EIG} SELECT t,x,y,z,{rr('3*mean-hi-lo', 'm')} FROM e4"
 
+# the vector of the middle eigenvalue: the longest cross product of two rows of the matrix less the value
+_CROSS = lambda p, q: (f"({p[1]}*{q[2]}-{p[2]}*{q[1]})", f"({p[2]}*{q[0]}-{p[0]}*{q[2]})", f"({p[0]}*{q[1]}-{p[1]}*{q[0]})")
+_ROWS = (("(a-l)", "d", "e"), ("d", "(b-l)", "f"), ("e", "f", "(c-l)"))
+_TRIES = [_CROSS(_ROWS[i], _ROWS[k]) for i, k in ((0, 1), (0, 2), (1, 2))]
+_SIZES = ", ".join("+".join(f"{v}*{v}" for v in t) + f" n{k}" for k, t in enumerate(_TRIES))
+_DOTS = ", ".join(f"abs({'+'.join(f'{v}*{o}' for v, o in zip(t, _w, strict=True))}) d{k}" for k, t in enumerate(_TRIES))
+ORACLES["mea13_pva"] = f"WITH {J}, m0 AS (SELECT *,j00 a,j11 b,j22 c,j01 d,j02 e,j12 f FROM j), {_EIG}, e5 AS (SELECT *,3*mean-hi-lo l FROM e4), e6 AS (SELECT t,x,y,z,{_SIZES},{_DOTS} FROM e5), e7 AS (SELECT *,greatest(n0,n1,n2) n FROM e6) SELECT t,x,y,z,{rr('CASE WHEN n>0 THEN CASE WHEN n0>=n THEN d0 WHEN n1>=n THEN d1 ELSE d2 END/sqrt(n) ELSE 0.0 END', 'm')} FROM e7"
+
 
 @query("mea14_eigensystem", f"WITH {J}, m0 AS (SELECT t,x,y,z,j00 a,j11 b,j22 c,j01 d,j02 e,j12 f FROM j), {_EIG} SELECT t,x,y,z,{rr('hi', 'e1')},{rr('3*mean-hi-lo', 'e2')},{rr('lo', 'e3')} FROM e4")
 def _(s, d):
@@ -584,22 +592,51 @@ def _weights_sql(kernel: str, t: str) -> list[str]:
     return _lagrange_sql(int(kernel.removeprefix("lagrange")), t)
 
 
-def _axis_sql(kernel: str, a: str, shift: float = 0.0) -> str:
+def _axis_sql(kernel: str, a: str, shift: float = 0.0, weights: list[str] | None = None) -> str:
     q = f"(p{a}-{shift})"
-    parts = [f"SELECT pid p_{a}, CAST(least(7,greatest(0,floor({q})+({o}))) AS INT) i{a}, {w} w{a} FROM p" for o, w in zip(KERNELS[kernel].offsets, _weights_sql(kernel, f"({q}-floor({q}))"), strict=True)]
+    weights = weights or _weights_sql(kernel, f"({q}-floor({q}))")
+    parts = [f"SELECT pid p_{a}, CAST(least(7,greatest(0,floor({q})+({o}))) AS INT) i{a}, {w} w{a} FROM p" for o, w in zip(KERNELS[kernel].offsets, weights, strict=True)]
     return f"a{a} AS (" + " UNION ALL ".join(parts) + ")"
 
 
+_FROM_AXES = "FROM p JOIN ax ON p_x=pid JOIN ay ON p_y=pid JOIN az ON p_z=pid JOIN g ON g.t=p.t AND g.x=ix AND g.y=iy AND g.z=iz GROUP BY pid"
+
+
+def _staggered_sql() -> str:
+    """Each component from a lattice half a cell further along its own axis."""
+    parts = []
+    for c, own in zip("uvw", "xyz", strict=True):
+        axes = ", ".join(_axis_sql("catrom", a, 0.5 * (a == own)) for a in "xyz")
+        parts.append(f"r{c} AS (WITH {axes} SELECT pid,sum(wx*wy*wz*{c}) {c} {_FROM_AXES})")
+    return f"WITH {G}, {P}, {', '.join(parts)} SELECT pid,{rr('u', 'u')},{rr('v', 'v')},{rr('w', 'w')} FROM ru JOIN rv USING (pid) JOIN rw USING (pid)"
+
+
+def _slope_sql(kernel: str, t: str) -> list[str]:
+    if kernel == "bspline":
+        return [f"-0.5*pow(1-{t},2)", f"1.5*{t}*{t}-2*{t}", f"2*(1-{t})-1.5*pow(1-{t},2)", f"0.5*{t}*{t}"]
+    return [f"-1.5*{t}*{t}+2*{t}-0.5", f"4.5*{t}*{t}-5*{t}", f"-4.5*{t}*{t}+4*{t}+0.5", f"1.5*{t}*{t}-{t}"]
+
+
+def _gradient_sql(kernel: str, channels: str) -> str:
+    """CTEs sx, sy, sz: pid and the derivatives of channels along an axis, d<channel>_<axis>."""
+    parts = []
+    for own in "xyz":
+        axes = [_axis_sql(kernel, a, weights=_slope_sql(kernel, f"(p{a}-floor(p{a}))") if a == own else None) for a in "xyz"]
+        sums = ",".join(f"sum(wx*wy*wz*{c}) d{c}_{own}" for c in channels.split())
+        parts.append(f"s{own} AS (WITH {', '.join(axes)} SELECT pid,{sums} {_FROM_AXES})")
+    return ", ".join(parts)
+
+
 def _sample_sql(kernel: str) -> str:
     axes = ", ".join(_axis_sql(kernel, a) for a in "xyz")
     return f"WITH {G}, {P}, {axes} SELECT pid," + ",".join(rr(f"sum(wx*wy*wz*{c})", c) for c in "uvw") + " FROM p JOIN ax ON p_x=pid JOIN ay ON p_y=pid JOIN az ON p_z=pid JOIN g ON g.t=p.t AND g.x=ix AND g.y=iy AND g.z=iz GROUP BY pid"
 
 
 for _n, _k in enumerate(["linear", "bspline", "catrom", "catrom_staggered", "lagrange4", "lagrange6", "lagrange8"], 1):
-    query(f"int{_n}_{_k}", None if _k == "catrom_staggered" else _sample_sql(_k))(lambda s, d, k=_k: rounded(sampling.sample(grid_points(s, d), grid(s, d), INFO, k), ["pid"], ["u", "v", "w"]))
+    query(f"int{_n}_{_k}", _staggered_sql() if _k == "catrom_staggered" else _sample_sql(_k))(lambda s, d, k=_k: rounded(sampling.sample(grid_points(s, d), grid(s, d), INFO, k), ["pid"], ["u", "v", "w"]))
 
 
-@query("int8_lagrange16")
+@query("int8_lagrange16", _sample_sql("lagrange16"))
 def _(s, d):
     return rounded(sampling.sample_by_brick(grid_points(s, d), grid(s, d), I.VolumeInfo(8, 8, 8, 2, brick=8, overlap=2), "lagrange16"), ["pid"], ["u", "v", "w"])
 
@@ -610,7 +647,7 @@ def _(s, d):
 
 
 for _n, _k in ((4, "bspline"), (5, "catrom")):
-    query(f"drv{_n}_{_k}")(lambda s, d, k=_k: rounded(sampling.derivative_at(grid_points(s, d), grid(s, d), INFO, k, ("u",)), ["pid"], ["du_dx", "du_dy", "du_dz"]))
+    query(f"drv{_n}_{_k}", f"WITH {G}, {P}, {_gradient_sql(_k, 'u')} SELECT pid,{rr('du_x', 'du_dx')},{rr('du_y', 'du_dy')},{rr('du_z', 'du_dz')} FROM sx JOIN sy USING (pid) JOIN sz USING (pid)")(lambda s, d, k=_k: rounded(sampling.derivative_at(grid_points(s, d), grid(s, d), INFO, k, ("u",)), ["pid"], ["du_dx", "du_dy", "du_dz"]))
 
 # ---------------------------------------------------------------- filters
 
@@ -696,9 +733,20 @@ def _(s, d):
     return rounded(Q.wavelet(grid(s, d), "u", "x", "haar"), ["t", "y", "z", "band", "i"], ["c"])
 
 
-@query("qnt9_cdf97_levels")
+def _level_sql(src: str, i: str, c: str, n: int, name: str) -> str:
+    """One level of the wavelet along x over pencils of n cells: mirrored taps, joined to the cells they reach."""
+    low, high = Q.FILTERS["cdf97"]["analysis"]
+    taps = ",".join(f"({k - len(low) // 2},{a!r},{b!r})" for k, (a, b) in enumerate(zip(low, high, strict=True)))
+    at = f"CASE WHEN abs(o.{i}+k)>={n} THEN {2 * (n - 1)}-abs(o.{i}+k) ELSE abs(o.{i}+k) END"
+    return f"{name} AS (SELECT o.t,o.y,o.z,CASE WHEN o.{i}%2=0 THEN 'low' ELSE 'high' END band,CAST(o.{i}//2 AS INT) i,sum(CASE WHEN o.{i}%2=0 THEN lo ELSE hi END*q.{c}) c FROM {src} o, (VALUES {taps}) k(k,lo,hi), {src} q WHERE q.t=o.t AND q.y=o.y AND q.z=o.z AND q.{i}={at} GROUP BY o.t,o.y,o.z,o.{i})"
+
+
+_LEVELS = f"{_level_sql('g', 'x', 'u', 8, 'w1')}, l1 AS (SELECT * FROM w1 WHERE band='low'), {_level_sql('l1', 'i', 'c', 4, 'w2')}, lv AS (SELECT 1 AS level,* FROM w1 WHERE band='high' UNION ALL SELECT 2,* FROM w2)"
+
+
+@query("qnt9_cdf97_levels", f"WITH {G}, {_LEVELS} SELECT t,y,z,band,i,{rr('c', 'c')},level,CAST(trunc(c*pow(2,level)/0.5) AS BIGINT) q FROM lv")
 def _(s, d):
-    return Q.wavelet_levels(grid(s, d), "u", "x", 2, 0.5)
+    return rounded(Q.wavelet_levels(grid(s, d), "u", "x", 2, 0.5), ["t", "y", "z", "band", "i", "level", "q"], ["c"])
 
 
 @query("qnt10_round_trip", f"WITH {G} SELECT t,x,y,z,{rr('u', 'c')} FROM g")
@@ -707,7 +755,7 @@ def _(s, d):
     return rounded(back, list(XYZ), ["c"])
 
 
-@query("qnt10_band_energy")
+@query("qnt10_band_energy", f"WITH {G}, {_LEVELS} SELECT level,band,count(*) n,{rr('sum(c*c)', 'energy')} FROM lv GROUP BY 1,2")
 def _(s, d):
     return rounded(Q.band_energy(Q.wavelet_levels(grid(s, d), "u", "x", 2, 0.5)), ["level", "band", "n"], ["energy"])
 
@@ -806,7 +854,7 @@ def _(s, d):
     return rounded(seeds.seed_ftle(s, _n(s, d, "nation"), BOX, 1.5, (0.1, 0.2, 0.3)), ["pid"], ["x", "y", "z"])
 
 
-@query("sed4_regions")
+@query("sed4_regions", f"WITH {REG}, d AS (SELECT i pid,a.a attempt," + ",".join(f"-6.0+12.0*{_U('(i*20+a.a)', 1, k)} {a}" for k, a in enumerate("xyz")) + f" FROM (SELECT row_number() OVER ()-1 i FROM supplier), range(20) a(a)), h AS (SELECT pid,attempt,x,y,z FROM (SELECT *,{_TX[0]} tx,{_TX[1]} ty FROM d) JOIN reg USING (tx,ty) WHERE region IN (2,5) QUALIFY row_number() OVER (PARTITION BY pid ORDER BY attempt)=1) SELECT d.pid," + ",".join(rr(f"coalesce(h.{a},17.0)", a) for a in "xyz") + " FROM d LEFT JOIN h USING (pid) WHERE d.attempt=0")
 def _(s, d):
     return rounded(seeds.seed_regions(s, _n(s, d), BOX, regions(s), [2, 5], INFO, 16, 16), ["pid"], ["x", "y", "z"])
 

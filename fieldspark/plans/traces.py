@@ -14,7 +14,7 @@ from fieldspark.operators import bricks as B
 from fieldspark.operators import lines as L
 from fieldspark.operators import seeds, stats
 from fieldspark.operators import trace as TR
-from fieldspark.plans.catalog import BOX, G, P, V, VIS, XYZ, _axis_sql, _HM, _LONG, _ST, _STC, _TIC, query, rounded, rr
+from fieldspark.plans.catalog import BOX, G, P, V, VIS, XYZ, _axis_sql, _EIG, _FROM_AXES, _gradient_sql, _HM, _LONG, _ST, _STC, _TIC, _U, query, rounded, rr
 from fieldspark.plans.fixtures import CHANNELS, INFO, grid, grid_points, r6, regions, table, vertices, visits, world_points
 from fieldspark.plans.sweep import spaced, sweep_table, trace_sweep
 from fieldspark.plans.trace_sql import AXES, CH, SEEDS, VMAX, WORLD, ctes, trace, velocity
@@ -50,7 +50,24 @@ for _k, _scheme in enumerate(["euler", "heun", "rk3", "rk4", "bs32", "rkf34", "r
     query(f"adv{_k}_trace_{_scheme}", f"{ctes(trace(_scheme, 0.005, 0.05, tol=0.5, dt_max=0.02))} {_LAST}")(lambda s, d, scheme=_scheme: _ends(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme=scheme, dt=0.005, dt_max=0.02, tol=0.5, max_age=0.05)[1]))
 
 
-@query("trc1_stream_lines")
+def _frames_sql() -> str:
+    """Normals carried along each line: at first across the velocity and the axis it has least of, then kept across it."""
+    at = velocity("SELECT * FROM tr, fld", {a: f"g{a}" for a in AXES}, 0, "catrom")
+    vx = f"vx AS MATERIALIZED (SELECT id,n,gx,gy,gz,time,k0u u,k0v v,k0w w FROM ({at}))"
+    x_least, y_least = "abs(u)<=abs(v) AND abs(u)<=abs(w)", "abs(v)<=abs(w)"
+    pick = lambda a, b, c: f"CASE WHEN {x_least} THEN {a} WHEN {y_least} THEN {b} ELSE {c} END"
+    first = f"SELECT *,{pick('0', '-w', 'v')} a,{pick('w', '0', '-u')} b,{pick('-v', 'u', '0')} c FROM vx WHERE n=0"
+    unit = "a/sqrt(a*a+b*b+c*c) nx,b/sqrt(a*a+b*b+c*c) ny,c/sqrt(a*a+b*b+c*c) nz"
+    own = "(u*u+v*v+w*w)"
+    along = "(nx*u+ny*v+nz*w)"  # (v x n) x v is n times v squared, less v times n.v
+    step = f"SELECT *,nx*{own}-u*{along} a,ny*{own}-v*{along} b,nz*{own}-w*{along} c FROM (SELECT vx.*,nx,ny,nz FROM fr JOIN vx ON vx.id=fr.id AND vx.n=fr.n+1)"
+    return f"{vx}, fr AS (SELECT id,n,gx,gy,gz,time,{unit} FROM ({first}) UNION ALL SELECT id,n,gx,gy,gz,time,{unit} FROM ({step}))"
+
+
+_FRAMES = ",".join([*[rr(f"2*g{a}-8", a) for a in AXES], rr("time", '"time"'), *[rr(f"n{a}", f"nrm_{a}") for a in AXES]])
+
+
+@query("trc1_stream_lines", f"{ctes(trace('rk4', 0.005, 0.04, kernel='catrom'), _frames_sql())} SELECT id line_id,n seq,{_FRAMES} FROM fr")
 def _(s, d):
     return rounded(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="rk4", kernel="catrom", dt=0.005, max_age=0.04, normals=True)[0], ["line_id", "seq"], ["x", "y", "z", "time", "nrm_x", "nrm_y", "nrm_z"])
 
@@ -81,13 +98,22 @@ def _(s, d):
     return TR.advect_points(_seeds(s, d), _frozen(s, d), TRACE, 0.04, scheme="rk4", dt=0.01).select("pid", "status", *[r6(c).alias(c) for c in ENDS])
 
 
-@query("trc7_ftle")
+_FTLE_SEEDS = "seed AS (SELECT CAST((a.i*r+b.i)*6+k AS BIGINT) id," + ",".join(f"({p})/2+4 g{a}" for a, p in zip(AXES, ("-6.0+12.0*a.i/r+dx", "-6.0+12.0*b.i/r+dy", "dz"), strict=True)) + " FROM (SELECT count(*) r FROM nation) n,(SELECT row_number() OVER ()-1 i FROM nation) a,(SELECT row_number() OVER ()-1 i FROM nation) b,(VALUES (0,-0.1,0.0,0.0),(1,0.1,0.0,0.0),(2,0.0,-0.1,0.0),(3,0.0,0.1,0.0),(4,0.0,0.0,-0.1),(5,0.0,0.0,0.1)) q(k,dx,dy,dz))"
+_FLOW_MAP = "fm AS (SELECT id//6 cell,max(time) age," + ",".join(f"sum(CASE id%6 WHEN {2 * c + 1} THEN 2*g{a} WHEN {2 * c} THEN -2*g{a} ELSE 0 END)/0.2 m{r}{c}" for r, a in enumerate(AXES) for c in range(3)) + " FROM tr WHERE status<>'active' GROUP BY 1)"
+_GRAM = "m0 AS (SELECT cell,age," + ",".join("+".join(f"m{r}{i}*m{r}{k}" for r in range(3)) + f" {n}" for n, i, k in zip("abcdef", (0, 1, 2, 0, 0, 1), (0, 1, 2, 1, 2, 2), strict=True)) + " FROM fm)"
+
+
+@query("trc7_ftle", f"{ctes(trace('rk4', 0.005, 0.03, most=None), _FLOW_MAP, _GRAM, _EIG, seeds=_FTLE_SEEDS)} SELECT CAST(cell//r AS INT) gx,CAST(cell%r AS INT) gy,{rr('CASE WHEN age>0 THEN ln(sqrt(greatest(hi,1e-30)))/age ELSE 0.0 END', 'ftle')} FROM e4,(SELECT count(*) r FROM nation)")
 def _(s, d):
     res = table(s, d, "nation").count()
     return rounded(TR.ftle(_frozen(s, d), TRACE, res, BOX, 0.0, (0.1, 0.1, 0.1), 0.03, scheme="rk4", dt=0.005), ["gx", "gy"], ["ftle"])
 
 
-@query("trc9_enriched_vertices")
+_VP = "p AS (SELECT line_id*1000000+seq pid,line_id,seq,x/2+3.5 px,y/2+3.5 py,z/2+3.5 pz,0 t FROM vx)"
+_V0 = V.replace("p AS", "p0 AS", 1).replace("FROM p)", "FROM p0)")
+
+
+@query("trc9_enriched_vertices", f"WITH {_V0}, {G}, {_VP}, {_gradient_sql('catrom', 'u v temp')}, {', '.join(_axis_sql('catrom', a) for a in 'xyz')}, s0 AS (SELECT pid,sum(wx*wy*wz*u) u,sum(wx*wy*wz*temp) temp {_FROM_AXES}) SELECT line_id,seq,{rr('u', 'u')},{rr('temp', 'temp')},{rr('du_x', 'j00')},{rr('dv_z', 'j12')},{rr('dtemp_x', 'grad_temp_x')} FROM p JOIN s0 USING (pid) JOIN sx USING (pid) JOIN sz USING (pid)")
 def _(s, d):
     v = vertices(s, d).select("line_id", "seq", "x", "y", "z", "time")
     return rounded(TR.enrich_vertices(v, grid(s, d), INFO), ["line_id", "seq"], ["u", "temp", "j00", "j12", "grad_temp_x"])
@@ -103,7 +129,19 @@ def _(s, d):
     return TR.trace_stats(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="dopri5", dt=0.005, dt_max=0.02, tol=0.5, max_age=0.04)[1], "dopri5")
 
 
-@query("trj8_flow_graph")
+def _flow_sql(source: str, steps: int) -> str:
+    """Each brick's particles, the same in all, held to their brick; the share that leaves through each side."""
+    unit = ",".join(f"{_U('i', 1, k)} r{a}" for k, a in enumerate(AXES))
+    brick = ",".join(f"{e} e{a}" for a, e in zip(AXES, ("b%2", "(b//2)%2", "b//4"), strict=True))
+    places = ",".join(f"4*e{a}+4*r{a} g{a}" for a in AXES)
+    seed = f"unit AS (SELECT i,{unit} FROM (SELECT row_number() OVER ()-1 i FROM {source})), seed AS (SELECT CAST(b*1000000+i AS BIGINT) id,{places} FROM unit,(SELECT b,{brick} FROM range(8) r(b)))"
+    sides = [f"g{a}<4*e{a}" for a in AXES] + [f"g{a}>4*e{a}+4" for a in AXES]
+    wide = "wide AS (SELECT ex,ey,ez," + ",".join(f"avg(CASE WHEN {x} THEN 1.0 ELSE 0.0 END) d{k}" for k, x in enumerate(sides)) + " FROM tr WHERE status<>'active' GROUP BY 1,2,3)"
+    rows = " UNION ALL ".join(f'SELECT ex bx,ey "by",ez bz,{k} dir,{rr(f"d{k}", "freq")} FROM wide' for k in range(6))
+    return f"{ctes(trace('rk4', 0.01, 0.01 * steps, most=None, hold=True), wide, seeds=seed)} {rows}"
+
+
+@query("trj8_flow_graph", _flow_sql("nation", 8))
 def _(s, d):
     n = table(s, d, "nation").count()
     unit = seeds.seed_random(s, n, ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
@@ -159,7 +197,7 @@ def _(s, d):
     return VOL.read_lines(s, at, 3).select("line_id", "seq", "x")
 
 
-@query("src9_flow_graph")
+@query("src9_flow_graph", _flow_sql("region", 2))
 def _(s, d):
     at = _folder(s)
     unit = seeds.seed_random(s, table(s, d, "region").count(), ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
