@@ -113,6 +113,23 @@ def eigenvalues_sym(m: M3) -> V3:
     return high, 3.0 * mean - high - low, low
 
 
+def with_eigenvalues(df: DataFrame, m: M3, names: tuple[str, str, str]) -> DataFrame:
+    """Adds the eigenvalues of eigenvalues_sym, largest first, in steps: what a formula needs often is a column of its own, so the
+    expression doesn't grow with each use. Columns _mean, _size and _phi come and go."""
+    (a, d, e), (_, b, f), (_, _, c) = m
+    mean, p = F.col("_mean"), F.col("_size")
+    df = df.withColumn("_mean", (a + b + c) / 3.0)
+    off = d * d + e * e + f * f
+    df = df.withColumn("_size", F.sqrt(((a - mean) * (a - mean) + (b - mean) * (b - mean) + (c - mean) * (c - mean) + 2.0 * off) / 6.0))
+    ca, cb, cc = a - mean, b - mean, c - mean
+    half_det = (ca * (cb * cc - f * f) - d * (d * cc - f * e) + e * (d * f - cb * e)) / 2.0
+    r = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.coalesce(F.try_divide(half_det, p * p * p), F.lit(1.0))))
+    df = df.withColumn("_phi", F.acos(r) / 3.0)
+    high, low = mean + 2.0 * p * F.cos("_phi"), mean + 2.0 * p * F.cos(F.col("_phi") + 2.0 * math.pi / 3.0)
+    df = df.withColumns({names[0]: high, names[2]: low})
+    return df.withColumn(names[1], 3.0 * mean - F.col(names[0]) - F.col(names[2])).drop("_mean", "_size", "_phi")
+
+
 def eigenvector_sym(m: M3, value: Column) -> V3:
     """Unit eigenvector of a simple eigenvalue: the largest cross product of two rows of m - value; nulls if there is none."""
     (a, d, e), (_, b, f), (_, _, c) = m

@@ -203,16 +203,19 @@ def _bricks(voxels: DataFrame, info: VolumeInfo, p: TraceParams) -> DataFrame:
     return pack_bricks(cells, list(CHANNELS))
 
 
-def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams, path: bool, hold: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Vertices and final states."""
+def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams, path: bool, hold: bool = False, runs: list[TraceParams] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices and final states. runs: parameters by the remainder of a line's id, each dealt to `salt` groups of its own."""
+    many = runs or [p]
     keys = ["bx", "by", "bz", "salt"] + (["tk"] if path else [])
-    salts = F.explode(F.sequence(F.lit(0), F.lit(p.salt - 1)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(p.salt * len(many) - 1)))
     bricks = bricks.withColumn("salt", salts)
     if path:
         bricks = bricks.withColumn("tk", F.explode(F.array("t", F.col("t") - 1))).where(F.col("tk").between(0, max(0, info.nt - 2)))
     bricks = cut(bricks)
     horizon = (info.nt - 1) * info.dt if path else 1e300
-    state = checkpoints(seeds, dt=p.dt).withColumn("limit", F.least(F.col("time") + p.max_age, F.lit(horizon)))
+    run = F.pmod("line_id", F.lit(len(many))).cast("int")
+    own = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), run)
+    state = checkpoints(seeds, dt=p.dt).withColumn("dt", own([q.dt for q in many])).withColumn("limit", F.least(F.col("time") + own([q.max_age for q in many]), F.lit(horizon)))
     vertices, finals = [], []
 
     def solve(key: tuple, lines: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -222,7 +225,7 @@ def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams,
             return lines.assign(kind=1, code=STATUS.index("lost")).reindex(columns=_NAMES)
         until = (key[4] + 1) * info.dt if path and key[4] < info.nt - 2 else 1e301
         lines = lines.sort_values("line_id")
-        return _run(lines, rows.sort_values("t"), info, p, np.array([int(v) for v in key[:3]]), until, hold).reindex(columns=_NAMES)
+        return _run(lines, rows.sort_values("t"), info, many[int(key[3]) % len(many)], np.array([int(v) for v in key[:3]]), until, hold).reindex(columns=_NAMES)
 
     for _ in range(p.rounds):
         inside = F.lit(True)
@@ -235,7 +238,7 @@ def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams,
         if not live.limit(1).count():
             break
         live = with_brick_of(live, info)
-        live = live.withColumns({f"b{a}": F.least(F.col(f"b{a}"), F.lit(n - 1)) for a, n in zip(AXES, info.brick_count, strict=True)}).withColumn("salt", F.pmod(F.xxhash64("line_id"), F.lit(p.salt)).cast("int"))
+        live = live.withColumns({f"b{a}": F.least(F.col(f"b{a}"), F.lit(n - 1)) for a, n in zip(AXES, info.brick_count, strict=True)}).withColumn("salt", (F.pmod(F.xxhash64("line_id"), F.lit(p.salt)) * len(many) + run).cast("int"))
         if path:
             live = live.withColumn("tk", F.least(F.floor(F.col("time") / info.dt + 1e-9), F.lit(max(0, info.nt - 2))).cast("int"))
         near = bricks.join(live.select(*keys).distinct(), keys, "left_semi")  # bricks without lines stay where they are
@@ -267,6 +270,20 @@ def trace_stream(voxels: DataFrame, info: VolumeInfo, seeds: DataFrame, params:
     return _loop(seeds, _bricks(voxels, info, p), info, p, False)
 
 
+def trace_runs(voxels: DataFrame, info: VolumeInfo, seeds: DataFrame, runs: list[TraceParams]) -> tuple[DataFrame, DataFrame]:
+    """Vertices and final states, by run, of the same seeds under several parameters: one trace, whose volume is bricked once.
+
+    pid, times the number of runs, must fit a long.
+    """
+    widest = max(runs, key=lambda p: KERNELS[p.kernel].radius)
+    p = replace(widest, rounds=max(q.rounds for q in runs), salt=max(q.salt for q in runs))
+    n = len(runs)
+    rows = seeds.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("pid", F.col("pid") * n + F.col("_run")).drop("_run")
+    out = _loop(rows, _bricks(voxels, info, p), info, p, False, runs=runs)
+    number, line = F.pmod("line_id", F.lit(n)), F.expr(f"(line_id - pmod(line_id, {n})) div {n}")
+    return tuple(df.withColumn("run", number.cast("int")).withColumn("line_id", line) for df in out)  # type: ignore[return-value]
+
+
 def trace_path(voxels: DataFrame, info: VolumeInfo, seeds: DataFrame, params: TraceParams | None = None, **changes) -> tuple[DataFrame, DataFrame]:
     """The same of path lines: velocity is blended between steps."""
     p = replace(params or TraceParams(), **changes)
@@ -294,8 +311,10 @@ def ftle(voxels: DataFrame, info: VolumeInfo, res: int, box: Box, slice_at: floa
     wide = rows.groupBy("gx", "gy").pivot("k", list(range(6))).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"))
     wide = wide.join(rows.groupBy("gx", "gy").agg(F.max("time").alias("time")), ["gx", "gy"])
     d = tuple(tuple((F.col(f"{2 * c + 1}_{a}") - F.col(f"{2 * c}_{a}")) / (2.0 * sep[c]) for c in range(3)) for a in AXES)
-    top = T.eigenvalues_sym(T.product(T.transpose(d), d))[0]
-    value = F.when(F.col("time") > 0, F.log(F.sqrt(F.greatest(top, F.lit(1e-30)))) / F.col("time") * scale).otherwise(0.0)
+    wide = wide.withColumns({f"d{r}{c}": d[r][c] for r in range(3) for c in range(3)})
+    d = T.m3("d")
+    wide = T.with_eigenvalues(wide, T.product(T.transpose(d), d), ("e1", "e2", "e3"))
+    value = F.when(F.col("time") > 0, F.log(F.sqrt(F.greatest(F.col("e1"), F.lit(1e-30)))) / F.col("time") * scale).otherwise(0.0)
     return wide.select("gx", "gy", value.alias("ftle"))
 
 

@@ -148,9 +148,9 @@ def _(s, d):
     return rounded(TR.flow_graph(_frozen(s, d), TRACE, unit, 0.01, 8), ["bx", "by", "bz", "dir"], ["freq"])
 
 
-@query("swp1_sweep_table", "WITH s(scheme,ad) AS (VALUES ('rk4',false),('dopri5',true)), q AS (SELECT CAST(i AS INT) quality FROM range(4) r(i)) SELECT scheme,kernel,quality," + rr("CASE WHEN ad THEN 0.001 ELSE 0.001*pow(8.0,quality/3.0) END", "dt") + "," + rr("CASE WHEN ad THEN 0.01*pow(100.0,quality/3.0) ELSE 0.01 END", "tol") + " FROM s,(VALUES ('linear'),('catrom')) k(kernel),q")
+@query("swp1_sweep_table", "WITH s(scheme,ad) AS (VALUES ('rk4',false),('dopri5',true)), q AS (SELECT CAST(r_regionkey AS INT) quality FROM region) SELECT scheme,kernel,quality," + rr("CASE WHEN ad THEN 0.001 ELSE 0.001*pow(8.0,quality/4.0) END", "dt") + "," + rr("CASE WHEN ad THEN 0.01*pow(100.0,quality/4.0) ELSE 0.01 END", "tol") + " FROM s,(VALUES ('linear'),('catrom')) k(kernel),q")
 def _(s, d):
-    return rounded(sweep_table(s, ["rk4", "dopri5"], ["linear", "catrom"], 4, (0.001, 0.008), (0.01, 1.0)), ["scheme", "kernel", "quality"], ["dt", "tol"])
+    return rounded(sweep_table(table(s, d, "region").select(F.col("r_regionkey").alias("quality")), ["rk4", "dopri5"], ["linear", "catrom"], 5, (0.001, 0.008), (0.01, 1.0)), ["scheme", "kernel", "quality"], ["dt", "tol"])
 
 
 _SWEEP = [(sc, dt) for sc in ("euler", "rk4") for dt in (0.0025, 0.01)]
@@ -177,10 +177,10 @@ def _(s, d):
     return VOL.read_volume(s, at)[0].select(F.col("t").cast("int").alias("t"), "x", "y", "z", "u", "temp")
 
 
-@query("src6_raw_export", f"WITH {G} SELECT t,z,'u' channel,256 bytes FROM g GROUP BY 1,2 UNION ALL SELECT t,z,'temp',256 FROM g GROUP BY 1,2")
+@query("src6_raw_export", f"WITH {G} SELECT t,x,y,z,{rr('CAST(u AS FLOAT)::DOUBLE', 'u')},{rr('CAST(temp AS FLOAT)::DOUBLE', 'temp')} FROM g")
 def _(s, d):
     rows = B.with_halo(grid(s, d), INFO, "clamp")
-    return VOL.export_raw(rows, INFO, _folder(s), ["u", "temp"]).select(F.col("t").cast("int").alias("t"), "z", "channel", F.length("data").cast("int").alias("bytes"))
+    return rounded(VOL.unpack_raw(VOL.export_raw(rows, INFO, _folder(s), ["u", "temp"]), INFO, ["u", "temp"]), list(XYZ), ["u", "temp"])
 
 
 @query("src7_stats_csv", f"WITH {G}, {_LONG} SELECT t,channel,count(*) n,{rr('avg(v)', 'avg')} FROM c GROUP BY t,channel")

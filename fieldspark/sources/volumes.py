@@ -62,6 +62,21 @@ def export_raw(df: DataFrame, info: VolumeInfo, path: str, cols: list[str]) -> D
     return df.sparkSession.read.parquet(path)
 
 
+def unpack_raw(slabs: DataFrame, info: VolumeInfo, cols: list[str]) -> DataFrame:
+    """t, x, y, z and the channels of a table of raw slabs, as export_raw writes it."""
+    nx = info.nx
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                v = np.frombuffer(r.data, np.float32)
+                i = np.arange(len(v), dtype=np.int32)
+                yield pd.DataFrame({"channel": r.channel, "t": r.t, "x": i % nx, "y": i // nx, "z": r.z, "v": v.astype(float)})
+
+    cells = slabs.where(F.col("channel").isin(cols)).select("channel", F.col("t").cast("int").alias("t"), "z", "data").mapInPandas(run, "channel string, t int, x int, y int, z int, v double")
+    return cells.groupBy("t", "x", "y", "z").pivot("channel", cols).agg(F.first("v"))
+
+
 def write_volume(df: DataFrame, info: VolumeInfo, path: str, mode: str = "overwrite") -> None:
     """A volume table by time step, sorted by place, and its description beside it."""
     df.repartition("t").sortWithinPartitions("z", "y", "x").write.mode(mode).partitionBy("t").parquet(f"{path}/voxels")
@@ -112,10 +127,11 @@ def read_flow_graph(spark: SparkSession, path: str, info: VolumeInfo) -> DataFra
 
 
 def read_points(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:
-    """pid, x, y, z from a file of float32 blocks x[], y[], z[]; each task reads its own range of the three."""
-    import os
+    """pid, x, y, z from a file of float32 blocks x[], y[], z[]; each task reads its own range of the three.
 
-    n = os.path.getsize(path) // 12
+    The file must lie where every executor can open it (a mounted store); its size comes from Spark.
+    """
+    n = spark.read.format("binaryFile").load(path).select("length").first()[0] // 12
     step = max(1, -(-n // parts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
