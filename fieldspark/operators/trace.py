@@ -65,26 +65,24 @@ class BrickField:
         self.half = np.array(info.half_size_world)
         self.cell = 2.0 * np.array(info.spacing)
         self.scale = np.array(velocity_scale(info)) * (-1.0 if backward else 1.0)
-        self.steps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.steps: dict[int, tuple[np.ndarray, np.ndarray, tuple[int, int, int]]] = {}  # cells by channels, origin, size
         for r in rows.itertuples():
-            shape = (r.nz, r.ny, r.nx)
-            self.steps[int(r.t)] = (np.stack([np.asarray(getattr(r, c), float).reshape(shape) for c in CHANNELS]), np.array([r.ox, r.oy, r.oz]))
+            cells = np.stack([np.asarray(getattr(r, c), float) for c in CHANNELS], 1)
+            self.steps[int(r.t)] = (cells, np.array([r.ox, r.oy, r.oz]), (r.nx, r.ny, r.nz))
 
     def _at(self, t: int, g: np.ndarray, shift: np.ndarray | float, channels: list[int]) -> np.ndarray:
-        a, origin = self.steps[t]
+        a, origin, n = self.steps[t]
         q = g - 0.5 - shift
         base = np.floor(q)
         w = [self.k.weights(q[:, d] - base[:, d]) for d in range(3)]
-        n = a.shape[:0:-1]
         cells = [[np.clip(base[:, d].astype(int) + o - origin[d], 0, n[d] - 1) for o in self.k.offsets] for d in range(3)]
-        parts = [a[c] for c in channels]  # views
+        part = a if len(channels) == len(CHANNELS) else np.ascontiguousarray(a[:, channels])
         out = np.zeros((len(g), len(channels)))
         for wz, iz in zip(w[2], cells[2], strict=True):
             for wy, iy in zip(w[1], cells[1], strict=True):
+                row, wyz = (iz * n[1] + iy) * n[0], wy * wz
                 for wx, ix in zip(w[0], cells[0], strict=True):
-                    weight = wx * wy * wz
-                    for k, part in enumerate(parts):
-                        out[:, k] += weight * part[iz, iy, ix]
+                    out += (wx * wyz)[:, None] * part.take(row + ix, 0)
         return out
 
     def _step(self, t: int, g: np.ndarray) -> np.ndarray:
