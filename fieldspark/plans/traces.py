@@ -72,7 +72,15 @@ def _(s, d):
     return rounded(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="rk4", kernel="catrom", dt=0.005, max_age=0.04, normals=True)[0], ["line_id", "seq"], ["x", "y", "z", "time", "nrm_x", "nrm_y", "nrm_z"])
 
 
-@query("trc2_thinned_lines")
+def _thin_sql() -> str:
+    """The last vertex kept goes along each line; a vertex far from it, in place or time, is kept, and so are both ends."""
+    far = "4*(pow(v.gx-lx,2)+pow(v.gy-ly,2)+pow(v.gz-lz,2))>=0.25 OR v.time-lt>=0.02"
+    last = ",".join(f"CASE WHEN far THEN {a} ELSE {b} END" for a, b in (("gx", "lx"), ("gy", "ly"), ("gz", "lz"), ("time", "lt")))
+    step = f"SELECT v.id,v.n,v.gx,v.gy,v.gz,v.time,lx,ly,lz,lt,{far} far FROM th JOIN tr v ON v.id=th.id AND v.n=th.n+1"
+    return f"th AS (SELECT id,n,gx,gy,gz,time,gx lx,gy ly,gz lz,time lt,true kept FROM tr WHERE n=0 UNION ALL SELECT id,n,gx,gy,gz,time,{last},far FROM ({step}))"
+
+
+@query("trc2_thinned_lines", f"{ctes(trace('rk4', 0.005, 0.04), _thin_sql())} SELECT id line_id,n seq,{rr('2*gx-8', 'x')} FROM th QUALIFY kept OR n=max(n) OVER (PARTITION BY id)")
 def _(s, d):
     v = TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="rk4", dt=0.005, max_age=0.04)[0]
     return TR.thin_vertices(v, 0.5, 0.02).select("line_id", "seq", r6("x").alias("x"))
