@@ -19,6 +19,8 @@ MODULES = {
     "op8_substrings": "substring",
     "op9_html": "html",
     "op10_bpe": "bpe",
+    "op12_shards": "sharding",
+    "op13_runs": "runs",
 }
 
 
