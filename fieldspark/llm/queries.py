@@ -19,6 +19,7 @@ MODULES = {
     "op8_substrings": "substring",
     "op9_html": "html",
     "op10_bpe": "bpe",
+    "op11_collocations": "collocations",
     "op12_shards": "sharding",
     "op13_runs": "runs",
 }
