@@ -2,7 +2,11 @@
 
 The work is dealt by brick. In a round each line is advanced, in numpy and together with all others in its brick, until it
 leaves the brick; then its state is dealt to the next brick. Rounds so follow bricks crossed, not steps. State and vertices
-of a round are written to the shared folder. Busy bricks can be split (`salt`): lines are dealt to that many copies.
+of a round are written to the shared folder.
+
+The load is balanced in each round: live lines are counted by brick, and a brick that holds more than `lines_a_task` of them is copied as often
+as that bound goes into its lines, for this round alone, and its lines are dealt to the copies. Bricks without lines stay where they are. The lines of
+all runs of a sweep share a brick's copy.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from fieldspark.functions.schemes import SCHEMES, advance, bezier, bezier_slope,
 from fieldspark.functions.session import cut
 from fieldspark.operators.bricks import pack_bricks, with_halo
 from fieldspark.operators.seeds import Box, checkpoints, seed_ftle
+from fieldspark.operators.select import BROADCAST_ROWS
 
 CHANNELS = ("u", "v", "w")
 
@@ -46,7 +51,7 @@ class TraceParams:
     backward: bool = False
     min_velocity: float = 0.0
     rounds: int = 200
-    salt: int = 1
+    lines_a_task: int = 20_000
 
 
 VERTEX = "line_id long, seq int, x double, y double, z double, time double, vel_x double, vel_y double, vel_z double, nrm_x double, nrm_y double, nrm_z double"
@@ -201,19 +206,33 @@ def _bricks(voxels: DataFrame, info: VolumeInfo, p: TraceParams) -> DataFrame:
     return pack_bricks(cells, list(CHANNELS))
 
 
+def _deal(live: DataFrame, bricks: DataFrame, keys: list[str], bound: int) -> tuple[DataFrame, DataFrame] | None:
+    """Lines and the bricks they need, both with a `copy`; None if there are no lines.
+
+    A brick with lines comes once for each `bound` of them or part of it; lines are dealt to its copies by a hash. keys: the brick, and for
+    path lines tk, the step that its pair begins with.
+    """
+    load = cut(live.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(bound)).cast("int").alias("copies")))
+    number, rows = load.agg(F.count("*"), F.sum("copies")).first()
+    if not number:
+        return None
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    lines = live.join(few(load, number), keys).withColumn("copy", F.pmod(F.xxhash64("line_id"), F.col("copies")).cast("int")).drop("copies")
+    need = load.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    if "tk" in keys:
+        need, rows = need.withColumn("t", F.explode(F.array("tk", F.col("tk") + 1))), 2 * rows
+    return lines, bricks.join(few(need, rows), ["bx", "by", "bz"] + (["t"] if "tk" in keys else []))
+
+
 def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams, path: bool, hold: bool = False, runs: list[TraceParams] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Vertices and final states. runs: parameters by the remainder of a line's id, each dealt to `salt` groups of its own."""
+    """Vertices and final states. runs: parameters by the remainder of a line's id."""
     many = runs or [p]
-    keys = ["bx", "by", "bz", "salt"] + (["tk"] if path else [])
-    salts = F.explode(F.sequence(F.lit(0), F.lit(p.salt * len(many) - 1)))
-    bricks = bricks.withColumn("salt", salts)
-    if path:
-        bricks = bricks.withColumn("tk", F.explode(F.array("t", F.col("t") - 1))).where(F.col("tk").between(0, max(0, info.nt - 2)))
+    keys = ["bx", "by", "bz"] + (["tk"] if path else [])
     bricks = cut(bricks)
     horizon = (info.nt - 1) * info.dt if path else 1e300
     run = F.pmod("line_id", F.lit(len(many))).cast("int")
     own = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), run)
-    state = checkpoints(seeds, dt=p.dt).withColumn("dt", own([q.dt for q in many])).withColumn("limit", F.least(F.col("time") + own([q.max_age for q in many]), F.lit(horizon)))
+    state = cut(checkpoints(seeds, dt=p.dt).withColumn("dt", own([q.dt for q in many])).withColumn("limit", F.least(F.col("time") + own([q.max_age for q in many]), F.lit(horizon))))
     vertices, finals = [], []
 
     def solve(key: tuple, lines: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -221,26 +240,26 @@ def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams,
             return pd.DataFrame({c: [] for c in _NAMES})
         if not len(rows):
             return lines.assign(kind=1, code=STATUS.index("lost")).reindex(columns=_NAMES)
-        until = (key[4] + 1) * info.dt if path and key[4] < info.nt - 2 else 1e301
-        lines = lines.sort_values("line_id")
-        return _run(lines, rows.sort_values("t"), info, many[int(key[3]) % len(many)], np.array([int(v) for v in key[:3]]), until, hold).reindex(columns=_NAMES)
+        until = (key[3] + 1) * info.dt if path and key[3] < info.nt - 2 else 1e301
+        lines, rows, brick = lines.sort_values("line_id"), rows.sort_values("t"), np.array([int(v) for v in key[:3]])
+        of = lines["line_id"].to_numpy() % len(many)
+        return pd.concat([_run(lines[of == k], rows, info, many[k], brick, until, hold) for k in np.unique(of).tolist()]).reindex(columns=_NAMES)
 
     for _ in range(p.rounds):
         inside = F.lit(True)
         for a, h in zip(AXES, info.half_size_world, strict=True):
             inside = inside & F.col(a).between(-h, h)
         state = state.withColumn("status", F.when(inside & (F.col("time") < F.col("limit")), "active").when(~inside, "left").otherwise("old"))
-        state = cut(state)
         finals.append(state.where("status <> 'active'").select(*_STATE))
-        live = state.where("status = 'active'")
-        if not live.limit(1).count():
-            break
-        live = with_brick_of(live, info)
-        live = live.withColumns({f"b{a}": F.least(F.col(f"b{a}"), F.lit(n - 1)) for a, n in zip(AXES, info.brick_count, strict=True)}).withColumn("salt", (F.pmod(F.xxhash64("line_id"), F.lit(p.salt)) * len(many) + run).cast("int"))
+        live = with_brick_of(state.where("status = 'active'").drop("status"), info)
+        live = live.withColumns({f"b{a}": F.least(F.col(f"b{a}"), F.lit(n - 1)) for a, n in zip(AXES, info.brick_count, strict=True)})
         if path:
             live = live.withColumn("tk", F.least(F.floor(F.col("time") / info.dt + 1e-9), F.lit(max(0, info.nt - 2))).cast("int"))
-        near = bricks.join(live.select(*keys).distinct(), keys, "left_semi")  # bricks without lines stay where they are
-        got = cut(live.drop("status").groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(solve, _OUT))
+        dealt = _deal(live, bricks, keys, p.lines_a_task)
+        if dealt is None:
+            break
+        lines, near = (df.groupBy(*keys, "copy") for df in dealt)
+        got = cut(lines.cogroup(near).applyInPandas(solve, _OUT))
         got = got.withColumn("status", F.get(F.array(*[F.lit(x) for x in STATUS]), F.col("code")))
         vertices.append(got.where("kind = 0").select(*_VERTEX))
         ended = got.where("kind = 1 and status not in ('active', 'moved', 'boundary')")
@@ -274,7 +293,7 @@ def trace_runs(voxels: DataFrame, info: VolumeInfo, seeds: DataFrame, runs: list
     pid, times the number of runs, must fit a long.
     """
     widest = max(runs, key=lambda p: KERNELS[p.kernel].radius)
-    p = replace(widest, rounds=max(q.rounds for q in runs), salt=max(q.salt for q in runs))
+    p = replace(widest, rounds=max(q.rounds for q in runs), lines_a_task=min(q.lines_a_task for q in runs))
     n = len(runs)
     rows = seeds.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("pid", F.col("pid") * n + F.col("_run")).drop("_run")
     out = _loop(rows, _bricks(voxels, info, p), info, p, False, runs=runs)

@@ -129,7 +129,7 @@ def _(s, d):
 
 @query("trc10_limited_steps", f"{ctes(VMAX, trace('euler', 0.02, 0.04, limit_step=True))} {_LAST}")
 def _(s, d):
-    return _ends(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="euler", dt=0.02, max_age=0.04, limit_step=True, salt=2)[1])
+    return _ends(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="euler", dt=0.02, max_age=0.04, limit_step=True, lines_a_task=2000)[1])
 
 
 @query("trj7_trace_stats", f"{ctes(trace('dopri5', 0.005, 0.04, tol=0.5, dt_max=0.02))} SELECT count(*) lines,CAST(sum(total) AS BIGINT) steps_total,CAST(sum(took) AS BIGINT) steps_accepted,CAST(sum(6*total) AS BIGINT) evaluations,count_if(status='old') old,count_if(status='left') \"left\",count_if(status='long') long,count_if(status NOT IN ('old','left','long')) other FROM tr WHERE status<>'active'")
