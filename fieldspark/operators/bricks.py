@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.info import AXES, VolumeInfo
+from fieldspark.operators.select import small
 
 
 def assign_bricks(df: DataFrame, info: VolumeInfo) -> DataFrame:
@@ -23,6 +24,10 @@ def _between(low: int, high: int):
     return lambda p: (p >= low) & (p < high)
 
 
+def _wrapped(n: int):
+    return lambda p: F.pmod(p, F.lit(n))
+
+
 def with_halo(df: DataFrame, info: VolumeInfo, boundary: str | None = None, halo: int | None = None) -> DataFrame:
     """Cells copied to every brick that needs them: adds bx, by, bz, the place gx, gy, gz (beyond the volume at its borders)
     and is_halo. Each axis gives the at most three bricks around a cell, and at a border the ghost places it stands for."""
@@ -51,6 +56,61 @@ def with_halo(df: DataFrame, info: VolumeInfo, boundary: str | None = None, halo
     return df.withColumn("is_halo", core)
 
 
+#: The 27 places of a brick beside another: itself and its neighbours by face, edge and corner.
+BESIDE = tuple((x, y, z) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1))
+
+
+def around(bricks: DataFrame, info: VolumeInfo) -> DataFrame:
+    """t, bx, by, bz, beside: bricks of a list and their neighbours; bit k of beside says that the list has the brick at BESIDE[k] from here."""
+    places = F.explode(F.array(*[F.struct(*[F.lit(-o).alias(f"d{a}") for a, o in zip(AXES, off, strict=True)], F.lit(1 << k).alias("bit")) for k, off in enumerate(BESIDE)]))
+    rows = bricks.select("t", "bx", "by", "bz", places.alias("p"))
+    to = [F.col(f"b{a}") + F.col(f"p.d{a}") for a in AXES]
+    if info.periodic:
+        to = [F.pmod(c, F.lit(n)) for c, n in zip(to, info.brick_count, strict=True)]
+    rows = rows.select("t", *[c.cast("int").alias(f"b{a}") for a, c in zip(AXES, to, strict=True)], "p.bit")
+    for a, n in zip(AXES, info.brick_count, strict=True):
+        rows = rows.where(F.col(f"b{a}").between(0, n - 1))
+    return rows.groupBy("t", "bx", "by", "bz").agg(F.bit_or("bit").alias("beside"))
+
+
+def with_ghosts(df: DataFrame, bricks: DataFrame, info: VolumeInfo, halo: int = 1) -> DataFrame:
+    """Cells of the listed bricks (t, bx, by, bz), and those of other bricks that lie within `halo` cells of one; adds bx, by, bz, is_halo.
+
+    A cell comes once. Stencils up to `halo` cells wide give the same on cells that aren't is_halo as on the whole volume. The
+    list is joined to cells by their brick, so no cell is copied; the halo must fit every brick.
+    """
+    thin = [n - (c - 1) * info.core for n, c in zip(info.size, info.brick_count, strict=True)]
+    if halo > info.core or (info.periodic and halo > min(thin)):
+        raise ValueError(f"a halo of {halo} cells spans more than a brick")
+    cells = df if "bx" in df.columns else assign_bricks(df, info)
+    near = {}
+    for a, n in zip(AXES, info.size, strict=True):
+        low = F.col(f"b{a}") * info.core
+        near[a] = {-1: F.col(a) - low < halo, 0: F.lit(True), 1: F.col(a) >= F.least(low + info.core, F.lit(n)) - halo}
+    own = F.col("beside").bitwiseAND(1 << BESIDE.index((0, 0, 0))) != 0
+    keep = own
+    for k, off in enumerate(BESIDE):
+        if any(off):
+            test = F.col("beside").bitwiseAND(1 << k) != 0
+            for a, o in zip(AXES, off, strict=True):
+                test = test & near[a][o]
+            keep = keep | test
+    return cells.join(small(around(bricks, info)), ["t", "bx", "by", "bz"]).where(keep).withColumn("is_halo", ~own).drop("beside")
+
+
+def ghost_ranges(df: DataFrame, info: VolumeInfo, cols: list[str]) -> DataFrame:
+    """t, bx, by, bz, measure, vmin, vmax of each brick's cells and the layer around it; cells at borders are told to all bricks they border on."""
+    cells = assign_bricks(df, info) if "bx" not in df.columns else df
+    for a, n, count in zip(AXES, info.size, info.brick_count, strict=True):
+        b, low = F.col(f"b{a}"), F.col(f"b{a}") * info.core
+        beside = F.array_compact(F.array(b, F.when(F.col(a) == low, b - 1), F.when(F.col(a) == F.least(low + info.core, F.lit(n)) - 1, b + 1)))
+        beside = F.transform(beside, _wrapped(count)) if info.periodic else F.filter(beside, _between(0, count))
+        cells = cells.withColumn(f"b{a}", F.explode(beside))
+    wide = cells.groupBy("t", "bx", "by", "bz").agg(*[f(m).alias(f"{n}_{m}") for m in cols for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"lo_{m}").cast("double").alias("vmin"), F.col(f"hi_{m}").cast("double").alias("vmax")) for m in cols]))
+    return wide.select("t", "bx", "by", "bz", rows.alias("r")).select("t", "bx", "by", "bz", "r.*")
+
+
 def pack_bricks(df: DataFrame, cols: list[str], place: tuple[str, str, str] = ("gx", "gy", "gz")) -> DataFrame:
     """A row for each brick with its extent and an array for each channel, x fastest."""
     key = F.struct(*[F.col(p).alias(f"k{k}") for k, p in enumerate(reversed(place))], *cols)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators.select import pair_levels
-from fieldspark.operators.stencil import PENCIL, pencil
+from fieldspark.operators.stencil import PENCIL, neighbour, pencil
 
 
 def classify_iso(df: DataFrame, measure: str, iso: float, scale: float = 1.0) -> DataFrame:
@@ -14,15 +14,19 @@ def classify_iso(df: DataFrame, measure: str, iso: float, scale: float = 1.0) ->
 
 
 def transitions(df: DataFrame, flag: str, axis: str) -> DataFrame:
-    """Cells whose flag differs from that of the cell before."""
-    return df.withColumn("before", F.lag(flag).over(pencil(axis))).where(F.col("before") != F.col(flag))
+    """Cells whose flag differs from that of the cell before; a cell after a gap has none before it."""
+    return df.withColumn("before", neighbour(flag, axis, -1, "null")).where(F.col("before") != F.col(flag))
 
 
 def iso_crossings(df: DataFrame, measure: str, iso: float | list[float], axis: str, scale: float = 1.0) -> DataFrame:
-    """pencil, iso, at (crossing between neighbours, linear), enters, hit (1 for the first along the axis)."""
+    """pencil, iso, at (crossing between neighbours, linear), enters, hit (1 for the first along the axis).
+
+    Cells that aren't next to one another have no crossing between them. On bricks that survive pruning, taken with a layer of ghost
+    cells, the crossings are those of the whole volume.
+    """
     keys = PENCIL[axis]
     values = F.explode(F.array(*[F.lit(float(v)) for v in (iso if isinstance(iso, list) else [iso])]))
-    rows = df.select(*keys, axis, (F.col(measure) * scale).alias("m")).withColumn("a", F.lag("m").over(pencil(axis))).where("a is not null").withColumn("iso", values)
+    rows = df.select(*keys, axis, (F.col(measure) * scale).alias("m")).withColumn("a", neighbour("m", axis, -1, "null")).where("a is not null").withColumn("iso", values)
     rows = rows.where((F.col("a") >= F.col("iso")) != (F.col("m") >= F.col("iso")))
     rows = rows.select(*keys, "iso", (F.col(axis) - 1 + (F.col("iso") - F.col("a")) / (F.col("m") - F.col("a"))).alias("at"), (F.col("m") >= F.col("iso")).alias("enters"))
     return rows.withColumn("hit", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "iso")).cast("int"))

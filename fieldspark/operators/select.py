@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.info import AXES, VolumeInfo
+from fieldspark.functions.session import cut
 
 Box = tuple[tuple[float, float, float], tuple[float, float, float]]
 
@@ -16,8 +17,9 @@ BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast, if a count that stops at the bound says so."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Broadcast, if there are no more rows than that; they are kept as they are counted, so what made them runs once."""
+    head = cut(df.limit(rows + 1))
+    return F.broadcast(head) if head.count() <= rows else df
 
 
 def clip_box(df: DataFrame, lo: tuple[float, float, float], hi: tuple[float, float, float]) -> DataFrame:

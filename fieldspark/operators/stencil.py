@@ -22,59 +22,80 @@ def pencil(axis: str):
     return Window.partitionBy(*PENCIL[axis]).orderBy(axis)
 
 
-def neighbour(col: str, axis: str, k: int, boundary: str = "clamp") -> Column:
-    """The value k cells on along an axis; beyond the border the border's value, the wrapped one, or null."""
+def neighbour(col: str, axis: str, k: int, boundary: str = "clamp", size: int | None = None) -> Column:
+    """The value of the cell k on along an axis, matched by its place; null where the table has no such cell.
+
+    Beyond the border: the border cell's value (clamp), the wrapped cell's (periodic), or null. size: cells of the volume
+    along the axis. Without it the first and last cell of a pencil count as its border, so a table that holds parts of pencils only needs it.
+    """
     w = pencil(axis)
-    value = F.lead(col, k).over(w) if k >= 0 else F.lag(col, -k).over(w)
-    if boundary == "null":
+    if abs(k) == 1:
+        step = F.lead if k > 0 else F.lag
+        value = F.when(step(axis).over(w) == F.col(axis) + k, step(col).over(w))
+    else:
+        value = F.first(col).over(w.rangeBetween(k, k)) if k else F.col(col)
+    if boundary == "null" or not k:
         return value
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = F.lit(size - 1) if size else (F.max(axis).over(whole) if k > 0 else F.lit(0))
+    low = F.lit(0) if size else (F.min(axis).over(whole) if k < 0 else F.lit(0))
     if boundary == "clamp":
-        return F.coalesce(value, (F.last if k >= 0 else F.first)(col).over(whole))
+        edge, beyond = (F.last(F.struct(axis, col)), F.col(axis) + k > top) if k > 0 else (F.first(F.struct(axis, col)), F.col(axis) + k < low)
+        edge = edge.over(whole)
+        return F.when(beyond, F.when(edge[axis] == (top if k > 0 else low), edge[col])).otherwise(value)
     if boundary == "periodic":
-        m, n = abs(k), F.count("*").over(whole)
-        if k >= 0:
-            far, at = [F.nth_value(col, j).over(whole) for j in range(1, m + 1)], F.row_number().over(w) - 1
+        n = F.lit(size) if size else F.max(axis).over(whole) - F.min(axis).over(whole) + 1
+        first = F.lit(0) if size else F.min(axis).over(whole)
+        last = first + n - 1
+        m, cell = abs(k), F.struct(axis, col)
+        if k > 0:
+            far, beyond = [F.nth_value(cell, j).over(whole) for j in range(1, m + 1)], F.col(axis) + k > last
         else:
             back = Window.partitionBy(*PENCIL[axis]).orderBy(F.desc(axis)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            far, at = [F.last(col).over(whole)] if m == 1 else [F.nth_value(col, j).over(back) for j in range(1, m + 1)], n - F.row_number().over(w)
-        # only the |k| values of the far end travel with a row; within the border `at` + m lies past them
-        return F.coalesce(value, F.get(F.array(*far), F.pmod(at + m, n).cast("int"))) if m else value
+            far, beyond = [F.last(cell).over(whole)] if m == 1 else [F.nth_value(cell, j).over(back) for j in range(1, m + 1)], F.col(axis) + k < first
+        # only the |k| cells of the far end travel with a row
+        place = first + F.pmod(F.col(axis) + k - first, n)
+        wrapped = F.get(F.filter(F.array(*far), lambda c: c[axis] == place), F.lit(0))[col]
+        return F.when(beyond, wrapped).otherwise(value)
     raise ValueError(boundary)
 
 
-def shift(df: DataFrame, col: str, axis: str, k: int, boundary: str = "clamp", out: str | None = None) -> DataFrame:
-    return df.withColumn(out or f"{col}_{axis}{k:+d}", neighbour(col, axis, k, boundary))
+def shift(df: DataFrame, col: str, axis: str, k: int, boundary: str = "clamp", out: str | None = None, size: int | None = None) -> DataFrame:
+    return df.withColumn(out or f"{col}_{axis}{k:+d}", neighbour(col, axis, k, boundary, size))
+
 
+def partial(col: str, axis: str, h: float = 1.0, boundary: str = "clamp", size: int | None = None) -> Column:
+    return (neighbour(col, axis, 1, boundary, size) - neighbour(col, axis, -1, boundary, size)) / (2.0 * h)
 
-def partial(col: str, axis: str, h: float = 1.0, boundary: str = "clamp") -> Column:
-    return (neighbour(col, axis, 1, boundary) - neighbour(col, axis, -1, boundary)) / (2.0 * h)
 
+def derivative(df: DataFrame, col: str, axis: str, h: float = 1.0, boundary: str = "clamp", out: str | None = None, size: int | None = None) -> DataFrame:
+    """Central difference along one axis; null beside a gap. size: the volume's cells along the axis, see neighbour."""
+    return df.withColumn(out or f"d{col}_d{axis}", partial(col, axis, h, boundary, size))
 
-def derivative(df: DataFrame, col: str, axis: str, h: float = 1.0, boundary: str = "clamp", out: str | None = None) -> DataFrame:
-    """Central difference along one axis."""
-    return df.withColumn(out or f"d{col}_d{axis}", partial(col, axis, h, boundary))
 
+Size = tuple[int | None, int | None, int | None]
+WHOLE: Size = (None, None, None)
 
-def jacobian(df: DataFrame, cols: tuple[str, str, str] = ("u", "v", "w"), h: tuple[float, float, float] = (1.0, 1.0, 1.0), boundary: str = "clamp") -> DataFrame:
-    """Adds j00..j22; the row is the component, the column the direction."""
+
+def jacobian(df: DataFrame, cols: tuple[str, str, str] = ("u", "v", "w"), h: tuple[float, float, float] = (1.0, 1.0, 1.0), boundary: str = "clamp", size: Size = WHOLE) -> DataFrame:
+    """Adds j00..j22; the row is the component, the column the direction. size: the volume's cells, needed where df is a part of it."""
     for c, axis in enumerate(AXES):
-        df = df.withColumns({f"j{r}{c}": partial(col, axis, h[c], boundary) for r, col in enumerate(cols)})
+        df = df.withColumns({f"j{r}{c}": partial(col, axis, h[c], boundary, size[c]) for r, col in enumerate(cols)})
     return df
 
 
-def gradient(df: DataFrame, col: str, h: tuple[float, float, float] = (1.0, 1.0, 1.0), boundary: str = "clamp", prefix: str | None = None) -> DataFrame:
+def gradient(df: DataFrame, col: str, h: tuple[float, float, float] = (1.0, 1.0, 1.0), boundary: str = "clamp", prefix: str | None = None, size: Size = WHOLE) -> DataFrame:
     """Adds the partial derivatives of a scalar: <prefix>x, y, z."""
     prefix = prefix or f"grad_{col}_"
     for c, axis in enumerate(AXES):
-        df = df.withColumn(prefix + axis, partial(col, axis, h[c], boundary))
+        df = df.withColumn(prefix + axis, partial(col, axis, h[c], boundary, size[c]))
     return df
 
 
-def measure_gradient(df: DataFrame, col: str, boundary: str = "clamp") -> DataFrame:
+def measure_gradient(df: DataFrame, col: str, boundary: str = "clamp", size: Size = WHOLE) -> DataFrame:
     """Adds the unit vector of differences one cell on and back: n_x, n_y, n_z; nulls where they vanish."""
-    for axis in AXES:
-        df = df.withColumn(f"_d{axis}", neighbour(col, axis, 1, boundary) - neighbour(col, axis, -1, boundary))
+    for c, axis in enumerate(AXES):
+        df = df.withColumn(f"_d{axis}", neighbour(col, axis, 1, boundary, size[c]) - neighbour(col, axis, -1, boundary, size[c]))
     n = F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2 + F.col("_dz") ** 2)
     return df.withColumns({f"n_{a}": F.try_divide(F.col(f"_d{a}"), n) for a in AXES}).drop(*[f"_d{a}" for a in AXES])
 

@@ -918,4 +918,4 @@ def _(s, d):
     return rounded(L.neighbour_score(n, INFO, lattice(s).where("bx % 2 = 0"), None, 0.1, 0.2), ["bx", "by", "bz"], ["score"])
 
 
-from fieldspark.plans import traces  # noqa: E402, F401  (registers the queries on traces and streams)
+from fieldspark.plans import parts, traces  # noqa: E402, F401  (registers the queries on traces, streams and parts of volumes)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions.info import VolumeInfo, expand_masks
 from fieldspark.functions.tensor import normalize
 from fieldspark.operators.seeds import uniform
+from fieldspark.sources import store
 
 SLAB_BYTES = 64 << 20
 
@@ -78,15 +79,15 @@ def unpack_raw(slabs: DataFrame, info: VolumeInfo, cols: list[str]) -> DataFrame
 
 
 def write_volume(df: DataFrame, info: VolumeInfo, path: str, mode: str = "overwrite") -> None:
-    """A volume table by time step, sorted by place, and its description beside it."""
-    df.repartition("t").sortWithinPartitions("z", "y", "x").write.mode(mode).partitionBy("t").parquet(f"{path}/voxels")
+    """The steps of df (t, x, y, z, channels) as a brick store (see sources.store); append adds steps, and checks them."""
     if mode == "overwrite":
-        info.frame(df.sparkSession).write.mode("overwrite").parquet(f"{path}/info")
+        store.create(df.sparkSession, path, info)
+    store.append(df, info, path, [c for c in df.columns if c not in ("t", "x", "y", "z")])
 
 
 def read_volume(spark: SparkSession, path: str) -> tuple[DataFrame, VolumeInfo]:
-    row = spark.read.parquet(f"{path}/info").first().asDict()
-    return spark.read.parquet(f"{path}/voxels"), VolumeInfo(**row)
+    """Cells and description of a brick store."""
+    return store.read(spark, path).drop("bx", "by", "bz"), store.described(spark, path)
 
 
 def write_stats(df: DataFrame, path: str) -> None:

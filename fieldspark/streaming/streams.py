@@ -12,30 +12,63 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldspark.functions.info import AXES, VolumeInfo
+from fieldspark.operators.bricks import assert_appendable
 from fieldspark.operators.lines import cell_step
-from fieldspark.operators.stats import merge_stats, stats_state
+from fieldspark.operators.stats import stats_state
 from fieldspark.operators.trace import BrickField, TraceParams
+from fieldspark.sources import store
 
 TICK_MOST = 0.1
 
 
-def stream_ingest(source: DataFrame, info: VolumeInfo, path: str, cols: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Appends streamed voxels to <path>/voxels and keeps merged statistics by time step in <path>/stats.
+def stream_ingest(source: DataFrame, info: VolumeInfo, path: str, cols: list[str], checkpoint: str, trigger: dict | None = None, again: str = "replace") -> StreamingQuery:
+    """Appends streamed voxels (t, x, y, z, cols) to a brick store, each time step once, with its statistics.
 
-    Each batch writes under its own number, so a batch that runs again replaces what it wrote: every step counts once.
+    The store is made if there is none; otherwise it must be of this geometry. Cells wait in <path>/staged, by batch, until
+    their step is whole; then it is written, with its directory and statistics, and published at once (see sources.store). So a
+    reader never sees a part of a step, and a batch that runs again changes nothing. A cell that comes twice while its step waits counts as it
+    came last. A step that comes again, whole, is replaced, or left as it is (again="refuse").
     """
+    if again not in ("replace", "refuse"):
+        raise ValueError(again)
+    whole = info.nx * info.ny * info.nz
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/voxels/batch={number}")
-        stats_state(df, cols, ["t"]).write.mode("overwrite").parquet(f"{path}/stats/batch={number}")
+        spark = df.sparkSession
+        files = store.Files(spark, path)
+        if not files.names("info"):
+            store.create(spark, path, info)
+        assert_appendable(store.described(spark, path), info)
+        there = store.manifest(spark, path)
+        mine = f"{checkpoint}#{number}"
+        done = [t for t, m in there.items() if again == "refuse" or m.get("batch") == mine]
+        cells = df.select(F.col("t").cast("int").alias("t"), *AXES, *cols).where(~F.col("t").isin(done))
+        cells.write.mode("overwrite").partitionBy("t").parquet(f"{path}/staged/batch={number}")
+        steps = [r.t for r in spark.read.schema(cells.schema).parquet(f"{path}/staged/batch={number}").select("t").distinct().collect()]
+        if not steps:
+            return
+        staged = spark.read.schema(cells.schema.add("batch", "long")).parquet(f"{path}/staged").where(F.col("t").isin(steps))
+        last = staged.groupBy("t", *AXES).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("t", *AXES, "r.*")
+        ready = [r.t for r in last.groupBy("t").count().where(F.col("count") >= whole).collect()]
+        if not ready:
+            return
+
+        def keep_stats(written: DataFrame) -> None:
+            state = stats_state(written, cols, ["t", "store_step"])
+            state.write.mode("append").partitionBy("store_step").parquet(f"{path}/stats")
+
+        store.append(last.where(F.col("t").isin(ready)), info, path, cols, "replace", also=keep_stats, note={"batch": mine})
+        for name in files.names("staged"):
+            for t in ready:
+                files.remove(f"staged/{name}/t={t}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def ingested_stats(spark: SparkSession, path: str) -> DataFrame:
-    """The statistics of all batches, merged."""
-    parts = spark.read.parquet(f"{path}/stats").drop("batch")
-    return merge_stats(parts, parts.where("false"), ["t"])
+    """The statistics of the steps that are published."""
+    live = [f"{path}/stats/store_step={m['step']}" for m in store.manifest(spark, path).values()]
+    return spark.read.option("basePath", f"{path}/stats").parquet(*live).drop("store_step")
 
 
 CELLS = "pid long, current_cell long, time_in_cell double, longest_cell long, longest_time double"
