@@ -84,6 +84,32 @@ def composite(df: DataFrame, axis: str, clip: tuple[float, float] | None = None)
     return rows.groupBy(*PENCIL[axis]).agg(*[F.sum(F.col("pass") * F.col(c)).alias(c) for c in "rgb"], F.sum(F.col("pass") * F.col("a")).alias("a"))
 
 
+def _over(a: Column, b: Column) -> Column:
+    """What two pieces of a ray look like, the first in front: colours and opacity so far (r, g, b, a), and what passes (pass)."""
+    return F.struct(*[(a[c] + a["pass"] * b[c]).alias(c) for c in "rgba"], (a["pass"] * b["pass"]).alias("pass"))
+
+
+def _folded(pieces: Column) -> Column:
+    """Pieces in their order put over one another."""
+    none = F.struct(*[F.lit(0.0).alias(c) for c in "rgba"], F.lit(1.0).alias("pass"))
+    return F.aggregate(pieces, none, _over)
+
+
+def composite_bricks(df: DataFrame, axis: str, cells: int, clip: tuple[float, float] | None = None) -> DataFrame:
+    """composite() by bricks of so many cells along the axis.
+
+    The cells of a brick and pencil are put over one another where the brick lies, and the pieces of a pencil then in depth order: between
+    tasks goes a row for each brick and pencil. A cell behind an opaque one adds nothing.
+    """
+    if clip:
+        df = df.where(F.col(axis).between(*clip))
+    keys = PENCIL[axis]
+    cell = F.struct(F.col(axis).alias("at"), *[F.col(c).cast("double").alias(c) for c in "rgba"], (1.0 - F.least(F.col("a").cast("double"), F.lit(1.0))).alias("pass"))
+    pieces = df.groupBy(*keys, F.floor(F.col(axis) / cells).cast("int").alias("_brick")).agg(_folded(F.array_sort(F.collect_list(cell))).alias("p"))
+    piece = F.struct(F.col("_brick"), *[F.col(f"p.{c}").alias(c) for c in (*"rgba", "pass")])
+    return pieces.groupBy(*keys).agg(_folded(F.array_sort(F.collect_list(piece))).alias("p")).select(*keys, *[F.col(f"p.{c}").alias(c) for c in "rgba"])
+
+
 def color_lines(vertices: DataFrame, mode: str, max_age: float = 1.0, column: str | None = None) -> DataFrame:
     """Adds `color`: the line's number modulo 1024, its age in [0, 1], its region, or a measure."""
     c = {"line": F.col("line_id") % 1024 / 1024.0, "age": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("time") / max_age)) if "time" in vertices.columns else F.lit(0.0)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.operators.stats import recon_stats
+from fieldspark.operators.stats import prefix_sum, recon_stats
 from fieldspark.operators.stencil import PENCIL
 
 #: Analysis and synthesis filters (low pass, high pass; even, odd), centred, mirrored at the borders.
@@ -78,15 +78,23 @@ def residual_symbols(df: DataFrame, col: str, axis: str, step: float) -> DataFra
     return df.withColumn("_q", q).withColumn(f"{col}_d", symbols(F.col("_q") - F.coalesce(F.lag("_q").over(w), F.lit(0).cast("long")))).drop("_q")
 
 
-def zero_runs(df: DataFrame, symbol: str, by: list[str], order: list[str]) -> DataFrame:
-    """by, run, zeros, symbol: the zeros before each non-zero symbol; a last run of zeros has a null symbol."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_n", (F.col(symbol) != 0).cast("int")).withColumn("run", F.sum("_n").over(w) - F.col("_n"))
+def zero_runs(df: DataFrame, symbol: str, by: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
+    """by, run, zeros, symbol: the zeros before each non-zero symbol; a last run of zeros has a null symbol. blocks: see stats.prefix_sum."""
+    rows = df.withColumn("_n", (F.col(symbol) != 0).cast("int"))
+    rows = prefix_sum(rows, by, order, "_n", "run", True, blocks)
     return rows.groupBy(*by, "run").agg(F.sum(1 - F.col("_n")).alias("zeros"), F.max(F.when(F.col(symbol) != 0, F.col(symbol))).alias(symbol))
 
 
-def zero_run_stats(df: DataFrame, symbol: str, by: list[str], order: list[str]) -> DataFrame:
-    return zero_runs(df, symbol, by, order).groupBy("zeros").agg(F.count("*").alias("runs"))
+def zero_run_stats(df: DataFrame, symbol: str, by: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
+    return zero_runs(df, symbol, by, order, blocks).groupBy("zeros").agg(F.count("*").alias("runs"))
+
+
+def coded_size(df: DataFrame, symbol: str, by: list[str]) -> DataFrame:
+    """by, n, bytes: the entropy of the symbols' histogram, in bytes."""
+    h = df.groupBy(*by, symbol).agg(F.count("*").alias("cnt"))
+    # -sum c log2(c / n) = n log2 n - sum c log2 c, so that counts needn't meet their total first
+    sums = h.groupBy(*by).agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.log2("cnt")).alias("_own")).where("n is not null")
+    return sums.select(*by, "n", ((F.col("n") * F.log2("n") - F.col("_own")) / 8.0).alias("bytes"))
 
 
 def coded_size(df: DataFrame, symbol: str, by: list[str]) -> DataFrame:

@@ -64,6 +64,12 @@ def emit_seeds(spark: SparkSession, n: int, box: Box, emissions: int, fresh: boo
     return _placed(rows, F.col("pid") if fresh else F.col("slot"), box, seed)
 
 
+def emissions(spark: SparkSession, n: int, box: Box, first: int, count: int, fresh: bool, seed: int = 1) -> DataFrame:
+    """line, emission, x, y, z of n seed lines for some emissions: the same places, or new ones each time."""
+    rows = spark.range(n * count).select((F.col("id") % n).alias("line"), (F.expr(f"id div {n}") + first).alias("emission"))
+    return _placed(rows, F.col("emission") * n + F.col("line") if fresh else F.col("line"), box, seed)
+
+
 def checkpoints(seeds: DataFrame, t0: float = 0.0, dt: float = 0.005) -> DataFrame:
     """The first state of lines: line_id, place, seed place, time, step, normal, counters."""
     rows = seeds.withColumnRenamed("pid", "line_id") if "line_id" not in seeds.columns else seeds

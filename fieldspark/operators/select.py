@@ -105,11 +105,37 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Range join on boxes (lo_x..hi_z, half open); for large inputs reduce it to an equi-join by with_brick_of."""
-    test = F.lit(True)
+    """Range join on boxes (lo_x..hi_z, half open), by cells of a hierarchy of grids.
+
+    A box lies at the level whose cells are as large as its longest side, so it meets eight of them at most; a point looks up one
+    cell for each level that has boxes. What remains is a join on equal cells, and the boxes' bounds. Boxes without a finite side
+    are in one cell of a level of their own.
+    """
+    side = F.greatest(*[F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in AXES]).cast("double")
+    far = F.greatest(*[F.abs(F.col(f"{e}_{a}").cast("double")) for e in ("lo", "hi") for a in AXES])
+    finite = far < 1e300
+    # cells of less than 2^-50 of the place would not be told apart
+    level = F.when(finite, F.ceil(F.log2(F.greatest(side, far * 2.0**-50, F.lit(1e-300)))).cast("int")).otherwise(BEYOND)
+    ok = F.lit(True)
+    for a in AXES:
+        ok = ok & (F.col(f"hi_{a}") > F.col(f"lo_{a}"))
+    rows = boxes.where(ok).withColumn("_level", level)
+    levels = [r[0] for r in rows.select("_level").distinct().collect()]  # powers of two that doubles have: some thousand at most
+    cell = lambda x, lv: F.when(lv == BEYOND, 0.0).otherwise(F.floor(x.cast("double") / F.pow(F.lit(2.0), lv)).cast("double"))
+    for a in AXES:
+        low, high = cell(F.col(f"lo_{a}"), F.col("_level")), cell(F.col(f"hi_{a}"), F.col("_level"))
+        rows = rows.withColumn(f"_c{a}", F.explode(F.array_distinct(F.array(low, high))))
+    rows = rows.withColumnsRenamed({f"_c{a}": f"_b{a}" for a in AXES} | {"_level": "_of"})
+    at = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")))
+    at = at.withColumns({f"_c{a}": cell(F.col(a), F.col("_level")) for a in AXES})
+    test = F.col("_level") == F.col("_of")
     for a in AXES:
-        test = test & (F.col(a) >= F.col(f"lo_{a}")) & (F.col(a) < F.col(f"hi_{a}"))
-    return points.join(small(boxes), test)
+        test = test & (F.col(f"_c{a}") == F.col(f"_b{a}")) & (F.col(a) >= F.col(f"lo_{a}")) & (F.col(a) < F.col(f"hi_{a}"))
+    return at.join(rows, test).drop("_level", "_of", *[f"_{k}{a}" for k in "bc" for a in AXES])
+
+
+#: The level of boxes without a finite side.
+BEYOND = 5000
 
 
 def cross_bricks(seeds: DataFrame, bricks: DataFrame) -> DataFrame:

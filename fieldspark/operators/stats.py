@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.session import cut
+
 VALUE_BYTES = 4
 
 
@@ -109,8 +111,30 @@ def bricks_touched(vertices: DataFrame, brick_bytes: int) -> DataFrame:
     return vertices.groupBy("line_id").agg(F.count("*").alias("visits"), F.count_distinct("bx", "by", "bz").alias("bricks")).withColumn("bytes", F.col("bricks") * brick_bytes)
 
 
-def prefix_sum(rows: DataFrame, keys: list[str], order: list[str], col: str, name: str = "prefix", exclusive: bool = False) -> DataFrame:
-    """rows with the running sum of col within each key, in the given order; exclusive: without the row's own value (0 at first)."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    total = F.sum(col).over(upto)
-    return rows.withColumn(name, F.coalesce(total, F.lit(0)) if exclusive else total)
+def prefix_sum(rows: DataFrame, keys: list[str], order: list[str], col: str, name: str = "prefix", exclusive: bool = False, blocks: int | None = None) -> DataFrame:
+    """rows with the running sum of col within each key, in the given total order; exclusive: without the row's own value (0 at first).
+
+    Without blocks a key is one task's window: for short keys. With blocks, keys of any length are scanned in two passes: rows are dealt to so many
+    ranges of (keys, order), each range sums its part of each key, the sums before a range are carried in, and ranges are scanned side by side.
+    A range begins within one key at most, so there are fewer carried sums than ranges. keys may be empty.
+    """
+    if blocks is None:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        total = F.sum(col).over(upto)
+        return rows.withColumn(name, F.coalesce(total, F.lit(0)) if exclusive else total)
+    ranged = cut(in_ranges(rows, keys, order, blocks))
+    own = [F.struct(*keys).alias("scan_key")] if keys else [F.lit(0).alias("scan_key")]
+    sums = ranged.groupBy(*own, "scan_block").agg(F.sum(col).alias("scan_sum"))
+    earlier = Window.partitionBy("scan_key").orderBy("scan_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.withColumn("scan_carry", F.sum("scan_sum").over(earlier)).where("scan_carry is not null").drop("scan_sum")
+    inner = Window.partitionBy("scan_block", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    local = ranged.withColumn("scan_local", F.sum(col).over(inner)).withColumn("scan_key", own[0])
+    carry = F.broadcast(carry.withColumnRenamed("scan_key", "scan_of"))  # fewer rows than blocks
+    out = local.join(carry.withColumnRenamed("scan_block", "scan_at"), (F.col("scan_block") == F.col("scan_at")) & F.col("scan_key").eqNullSafe(F.col("scan_of")), "left")
+    both = F.coalesce(F.col("scan_local") + F.col("scan_carry"), "scan_local", "scan_carry")
+    return out.select(*[F.col(c) for c in rows.columns if c != name], (F.coalesce(both, F.lit(0)) if exclusive else both).alias(name))
+
+
+def in_ranges(rows: DataFrame, keys: list[str], order: list[str], blocks: int) -> DataFrame:
+    """rows dealt to ranges of (keys, order), with the number of the range in scan_block."""
+    return rows.repartitionByRange(blocks, *keys, *order).withColumn("scan_block", F.spark_partition_id())

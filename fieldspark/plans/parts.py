@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.session import shared
 from fieldspark.operators import iso as ISO
+from fieldspark.operators import quantize as Q
 from fieldspark.operators import select as S
-from fieldspark.operators import stats, stencil
-from fieldspark.plans.catalog import _BR, _CR, _LONG, _ST, _STC, G, J, query, rounded, rr
-from fieldspark.plans.fixtures import CHANNELS, INFO, grid, r6
-from fieldspark.plans.traces import _stream
+from fieldspark.operators import seeds, smoothing, stats, stencil
+from fieldspark.operators.trace import TraceParams
+from fieldspark.plans.catalog import _B3, _BR, _C0, _C4, _CR, _LONG, _ST, _STC, _U, G, J, ORACLES, WP, query, rounded, rr
+from fieldspark.plans.fixtures import CHANNELS, INFO, grid, r6, table, world_points
+from fieldspark.plans.trace_sql import FIELD, velocity
+from fieldspark.plans.traces import TRACE, _stream
 from fieldspark.sources import store
 from fieldspark.sources import volumes as VOL
+from fieldspark.streaming import particles as PS
 from fieldspark.streaming import streams
 
 ISO_VALUE = 100.0
@@ -119,3 +123,103 @@ def _(s, d):
     return own.join(whole, ["t", "channel"]).where("n = whole").drop("whole")
 
 
+
+
+# ---------------------------------------------------------------- long series, rays, pyramids, boxes
+
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+_ALL = "a AS (SELECT *, CAST(floor(l_quantity/10) AS BIGINT)%3 s FROM lineitem)"
+
+
+def _series(s, d) -> DataFrame:
+    """All of lineitem as one series of symbols."""
+    return table(s, d, "lineitem").select(*_LINE, (Q.quantized(F.col("l_quantity"), 10.0, "deadzone") % 3).alias("s"))
+
+
+@query("agg5_one_key", f"WITH {_ALL} SELECT l_orderkey,l_linenumber,l_partkey,CAST(sum(s) OVER (ORDER BY {','.join(_LINE)} ROWS UNBOUNDED PRECEDING) AS BIGINT) prefix FROM a")
+def _(s, d):
+    return stats.prefix_sum(_series(s, d), [], _LINE, "s", blocks=16).select("l_orderkey", "l_linenumber", "l_partkey", "prefix")
+
+
+@query("agg5_few_keys", f"WITH {_ALL} SELECT l_returnflag,l_orderkey,l_linenumber,l_partkey,CAST(coalesce(sum(s) OVER (PARTITION BY l_returnflag ORDER BY {','.join(_LINE)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) prefix FROM a")
+def _(s, d):
+    rows = table(s, d, "lineitem").select("l_returnflag", *_LINE, (Q.quantized(F.col("l_quantity"), 10.0, "deadzone") % 3).alias("s"))
+    return stats.prefix_sum(rows, ["l_returnflag"], _LINE, "s", exclusive=True, blocks=16).select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "prefix")
+
+
+_ONE_RUN = f"{_ALL}, k AS (SELECT *, sum(CASE WHEN s<>0 THEN 1 ELSE 0 END) OVER (ORDER BY {','.join(_LINE)} ROWS UNBOUNDED PRECEDING)-CASE WHEN s<>0 THEN 1 ELSE 0 END run FROM a), zr AS (SELECT CAST(run AS BIGINT) run, CAST(sum(CASE WHEN s=0 THEN 1 ELSE 0 END) AS BIGINT) zeros, max(CASE WHEN s<>0 THEN s END) s FROM k GROUP BY 1)"
+
+
+@query("win7_one_key", f"WITH {_ONE_RUN} SELECT * FROM zr")
+def _(s, d):
+    return Q.zero_runs(_series(s, d), "s", [], _LINE, blocks=16).select("run", "zeros", "s")
+
+
+@query("qnt7_one_key", f"WITH {_ONE_RUN} SELECT zeros,count(*) runs FROM zr GROUP BY 1")
+def _(s, d):
+    return Q.zero_run_stats(_series(s, d), "s", [], _LINE, blocks=16)
+
+
+@query("qnt8_all", f"WITH {_ALL}, h AS (SELECT s,count(*) c FROM a GROUP BY 1), q AS (SELECT *,sum(c) OVER () n FROM h) SELECT CAST(sum(c) AS BIGINT) n,{rr('sum(-c*log2(c/n))/8', 'bytes')} FROM q")
+def _(s, d):
+    return rounded(Q.coded_size(_series(s, d), "s", []), ["n"], ["bytes"])
+
+
+def _shaded(s, d) -> DataFrame:
+    return ISO.emission_absorption(ISO.transfer(grid(s, d), "u", 20.0, 30.7, _C0, _C4), 0.5)
+
+
+for _name, _clip in (("iso9_by_bricks", None), ("iso10_by_bricks", (2, 5))):
+    query(_name, ORACLES["iso10_clipped" if _clip else "iso9_composite"])(lambda s, d, clip=_clip: rounded(ISO.composite_bricks(_shaded(s, d), "z", INFO.core, clip), ["t", "x", "y"], list("rgba")))
+
+
+@query("flt3_four_radii", f"WITH {G}, " + ", ".join(_B3(r, f"r{r}") for r in (1, 2, 4, 8)) + " " + " UNION ALL ".join(f"SELECT {k} \"level\",t,x,y,z,{rr('u', 'u')} FROM {src}" for k, src in enumerate(["g", "f3r1", "f3r2", "f3r4", "f3r8"])))
+def _(s, d):
+    return rounded(smoothing.filter_pyramid(grid(s, d), ["u"], [1, 2, 4, 8]), ["level", "t", "x", "y", "z"], ["u"])
+
+
+#: A box for each order: of all sizes from a hundredth to a fifth of the volume.
+_BOXES = "bx AS (SELECT o_orderkey box, (o_orderkey*37%1600)/100.0-8 lo_x, (o_custkey*53%1600)/100.0-8 lo_y, (o_orderkey*11%1600)/100.0-8 lo_z, 0.16*(1+o_orderkey%20) sx, 0.08*(1+o_custkey%20) sy, 0.32*(1+o_orderkey%7) sz FROM orders)"
+
+
+@query("jon6_order_boxes", f"WITH {WP}, {_BOXES} SELECT box,count(*) n,CAST(sum(pid) AS BIGINT) pids FROM wp JOIN bx ON x>=lo_x AND x<lo_x+sx AND y>=lo_y AND y<lo_y+sy AND z>=lo_z AND z<lo_z+sz GROUP BY 1")
+def _(s, d):
+    o, k, c = table(s, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    low = o.select(k.alias("box"), ((k * 37 % 1600) / 100.0 - 8).alias("lo_x"), ((c * 53 % 1600) / 100.0 - 8).alias("lo_y"), ((k * 11 % 1600) / 100.0 - 8).alias("lo_z"), (0.16 * (1 + k % 20)).alias("sx"), (0.08 * (1 + c % 20)).alias("sy"), (0.32 * (1 + k % 7)).alias("sz"))
+    boxes = low.withColumns({f"hi_{a}": F.col(f"lo_{a}") + F.col(f"s{a}") for a in "xyz"}).drop("sx", "sy", "sz")
+    return S.points_in_boxes(world_points(s, d), boxes).groupBy("box").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
+
+
+# ---------------------------------------------------------------- particles
+
+_RATE, _SLOTS, _DT = 2.0, 6, 0.0002
+_TICKS = "date_trunc('hour', ts)"
+#: Ticks by hour, the clock's emissions, and the steps of the particles of the last emissions.
+_CLOCK = f"""tk AS MATERIALIZED (SELECT row_number() OVER (ORDER BY hour)-1 k, n/1000.0 dt FROM (SELECT {_TICKS} AS hour, count(*)*(1+count(*)%7) n FROM events GROUP BY 1)),
+em AS (SELECT CAST(-1 AS BIGINT) k, CAST(0.0 AS DOUBLE) now, CAST(-1e9 AS DOUBLE) last, CAST(0 AS BIGINT) n UNION ALL SELECT tk.k, now+dt, CASE WHEN now+dt-last>1.0/{_RATE} THEN now+dt ELSE last END, n+CASE WHEN now+dt-last>1.0/{_RATE} THEN 1 ELSE 0 END FROM em JOIN tk ON tk.k=em.k+1),
+born AS (SELECT n-1 emission, min(k) k FROM em WHERE n>0 GROUP BY n), lately AS (SELECT * FROM born WHERE emission>(SELECT max(emission) FROM born)-{_SLOTS}),
+hs AS MATERIALIZED (SELECT list({_DT}*100*least(dt,0.1) ORDER BY k) hs FROM tk)"""
+_EMITTED = "seed AS (SELECT CAST(emission*1000000000000+line AS BIGINT) id, emission, k+1 k, " + ",".join(f"4*{_U('(emission*(SELECT count(*) FROM customer)+line)', 1, n)}+2 g{a}" for n, a in enumerate("xyz")) + " FROM lately, (SELECT row_number() OVER ()-1 line FROM customer))"
+
+
+def _moved_sql() -> str:
+    one = velocity("SELECT pt.*, fld.*, hs FROM pt, fld, hs WHERE alive AND k<len(hs)", {a: f"g{a}" for a in "xyz"}, 0, "linear")
+    heun = velocity(one, {a: f"g{a}+hs[k+1]*k0{f}" for a, f in zip("xyz", "uvw", strict=True)}, 1, "linear")
+    new = ",".join(f"CASE WHEN slow THEN g{a} ELSE g{a}+hs[k+1]/2*(k0{f}+k1{f}) END g{a}" for a, f in zip("xyz", "uvw", strict=True))
+    step = f"SELECT id,emission,k+1 k,age+hs[k+1] age,{new},slow FROM (SELECT *, 4*(k0u*k0u+k0v*k0v+k0w*k0w)<2500.0 slow FROM ({heun}))"
+    out = " OR ".join(f"abs(2*g{a}-8)>8" for a in "xyz")
+    return f"pt AS (SELECT id,emission,k,CAST(0.0 AS DOUBLE) age,gx,gy,gz,true alive FROM seed UNION ALL SELECT id,emission,k,age,gx,gy,gz,NOT (slow OR {out}) FROM ({step}))"
+
+
+@query("str2_particle_system", f"WITH RECURSIVE {FIELD}, {_CLOCK}, {_EMITTED}, {_moved_sql()} SELECT id line_id,CAST(emission AS BIGINT) emission,CAST(emission%{_SLOTS} AS INT) slot,{rr('2*gx-8', 'x')},{rr('2*gy-8', 'y')},{rr('2*gz-8', 'z')},{rr('age', 'age')} FROM pt, hs WHERE alive AND k=len(hs)")
+def _(s, d):
+    """Particles from as many lines as there are customers, over eight bricks, by a clock of an hour's events a tick."""
+    at = folder(s)
+    n = table(s, d, "customer").count()
+    hours = table(s, d, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.count("*").alias("n"))
+    ticks = hours.select("ts", F.unix_timestamp("ts").alias("tick"), (F.col("n") * (1 + F.col("n") % 7) / 1000.0).alias("dt"))
+    p = TraceParams(scheme="heun", kernel="linear", dt=_DT, min_velocity=50.0)
+    box = ((-4.0, -4.0, -4.0), (8.0, 8.0, 8.0))
+    q = PS.stream_particle_system(_stream(s, ticks, 3), grid(s, d).where("t = 0"), TRACE, lambda first, k: seeds.emissions(s, n, box, first, k, True), at, f"{at}-state", p, _RATE, _SLOTS)
+    q.awaitTermination()
+    return rounded(PS.particles(s, at), ["line_id", "emission", "slot"], ["x", "y", "z", "age"])
