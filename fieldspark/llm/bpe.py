@@ -7,7 +7,7 @@ many short pieces are rows of one array and are merged side by side. Chunks and
 numbers and across a worker's tasks.
 
 Nulls and empty texts give no tokens; ids, extra columns and repeated rows do not matter: one row out for each row in. Texts
-of any length are encoded whole; a single piece of over 2**24 bytes is an error.
+of any length are encoded whole, and so are pieces: a place has 32 bits, more than a string can have bytes.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldspark.llm.common import each, table, texts
 
-#: A leaf is rank << 24 | place; NONE is above all.
-NONE, PLACE = 1 << 60, (1 << 24) - 1
+#: A leaf is rank << BITS | place; NONE is above all. Ranks have 28 bits.
+BITS = 32
+NONE, PLACE = 1 << 60, (1 << BITS) - 1
 #: Pieces of more bytes are merged one by one; characters of texts that are encoded together.
 ALONE, TOGETHER = 64, 1 << 20
 #: The pre-tokenizer's pattern, of the tokenizer's file.
@@ -79,12 +80,12 @@ class Bpe:
         if not self.end or model.get("type", "BPE") != "BPE":
             raise ValueError(f"{path} is no BPE vocabulary with a word end")
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(self.vocab[a] << 20) | self.vocab[b]: (i << 24, self.vocab[a + b]) for i, (a, b) in enumerate(pairs)}
+        self.merges = {(self.vocab[a] << 20) | self.vocab[b]: (i << BITS, self.vocab[a + b]) for i, (a, b) in enumerate(pairs)}
         keys = np.array(list(self.merges), np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.made = np.zeros(len(pairs), np.int32)  # by rank
-        self.made[self.ranks >> 24] = np.array([t for _, t in self.merges.values()], np.int32)[order]
+        self.made[self.ranks >> BITS] = np.array([t for _, t in self.merges.values()], np.int32)[order]
         self.names = {i: t for t, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -100,8 +101,6 @@ class Bpe:
     def merge(self, symbols: list[int]) -> list[int]:
         """All merges of one piece, over symbols' ids."""
         n = len(symbols)
-        if n > PLACE:
-            raise ValueError(f"a piece of {n} bytes; at most {PLACE} have a place in the tree")
         get = self.merges.get
         tree = RankTree([get((p[0] << 20) | p[1], (NONE, 0))[0] | i for i, p in enumerate(zip(symbols, symbols[1:], strict=False))])
         put, t = tree.put, tree.t
@@ -162,7 +161,7 @@ class Bpe:
             row, i = live * most, root & PLACE
             j = after[row + i]
             k = after[row + j]
-            merged = self.made[root >> 24]
+            merged = self.made[root >> BITS]
             flat[row + i], flat[row + j] = merged, -1
             after[row + i] = k
             more, h = k < n[live], before[row + i]
