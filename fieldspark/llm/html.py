@@ -5,7 +5,8 @@ neighbours, and what surrounds it (an article, a heading, a container that its t
 boilerplate). A small decision tree, trained on the labelled table below, decides. Scripts, styles, forms and the like never
 become text.
 
-A null or empty page gives the empty text. Quotes count within an attribute's value alone, so a stray one swallows nothing.
+A null or empty page gives the empty text. Quotes count within an attribute's value alone, so a stray one swallows nothing;
+from a tag on whose quotes would swallow the rest of the page, they count no more. Time is linear in the page, however broken.
 Pages of any length are read whole. One row out for each row in, repeated rows too; null ids pass through; other columns are
 not read, whatever their names. An empty table gives no rows.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import table
 
+#: A tag without regard to quotes: all that is left to try once quotes have led to the end of the page.
+PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements whose content is no text of the page.
@@ -65,6 +68,34 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
     now: Block | None = None
     links = 0
     at, end = 0, len(page)
+    open_now: dict[str, int] = {}  # open elements by name, so that a stray end tag isn't looked for
+    last = page.rfind(">")
+    quoted = True  # until a tag's quotes lead to the end of the page
+
+    def find(at: int) -> re.Match | None:
+        """The next tag or comment. Every place is passed once, but for one tag that never ends."""
+        nonlocal quoted
+        at = page.find("<", at)
+        while at >= 0:
+            nxt = page[at + 1 : at + 2]
+            if nxt == "!" or nxt == "?":
+                m = TAG.match(page, at)
+            elif at > last or not (nxt == "/" or nxt.isascii() and nxt.isalpha()):
+                m = None  # nothing that ends, or no tag
+            else:
+                m = TAG.match(page, at) if quoted else None
+                if not m:
+                    m = PLAIN.match(page, at)
+                    quoted = quoted and not m
+            if m:
+                return m
+            at = page.find("<", at + 1)
+        return None
+
+    def close(k: int) -> None:
+        for element in stack[k:]:
+            open_now[element[0]] -= 1
+        del stack[k:]
 
     def add(text: str) -> None:
         nonlocal now
@@ -82,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
             now.linked.append(text)
 
     while at < end:
-        m = TAG.search(page, at)
+        m = find(at)
         if not m:
             if not (stack and stack[-1][3]):
                 add(entities.unescape(page[at:]))
@@ -98,24 +129,25 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
         if name == "br":
             add(" ")
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_now.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
             if name == "a":
                 links = max(0, links - 1)
             continue
         if name in VOID:
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            raw_end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = raw_end.end() if raw_end else end
             continue
         if name in ("p", "li", "tr", "td", "th", "dd", "dt", "option"):  # their end tags may be left out
             reach = {"p": "p", "li": "li", "tr": "tr td th", "td": "td th", "th": "td th", "dd": "dd dt", "dt": "dd dt"}.get(name, name).split()
             for k in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
                 if stack[k][0] in reach:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in BLOCK and stack[k][0] != "p":
                     break
@@ -125,6 +157,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
             article = 1
         if name in ASIDE or name == "header" and not article or named and name not in ("article", "main", "body", "html") and HINTS.search(HEADER.sub("", named) if article else named):
             bad = 1
+        open_now[name] = open_now.get(name, 0) + 1
         stack.append((name, article, bad, int(silent or name in SILENT or "hidden" in m[3].split())))
         if name == "a":
             links += 1
