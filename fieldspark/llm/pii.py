@@ -3,8 +3,8 @@
 The network is trained in numpy on windows of a bounded sample of texts (`train_docs` documents with a digit or `@`, least
 xxhash64 of id and text, and at most TRAIN_WINDOWS windows of each): around the spans that the base patterns find there, around those
 spans and made-up ones written in other ways (disguised addresses, numbers with other separators or without a plus), and
-around numbers that are no personal data. A span holds a digit, an `@` or the word "dot", so overlapping windows that hold
-none of these decode to no span and are passed over; all others are decoded (Viterbi). Each place takes the tag of the
+around numbers that are no personal data. A well-formed span holds a digit, an `@`, the word "dot", or "at" before a host with
+a full stop (HINT), so overlapping windows that hold none of these decode to no span and are passed over; all others are decoded (Viterbi). Each place takes the tag of the
 window in whose middle it lies most, be it "outside" or not, and the spans so joined over the whole text are kept where they
 are well formed, once separators are put right, and clear of every base span. Base spans always stay.
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from fieldspark.llm.common import table, texts
 
 KINDS = ("email", "ip", "card", "phone")
-HINT = re.compile(r"[0-9@]|\b[dD][oO][tT]\b")
+#: What every well-formed span holds: a digit, an @, the word "dot", or "at" before a host's first full stop.
+HINT = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|(?:[\[({<]\s*[aA][tT]\s*[\])}>]\s*|\s[aA][tT]\s+)[A-Za-z0-9-]+\s*[\[({<]?\s*\.\s*[\])}>]?\s*[A-Za-z0-9-]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a run of digits is entered at its start alone: a match inside it would have begun there
@@ -335,7 +336,7 @@ def fit(rows: list[tuple[str, list[Span]]], epochs: int = EPOCHS, seed: int = 3)
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the overlapping windows that hold a digit or `@`."""
+    """Starts of the overlapping windows that hold a HINT."""
     last = max(0, len(text) - WINDOW)
     found = set()
     for m in HINT.finditer(text):
