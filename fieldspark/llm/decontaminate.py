@@ -12,7 +12,7 @@ document's templates that begin with a name or unit are also put with that word
 Items with fewer than WINDOW words are one template of their own length. Templates with fewer than SOLID plain words are
 passed over and not counted. Items that have no other templates, or fewer than LEAST words, are leaked where all their words
 follow each other as they are. Null texts, texts without words and items without an id are never found. Repeated items and repeated documents give one
-row for each pair of ids; a null document id finds nothing. Texts of one id are compared each by itself. The item side is broadcast up to BROADCAST templates and
+row for each pair of ids; items that share an id but not the text are each looked for, and the best match tells the row; a null document id finds nothing. Texts of one id are compared each by itself. The item side is broadcast up to BROADCAST templates and
 shuffled beyond.
 """
 
@@ -78,9 +78,10 @@ def templates(rows: DataFrame, canonical_sizes: list[int], plain_sizes: list[int
 def item_templates(items: DataFrame, window: int) -> DataFrame:
     """item_id, size, exact, item_at, template, item_words, item_canon, n_templates: one row for each template of an item.
 
+    item_id here is the id with the text's hash: items that share an id but not the text are items of their own.
     exact: templates can't carry the item, so its runs are of plain words, and all of them are needed.
     """
-    rows = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    rows = items.where("item_id is not null").distinct().select(F.struct("item_id", F.xxhash64("text").alias("text_key")).alias("item_id"), "text")
     own, canon = canonical(F.col("text"))
     rows = rows.select("item_id", own.alias("item_words"), canon.alias("canon")).withColumn("size", F.least(F.size("canon"), F.lit(window))).where("size > 0")
     solid = lambda i: F.size(F.filter(F.slice("canon", i + 1, F.col("size")), lambda w: ~w.isin(NUMBER, NAME, UNIT))) >= SOLID
@@ -115,7 +116,7 @@ def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     values = values.groupBy("doc_id", "text_key", "item_id", "shift", "item_value").agg(F.countDistinct("value").alias("n"), F.max(F.col("value") != F.col("item_value")).alias("changed"))
     slot = values.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.max("n").alias("most"), F.max("changed").alias("changed"))
     done = hits.join(slot, ["doc_id", "text_key", "item_id", "shift"], "left").where("coalesce(most, 1) = 1")
-    return _best(done.withColumn("reparameterised", F.coalesce("changed", F.lit(False))), "doc_id", "text_key", "item_id")
+    return _best(done.withColumn("reparameterised", F.coalesce("changed", F.lit(False))).withColumn("item_id", F.col("item_id.item_id")), "doc_id", "text_key", "item_id")
 
 
 def _best(found: DataFrame, *keys: str) -> DataFrame:
