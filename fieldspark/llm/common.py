@@ -26,10 +26,22 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs less the rows whose id and text key are in rows (doc_id, text_key); rows without an id stay."""
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(rows, (docs["doc_id"].cast("long") == F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), "left_anti").select(docs.columns)
+    """docs less the rows whose id and text key are in rows (doc_id, text_key); rows without an id stay. Other columns, whatever their names, stay."""
+    ident, key = unused(docs, "_id", "_key")
+    rows = rows.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).distinct()
+    return docs.join(rows, (F.col("doc_id").cast("long") == F.col(ident)) & (text_key(F.col("text")) == F.col(key)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def shared_dir(spark: SparkSession) -> str:
