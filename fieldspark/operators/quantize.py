@@ -97,14 +97,6 @@ def coded_size(df: DataFrame, symbol: str, by: list[str]) -> DataFrame:
     return sums.select(*by, "n", ((F.col("n") * F.log2("n") - F.col("_own")) / 8.0).alias("bytes"))
 
 
-def coded_size(df: DataFrame, symbol: str, by: list[str]) -> DataFrame:
-    """by, n, bytes: the entropy of the symbols' histogram, in bytes."""
-    h = df.groupBy(*by, symbol).agg(F.count("*").alias("cnt"))
-    total = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    h = h.withColumn("total", F.sum("cnt").over(total))
-    return h.groupBy(*by).agg(F.sum("cnt").alias("n"), (F.sum(-F.col("cnt") * F.log2(F.col("cnt") / F.col("total"))) / 8.0).alias("bytes"))
-
-
 # ---------------------------------------------------------------- wavelets
 
 
@@ -113,32 +105,46 @@ def _mirror(i: Column, n: Column) -> Column:
     return F.when(j >= n, 2 * (n - 1) - j).otherwise(j)
 
 
+def _filtered(cells: DataFrame, keys: tuple[str, ...], even: list[float], odd: list[float]) -> DataFrame:
+    """keys, i and c of cells (keys, i from 0 without gaps, c) after a filter for even, and one for odd places, mirrored at both ends.
+
+    Taps are the cells beside a cell in its pencil: one exchange, whatever the filter's length.
+    """
+    half = len(even) // 2
+    w = Window.partitionBy(*keys).orderBy("i")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = cells.withColumn("n", F.count("*").over(whole))
+    # the mirror of a place beyond the border lies within half + 1 cells of it
+    taps = {k: (F.lead("c", k) if k >= 0 else F.lag("c", -k)).over(w) for k in range(-half, half + 1)}
+    ends = ends.withColumns({f"_t{k + half}": c for k, c in taps.items()})
+    first = [F.nth_value("c", j + 1).over(whole) for j in range(half + 1)]
+    back = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = [F.nth_value("c", j + 1).over(back) for j in range(half + 1)]
+    ends = ends.withColumns({"_low": F.array(*first), "_high": F.array(*last)})
+    value = {}
+    for k in range(-half, half + 1):
+        at = F.col("i") + k
+        mirrored = _mirror(at, F.col("n"))
+        beyond = (F.when(at < 0, F.get("_low", mirrored.cast("int"))) if k < 0 else F.when(at >= F.col("n"), F.get("_high", (F.col("n") - 1 - mirrored).cast("int")))) if k else F.lit(None).cast("double")
+        value[k] = F.coalesce(F.col(f"_t{k + half}"), beyond, F.lit(0.0))
+    total = lambda weights: sum((F.lit(a) * value[k - half] for k, a in enumerate(weights) if a), F.lit(0.0))
+    return ends.select(*keys, "i", F.when(F.col("i") % 2 == 0, total(even)).otherwise(total(odd)).alias("c"))
+
+
 def wavelet(df: DataFrame, col: str, axis: str, kind: str = "cdf97", keys: tuple[str, ...] | None = None) -> DataFrame:
     """One level along an axis: keys, band (low, high), i and the coefficient c. Pencils have an even number of cells."""
     keys = keys or PENCIL[axis]
     low, high = FILTERS[kind]["analysis"]
-    half = len(low) // 2
-    n = F.count("*").over(Window.partitionBy(*keys))
-    taps = F.explode(F.array(*[F.struct(F.lit(k - half).alias("k"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for k, (a, b) in enumerate(zip(low, high, strict=True))])).alias("tap")
-    cells = df.select(*keys, F.col(axis).alias("i"), F.col(col).cast("double").alias("c"), n.alias("n"))
-    want = cells.select(*keys, "i", "n", taps)
-    want = want.select(*keys, F.col("i").alias("at"), _mirror(F.col("i") + F.col("tap.k"), F.col("n")).alias("i"), F.when(F.col("i") % 2 == 0, F.col("tap.lo")).otherwise(F.col("tap.hi")).alias("w"))
-    got = want.where("w <> 0").join(cells.select(*keys, "i", "c"), [*keys, "i"]).groupBy(*keys, "at").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
-    return got.select(*keys, F.when(F.col("at") % 2 == 0, "low").otherwise("high").alias("band"), F.floor(F.col("at") / 2).cast("int").alias("i"), "c")
+    got = _filtered(df.select(*keys, F.col(axis).alias("i"), F.col(col).cast("double").alias("c")), keys, low, high)
+    return got.select(*keys, F.when(F.col("i") % 2 == 0, "low").otherwise("high").alias("band"), F.floor(F.col("i") / 2).cast("int").alias("i"), "c")
 
 
 def inverse_wavelet(bands: DataFrame, axis: str, kind: str = "cdf97", keys: tuple[str, ...] | None = None) -> DataFrame:
     """The cells of one level: keys, axis, c."""
     keys = keys or PENCIL[axis]
     even, odd = FILTERS[kind]["synthesis"]
-    half = len(even) // 2
-    n = F.count("*").over(Window.partitionBy(*keys))
-    cells = bands.select(*keys, (2 * F.col("i") + (F.col("band") == "high").cast("int")).alias("i"), "c", n.alias("n"))
-    taps = F.explode(F.array(*[F.struct(F.lit(k - half).alias("k"), F.lit(a).alias("e"), F.lit(b).alias("o")) for k, (a, b) in enumerate(zip(even, odd, strict=True))])).alias("tap")
-    want = cells.select(*keys, "i", "n", taps)
-    want = want.select(*keys, F.col("i").alias("at"), _mirror(F.col("i") + F.col("tap.k"), F.col("n")).alias("i"), F.when(F.col("i") % 2 == 0, F.col("tap.e")).otherwise(F.col("tap.o")).alias("w"))
-    got = want.where("w <> 0").join(cells.select(*keys, "i", "c"), [*keys, "i"]).groupBy(*keys, "at").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
-    return got.withColumnRenamed("at", axis)
+    cells = bands.select(*keys, (2 * F.col("i") + (F.col("band") == "high").cast("int")).alias("i"), "c")
+    return _filtered(cells, keys, even, odd).withColumnRenamed("i", axis)
 
 
 def wavelet_levels(df: DataFrame, col: str, axis: str, levels: int, step: float, kind: str = "cdf97") -> DataFrame:

@@ -17,6 +17,7 @@ from fieldspark.plans.catalog import _B3, _BR, _C0, _C4, _CR, _LONG, _ST, _STC,
 from fieldspark.plans.fixtures import CHANNELS, INFO, grid, r6, table, world_points
 from fieldspark.plans.trace_sql import FIELD, velocity
 from fieldspark.plans.traces import TRACE, _stream
+from fieldspark.sources import raw_source as RAW
 from fieldspark.sources import store
 from fieldspark.sources import volumes as VOL
 from fieldspark.streaming import particles as PS
@@ -125,6 +126,51 @@ def _(s, d):
 
 
 
+# ---------------------------------------------------------------- raw files
+
+
+_FLOATS = ",".join(f"{rr(f'CAST({c} AS FLOAT)::DOUBLE', o)}" for c, o in (("u", "velocity0"), ("v", "velocity1"), ("w", "velocity2"), ("temp", "temp")))
+_DIMS, _FILES = (8, 8, 8), ["velocity:3", "temp"]
+
+
+def _raw(s, d) -> str:
+    mask = f"{folder(s)}/%s-%04d.raw"
+    RAW.write_raw(grid(s, d).withColumnsRenamed({"u": "velocity0", "v": "velocity1", "w": "velocity2"}), mask, _DIMS, _FILES)
+    return mask
+
+
+def _as_double(df: DataFrame) -> DataFrame:
+    names = ["velocity0", "velocity1", "velocity2", "temp"]
+    return rounded(df.withColumns({c: F.col(c).cast("double") for c in names}), ["t", "x", "y", "z"], names)
+
+
+@query("src1_raw_files", f"WITH {G} SELECT t,x,y,z,{_FLOATS} FROM g")
+def _(s, d):
+    return _as_double(VOL.read_raw(s, _raw(s, d), _DIMS, _FILES, 0, 1, slab_bytes=2048))
+
+
+@query("src1_raw_slabs", f"WITH {G} SELECT t,x,y,z,{_FLOATS} FROM g WHERE t=1 AND z BETWEEN 2 AND 4 AND x<5")
+def _(s, d):
+    return _as_double(VOL.read_raw(s, _raw(s, d), _DIMS, _FILES, 0, 1, slab_bytes=2048).where("t = 1 and z >= 2 and z <= 4 and x < 5"))
+
+
+@query("src1_raw_stream", f"WITH {G}, gf AS (SELECT t,x,y,z,{','.join(f'CAST({c} AS FLOAT)::DOUBLE {c}' for c in CHANNELS)} FROM g), {_LONG.replace('FROM g', 'FROM gf')} SELECT t,channel,{_ST} FROM c GROUP BY t,channel")
+def _(s, d):
+    """Raw steps as a stream, ingested into a brick store."""
+    mask, at = _raw(s, d), folder(s)
+    source = RAW.register(s).readStream.format("raw_volume").options(dims="8,8,8", channels=",".join(_FILES)).load(mask)
+    named = source.withColumnsRenamed({"velocity0": "u", "velocity1": "v", "velocity2": "w"})
+    streams.stream_ingest(named, INFO, at, CHANNELS, f"{at}-state").awaitTermination()
+    return rounded(stats.finish_stats(streams.ingested_stats(s, at)), ["t", "channel", "n", "orig_bytes"], _STC)
+
+
+@query("src10_points", f"WITH {WP} SELECT pid,CAST(x AS FLOAT)::DOUBLE x,CAST(y AS FLOAT)::DOUBLE y,CAST(z AS FLOAT)::DOUBLE z FROM wp")
+def _(s, d):
+    at = f"{folder(s)}/points.raw"
+    VOL.write_points(world_points(s, d), at)
+    return VOL.read_points(s, at)
+
+
 # ---------------------------------------------------------------- long series, rays, pyramids, boxes
 
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]

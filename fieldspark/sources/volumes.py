@@ -7,46 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.functions.info import VolumeInfo, expand_masks
+from fieldspark.functions.info import VolumeInfo
 from fieldspark.functions.tensor import normalize
 from fieldspark.operators.seeds import uniform
-from fieldspark.sources import store
+from fieldspark.sources import raw_source, store
 
-SLAB_BYTES = 64 << 20
+def read_raw(spark: SparkSession, mask: str, dims: tuple[int, int, int], channels: list[str], tmin: int, tmax: int, tstep: int = 1, slab_bytes: int = raw_source.SLAB_BYTES) -> DataFrame:
+    """t, x, y, z and a column for each component, from files of interleaved float32, x fastest: the raw_volume data source.
 
-
-def read_raw(spark: SparkSession, mask: str, dims: tuple[int, int, int], channels: list[str], tmin: int, tmax: int, tstep: int = 1, slab_bytes: int = SLAB_BYTES) -> DataFrame:
-    """t, x, y, z and a column for each component, from files of interleaved float32, x fastest.
-
-    channels: "name:count"; a count above 1 makes <name>0.. A task reads slabs of z of at most slab_bytes. The files must lie
-    where every executor can open them (a mounted store).
+    channels: "name:count"; a count above 1 makes <name>0.. A task reads the byte range of a slab of z of at most slab_bytes;
+    filters on t and z keep whole slabs from being read.
     """
-    nx, ny, nz = dims
-    files = expand_masks(mask, channels, tmin, tmax, tstep)
-    names = [f"{c.partition(':')[0]}{k}" if int(c.partition(":")[2] or 1) > 1 else c.partition(":")[0] for c in channels for k in range(int(c.partition(":")[2] or 1))]
-    width = max(n for _, _, n, _ in files)
-    deep = max(1, slab_bytes // max(1, nx * ny * 4 * width))
-    tasks = spark.createDataFrame([(t, tmin) for t in sorted({f[0] for f in files})], "t int, first int").withColumn("z0", F.explode(F.sequence(F.lit(0), F.lit(nz - 1), F.lit(deep))))
-    paths = {t: [(c, n, p) for s, c, n, p in files if s == t] for t in {f[0] for f in files}}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t, z0 in zip(b["t"].tolist(), b["z0"].tolist(), strict=True):
-                depth = min(deep, nz - z0)
-                cells = depth * ny * nx
-                i = np.arange(cells)
-                out = {"t": np.full(cells, t, np.int32), "x": (i % nx).astype(np.int32), "y": (i // nx % ny).astype(np.int32), "z": (z0 + i // (nx * ny)).astype(np.int32)}
-                for c, n, path in paths[t]:
-                    with open(path, "rb") as f:
-                        f.seek(z0 * ny * nx * n * 4)
-                        a = np.fromfile(f, np.float32, cells * n).reshape(-1, n)
-                    out |= {(f"{c}{k}" if n > 1 else c): a[:, k] for k in range(n)}
-                yield pd.DataFrame(out)
-
-    return tasks.repartition(max(1, tasks.count())).mapInPandas(run, "t int, x int, y int, z int, " + ", ".join(f"{n} float" for n in names))
+    options = {"dims": ",".join(map(str, dims)), "channels": ",".join(channels), "tmin": tmin, "tmax": tmax, "tstep": tstep, "slab_bytes": slab_bytes}
+    return raw_source.register(spark).read.format("raw_volume").options(**options).load(mask)
 
 
 def export_raw(df: DataFrame, info: VolumeInfo, path: str, cols: list[str]) -> DataFrame:
@@ -128,27 +105,44 @@ def read_flow_graph(spark: SparkSession, path: str, info: VolumeInfo) -> DataFra
 
 
 def read_points(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:
-    """pid, x, y, z from a file of float32 blocks x[], y[], z[]; each task reads its own range of the three.
-
-    The file must lie where every executor can open it (a mounted store); its size comes from Spark.
-    """
-    n = spark.read.format("binaryFile").load(path).select("length").first()[0] // 12
+    """pid, x, y, z from a file of float32 blocks x[], y[], z[]; each task reads its own range of the three through Arrow's file systems."""
+    fs, at = raw_source.file_system(path)
+    n = fs.get_file_info(at).size // 12
     step = max(1, -(-n // parts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = raw_source.file_system(path)
         for b in batches:
-            for at in b["id"].tolist():
-                m = min(step, n - at)
-                cols = {"pid": np.arange(at, at + m)}
-                for k, c in enumerate("xyz"):
-                    with open(path, "rb") as f:
-                        f.seek(4 * (k * n + at))
-                        cols[c] = np.fromfile(f, np.float32, m).astype(float)
+            for first in b["id"].tolist():
+                m = min(step, n - first)
+                cols = {"pid": np.arange(first, first + m)}
+                with fs.open_input_file(at) as f:
+                    for k, c in enumerate("xyz"):
+                        f.seek(4 * (k * n + first))
+                        cols[c] = np.frombuffer(f.read(4 * m), np.float32).astype(float)
                 yield pd.DataFrame(cols)
 
     return spark.range(0, n, step).mapInPandas(run, "pid long, x double, y double, z double")
 
 
+def write_points(points: DataFrame, path: str) -> None:
+    """x, y, z of points (pid from 0 without gaps) as a file of float32 blocks x[], y[], z[]: three streams, one after the other, by one task."""
+    fs, at = raw_source.file_system(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = raw_source.file_system(path)
+        n = 0
+        with fs.open_output_stream(at) as f:
+            for b in batches:
+                f.write(b.column(0).to_numpy().astype(np.float32).tobytes())
+                n += len(b)
+        yield pa.RecordBatch.from_pylist([{"n": n}], schema=pa.schema([("n", pa.int64())]))
+
+    axes = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(a).cast("double").alias("v")) for k, a in enumerate("xyz")]))
+    points.select("pid", axes.alias("r")).select("pid", "r.k", "r.v").repartitionByRange(1, "k", "pid").sortWithinPartitions("k", "pid").select("v").mapInArrow(run, "n long").collect()
+
+
 def read_regions(df: DataFrame) -> DataFrame:
     """tx, ty, region of a raster table."""
     return df.select(F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), F.col("region").cast("long").alias("region"))
