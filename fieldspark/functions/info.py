@@ -70,14 +70,22 @@ class VolumeInfo:
 
 
 def resolve_spacing(size: tuple[int, int, int], spacing=None, domain: tuple[float, float, float] | None = None, aspect: tuple[float, float, float] | None = None) -> tuple[float, float, float]:
-    """Grid spacing from a number, three numbers, a domain's size, or an aspect ratio; else 2 / the largest size."""
+    """Grid spacing from a number, three numbers, a domain's size, or an aspect ratio; else 2 / the largest size. More than one is an error.
+
+    aspect: of the volume along z, y, x, from its first cells to its last; the largest side then measures 1 from border to border.
+    """
+    if sum(v is not None for v in (spacing, domain, aspect)) > 1:
+        raise ValueError("give one of spacing, domain and aspect")
     if spacing is not None:
         return (float(spacing),) * 3 if isinstance(spacing, int | float) else tuple(map(float, spacing))
     if domain is not None:
         return tuple(d / n for d, n in zip(domain, size, strict=True))
     if aspect is not None:
-        top = max(aspect)
-        return tuple(2.0 * a / top / n for a, n in zip(aspect, size, strict=True))
+        if min(size) < 2:
+            raise ValueError("an aspect ratio needs two cells an axis")
+        h = [a / (n - 1) for a, n in zip(reversed(aspect), size, strict=True)]
+        side = max(a * n for a, n in zip(h, size, strict=True))
+        return tuple(a / side for a in h)
     return (2.0 / max(size),) * 3
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.info import AXES, VolumeInfo
-from fieldspark.operators.select import small
+from fieldspark.functions.session import cut
+from fieldspark.operators.select import BROADCAST_ROWS, small
 
 
 def assign_bricks(df: DataFrame, info: VolumeInfo) -> DataFrame:
@@ -124,6 +125,24 @@ def unpack_bricks(bricks: DataFrame, cols: list[str]) -> DataFrame:
     return rows.select("t", "bx", "by", "bz", (F.col("ox") + F.col("i") % F.col("nx")).alias("gx"), (F.col("oy") + F.expr("(i div nx) % ny")).cast("int").alias("gy"), (F.col("oz") + F.expr("i div (nx * ny)")).cast("int").alias("gz"), *[F.col(f"c.{c}").alias(c) for c in cols])
 
 
+def deal(rows: DataFrame, bricks: DataFrame, keys: list[str], bound: int, ident: str = "line_id") -> tuple[DataFrame, DataFrame] | None:
+    """Rows and the packed bricks they need, both with a `copy`; None if there are no rows.
+
+    A brick with rows comes once for each `bound` of them or part of it; rows are dealt to its copies by a hash of ident. keys: the brick, and its
+    step t, or tk, the step that a pair begins with.
+    """
+    load = cut(rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(bound)).cast("int").alias("copies")))
+    number, total = load.agg(F.count("*"), F.sum("copies")).first()
+    if not number:
+        return None
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    dealt = rows.join(few(load, number), keys).withColumn("copy", F.pmod(F.xxhash64(ident), F.col("copies")).cast("int")).drop("copies")
+    need = load.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    if "tk" in keys:
+        need, total = need.withColumn("t", F.explode(F.array("tk", F.col("tk") + 1))), 2 * total
+    return dealt, bricks.join(few(need, total), ["bx", "by", "bz"] + (["t"] if "t" in need.columns else []))
+
+
 def brick_meta(df: DataFrame, info: VolumeInfo, measures: list[str]) -> DataFrame:
     """t, bx, by, bz, measure, vmin, vmax over core cells: one aggregate for all measures, then rows."""
     wide = assign_bricks(df, info).groupBy("t", "bx", "by", "bz").agg(*[f(m).alias(f"{n}_{m}") for m in measures for f, n in ((F.min, "lo"), (F.max, "hi"))])
@@ -144,13 +163,23 @@ def brick_neighbors(bricks: DataFrame, info: VolumeInfo) -> DataFrame:
     return out
 
 
+#: What two volumes must share for the steps of one to go on those of the other.
+GEOMETRY = ("nx", "ny", "nz", "hx", "hy", "hz", "dt", "periodic", "brick", "overlap")
+
+
 def assert_appendable(a: VolumeInfo, b: VolumeInfo) -> None:
     """Raises if steps of b can't be appended to a."""
-    for field in ("nx", "ny", "nz", "hx", "hy", "hz", "dt", "periodic", "brick", "overlap"):
+    for field in GEOMETRY:
         if getattr(a, field) != getattr(b, field):
             raise ValueError(f"{field} differs: {getattr(a, field)} and {getattr(b, field)}")
 
 
+def appendable(infos: DataFrame, info: VolumeInfo) -> DataFrame:
+    """Descriptions (a row each, with the columns of VolumeInfo) with `differs`: the first field in which they differ from info, or null."""
+    differs = F.coalesce(*[F.when(~F.col(f).eqNullSafe(F.lit(getattr(info, f))), F.lit(f)) for f in GEOMETRY])
+    return infos.withColumn("differs", differs)
+
+
 def order_by_distance(bricks: DataFrame, info: VolumeInfo, p: tuple[float, float, float]) -> DataFrame:
     """Bricks with the distance of their centre from a viewpoint, nearest first."""
     d = F.lit(0.0)

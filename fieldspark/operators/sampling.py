@@ -1,11 +1,13 @@
-"""Interpolation of voxel channels at points: support offsets are exploded, joined to voxels, and summed with weights.
+"""Interpolation of voxel channels at points: points are dealt to the halo'd bricks they lie in, and summed up there in numpy.
 
 Points hold pid, gx, gy, gz (grid coordinates, cell i has its centre at i + 0.5) and t, or time. Cells beyond the border are
-the border's (clamp) or wrap (periodic). Axis weights stay columns, so the whole of it is one join and one aggregate.
+the border's (clamp) or wrap (periodic).
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.info import AXES, VolumeInfo
 from fieldspark.functions.kernels import KERNELS
+from fieldspark.functions.session import cut
+from fieldspark.operators.bricks import deal, pack_bricks, with_halo
 
 
 def _cell(c: Column, n: int, periodic: bool) -> Column:
@@ -41,68 +45,121 @@ def support(points: DataFrame, info: VolumeInfo, kernel: str, shift: tuple[float
     return rows.select(*keep, *[F.col(f"s{a}.i").alias(a) for a in AXES], (F.col("sx.w") * F.col("sy.w") * F.col("sz.w")).alias("weight"))
 
 
-def sample(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str = "linear", cols: tuple[str, ...] = ("u", "v", "w"), time: str | None = None) -> DataFrame:
-    """pid and interpolated channels; time: the column from which two steps are blended linearly, else points hold t."""
-    if time is not None:
-        q = F.col(time) / info.dt
-        low, part = F.floor(q).cast("int"), q - F.floor(q)
-        steps = F.array(F.struct(F.least(F.lit(info.nt - 1), low).alias("t"), (1.0 - part).alias("wt")), F.struct(F.least(F.lit(info.nt - 1), low + 1).alias("t"), part.alias("wt")))
-        points = points.withColumn("st", F.explode(steps)).select("pid", "gx", "gy", "gz", F.col("st.t").alias("t"), F.col("st.wt").alias("wt")).where("wt > 0")
-    else:
-        points = points.withColumn("wt", F.lit(1.0))
-    if KERNELS[kernel].staggered:
-        out = None
-        for k, c in enumerate(cols[:3]):
-            part = _summed(points, voxels, info, kernel, (c,), tuple(0.5 * (i == k) for i in range(3)))
-            out = part if out is None else out.join(part, "pid")
-        return out
-    return _summed(points, voxels, info, kernel, cols, (0.0, 0.0, 0.0))
+def sample_by_join(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str = "linear", cols: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
+    """sample() of points with t as a join of support cells, for volumes with missing cells, which count as zeros."""
+    shifts = [tuple(0.5 * (i == k) for i in range(3)) for k in range(3)] if KERNELS[kernel].staggered else [(0.0, 0.0, 0.0)]
+    out = None
+    for shift, own in zip(shifts, [(c,) for c in cols] if len(shifts) > 1 else [cols], strict=False):
+        rows = support(points, info, kernel, shift, keep=["pid", "t"]).join(voxels.select("t", *AXES, *own), ["t", *AXES])
+        part = rows.groupBy("pid").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in own])
+        out = part if out is None else out.join(part, "pid")
+    return out
 
 
-def _summed(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str, cols: tuple[str, ...], shift: tuple[float, ...]) -> DataFrame:
-    rows = support(points, info, kernel, shift, keep=["pid", "t", "wt"]).join(voxels.select("t", *AXES, *cols), ["t", *AXES])
-    return rows.groupBy("pid").agg(*[F.sum(F.col("weight") * F.col("wt") * F.col(c)).alias(c) for c in cols])
+def sample(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str = "linear", cols: tuple[str, ...] = ("u", "v", "w"), time: str | None = None) -> DataFrame:
+    """pid and interpolated channels; time: the column from which two steps are blended linearly, else points hold t."""
+    return sample_at(points, voxels, info, kernel, cols, time=time)
 
 
 def derivative_at(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str = "bspline", cols: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
     """pid and the partial derivatives of channels at points: d<channel>_d<axis>."""
-    out = None
-    for a, h in zip(AXES, info.spacing, strict=True):
-        rows = support(points, info, kernel, derivative=a).join(voxels.select("t", *AXES, *cols), ["t", *AXES])
-        part = rows.groupBy("pid").agg(*[(F.sum(F.col("weight") * F.col(c)) / h).alias(f"d{c}_d{a}") for c in cols])
-        out = part if out is None else out.join(part, "pid")
-    return out
+    return sample_at(points, voxels, info, kernel, cols, values=False, derivatives=True)
 
 
 def sample_by_brick(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str, cols: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
-    """sample() for wide kernels: points meet halo'd bricks, so no support cell travels by itself. Points inside the volume."""
-    from fieldspark.operators.bricks import pack_bricks, with_halo
+    """sample() with the bricks of info."""
+    return sample_at(points, voxels, info, kernel, cols, own_bricks=True)
+
+
+#: Points of one task.
+POINTS_A_TASK = 20_000
+#: Support cells looked at together.
+TAPS = 1 << 21
 
+
+def sample_at(points: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str = "linear", cols: tuple[str, ...] = ("u", "v", "w"), values: bool = True, derivatives: bool = False, time: str | None = None, keep: list[str] | None = None, own_bricks: bool = False) -> DataFrame:
+    """The columns `keep` of points (else pid), and channels and, if asked for, their derivatives d<channel>_d<axis>.
+
+    Points meet halo'd bricks, each once (twice with time, for its two steps), so no support cell travels by itself; values and derivatives come from the same
+    cells. A brick with many points is copied, and they are dealt to its copies. Bricks are four times the halo wide at least, unless own_bricks.
+    The volume must have all its cells; see sample_by_join. Points beyond the border take the cells they stand for.
+    """
     k = KERNELS[kernel]
+    if derivatives and k.derivative is None:
+        raise ValueError(f"{kernel} has no derivative weights")
+    keep = keep or ["pid"]
     halo = k.radius + 2
-    packed = pack_bricks(with_halo(voxels, info, halo=halo), list(cols))
+    if not own_bricks:
+        size = 1
+        while size < max(4 * halo, info.core):
+            size *= 2
+        info = replace(info, brick=size, overlap=0)
+    out = [*(cols if values else ()), *(f"d{c}_d{a}" for c in cols for a in AXES if derivatives)]
+    packed = cut(pack_bricks(with_halo(voxels.select("t", *AXES, *cols), info, halo=halo), list(cols)))
+    rows = points
+    if info.periodic:
+        rows = rows.withColumns({f"g{a}": F.col(f"g{a}") - F.floor(F.col(f"g{a}") / n) * n for a, n in zip(AXES, info.size, strict=True)})
+    if time is not None:
+        q = F.col(time) / info.dt
+        low, part = F.floor(q).cast("int"), q - F.floor(q)
+        steps = F.array(F.struct(F.least(F.lit(info.nt - 1), low).alias("t"), (1.0 - part).alias("wt")), F.struct(F.least(F.lit(info.nt - 1), low + 1).alias("t"), part.alias("wt")))
+        rows = rows.withColumn("_s", F.explode(steps)).withColumns({"_step": F.col("_s.t"), "_wt": F.col("_s.wt")}).drop("_s").where("_wt > 0")
+    else:
+        rows = rows.withColumns({"_step": F.col("t"), "_wt": F.lit(1.0)})
+    own = {f"_b{a}": F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(F.col(f"g{a}") / info.core))).cast("int") for a, n in zip(AXES, info.brick_count, strict=True)}
+    rows = rows.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], *[F.col(f"g{a}").cast("double").alias(f"_g{a}") for a in AXES], F.col("_step").cast("int").alias("t"), "_wt", *[c.alias(n[1:]) for n, c in own.items()])
     keys = ["t", "bx", "by", "bz"]
-    own = {f"b{a}": F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(F.col(f"g{a}") / info.core))).cast("int") for a, n in zip(AXES, info.brick_count, strict=True)}
+    kept = [f"_keep{i}" for i in range(len(keep))]
+    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept), "_wt double", *(f"`{c}` double" for c in out)])
+    dealt = deal(rows.withColumn("_id", F.xxhash64(*kept)), packed, keys, POINTS_A_TASK, "_id")
+    if dealt is None:
+        return rows.select(*[F.col(n).alias(c) for n, c in zip(kept, keep, strict=True)], *[F.lit(None).cast("double").alias(c) for c in out]).where("false")
+    shift = [0.5 * np.eye(3)[min(i, 2)] for i in range(len(cols))] if k.staggered else [np.zeros(3)] * len(cols)
+
+    def one(at: np.ndarray, arrays: list[np.ndarray], origin: tuple, n: tuple) -> dict[str, np.ndarray]:
+        got: dict[str, np.ndarray] = {}
+        weights, slopes, cells, last = [], [], [], None
+        for c, array, s in zip(cols, arrays, shift, strict=True):
+            if last is None or (s != last).any():
+                q = at - 0.5 - s
+                base = np.floor(q)
+                weights = [np.stack(k.weights(q[:, d] - base[:, d]), 1) for d in range(3)]
+                slopes = [np.stack(k.derivative(q[:, d] - base[:, d]), 1) for d in range(3)] if derivatives else []
+                cells = [np.clip(base[:, d].astype(np.int64)[:, None] + np.array(k.offsets) - origin[d], 0, n[d] - 1) for d in range(3)]
+                last = s
+            total = np.zeros((4, len(at)))
+            for i, z in enumerate(cells[2].T):
+                plane = array[z[:, None, None], cells[1][:, :, None], cells[0][:, None, :]]
+                along_x = np.einsum("nyx,nx->ny", plane, weights[0])
+                flat = np.einsum("ny,ny->n", along_x, weights[1])
+                total[0] += weights[2][:, i] * flat
+                if derivatives:
+                    total[1] += weights[2][:, i] * np.einsum("ny,ny->n", np.einsum("nyx,nx->ny", plane, slopes[0]), weights[1])
+                    total[2] += weights[2][:, i] * np.einsum("ny,ny->n", along_x, slopes[1])
+                    total[3] += slopes[2][:, i] * flat
+            if values:
+                got[c] = total[0]
+            if derivatives:
+                got |= {f"d{c}_d{a}": total[1 + d] / info.spacing[d] for d, a in enumerate(AXES)}
+        return got
 
     def run(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(b):
-            return pd.DataFrame({c: [] for c in ("pid", *cols)})
+        if not len(p):
+            return pd.DataFrame({c: [] for c in (*kept, "_wt", *out)})
+        if not len(b):
+            raise ValueError("a brick of the volume has no cells")
         r = b.iloc[0]
-        n, origin = (r["nx"], r["ny"], r["nz"]), (r["ox"], r["oy"], r["oz"])
+        n, origin = (int(r["nx"]), int(r["ny"]), int(r["nz"])), (r["ox"], r["oy"], r["oz"])
+        if len(r[cols[0]]) != n[0] * n[1] * n[2]:
+            raise ValueError("a brick of the volume lacks cells; see sample_by_join")
         arrays = [np.asarray(r[c], float).reshape(n[::-1]) for c in cols]
-        at = p[["gx", "gy", "gz"]].to_numpy(float) - 0.5
-        base = np.floor(at)
-        weights, cells = [], []
-        for d in range(3):
-            weights.append(np.stack(k.weights(at[:, d] - base[:, d]), 1))
-            cells.append(np.clip(base[:, d].astype(int)[:, None] + np.array(k.offsets) - origin[d], 0, n[d] - 1))
-        out = {}
-        for c, a in zip(cols, arrays, strict=True):
-            total = np.zeros(len(p))
-            for i, z in enumerate(cells[2].T):
-                plane = a[z[:, None, None], cells[1][:, :, None], cells[0][:, None, :]]
-                total += weights[2][:, i] * np.einsum("nyx,ny,nx->n", plane, weights[1], weights[0])
-            out[c] = total
-        return pd.DataFrame({"pid": p["pid"].to_numpy(), **out})
+        at = p[[f"_g{a}" for a in AXES]].to_numpy(float)
+        many = max(1, TAPS // len(k.offsets) ** 2)
+        parts = [one(at[i : i + many], arrays, origin, n) for i in range(0, len(at), many)]
+        return pd.DataFrame({**{c: p[c] for c in (*kept, "_wt")}, **{c: np.concatenate([q[c] for q in parts]) for c in out}})
 
-    return points.withColumns(own).groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInPandas(run, "pid long, " + ", ".join(f"{c} double" for c in cols))
+    lines, near = (df.groupBy(*keys, "copy") for df in dealt)
+    got = lines.cogroup(near).applyInPandas(run, schema)
+    if time is not None:
+        got = got.groupBy(*kept).agg(*[F.sum(F.col("_wt") * F.col(c)).alias(c) for c in out])
+    return got.select(*[F.col(n).alias(c) for n, c in zip(kept, keep, strict=True)], *out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.info import VolumeInfo
 from fieldspark.functions.session import cut
 
 VALUE_BYTES = 4
@@ -28,6 +29,13 @@ def _plain(v: str = "v", p: str = "") -> list[Column]:
     return [*size, F.min(v).alias(f"{p}vmin"), F.max(v).alias(f"{p}vmax"), (F.max(v) - F.min(v)).alias(f"{p}vrange"), F.avg(v).alias(f"{p}avg"), F.var_pop(v).alias(f"{p}var")]
 
 
+def brick_stats(df: DataFrame, info: VolumeInfo, cols: list[str], include_halo: bool = False) -> DataFrame:
+    """stats() of each brick's cells; include_halo: of its ghost cells too, which so count in several bricks, and at borders more than once."""
+    from fieldspark.operators.bricks import assign_bricks, with_halo
+
+    return stats(with_halo(df, info) if include_halo else assign_bricks(df, info), cols, ["t", "bx", "by", "bz"])
+
+
 def recon_stats(df: DataFrame, pairs: dict[str, str], by: list[str], eps: float = 0.01, strict: bool = False) -> DataFrame:
     """Statistics of channels and of their reconstructions, and error figures. pairs: channel -> reconstructed column.
 

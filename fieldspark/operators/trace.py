@@ -24,9 +24,9 @@ from fieldspark.functions.info import AXES, VolumeInfo, velocity_scale, with_bri
 from fieldspark.functions.kernels import KERNELS
 from fieldspark.functions.schemes import SCHEMES, advance, bezier, bezier_slope, scheme_info
 from fieldspark.functions.session import cut
+from fieldspark.operators.bricks import deal as _deal
 from fieldspark.operators.bricks import pack_bricks, with_halo
 from fieldspark.operators.seeds import Box, checkpoints, seed_ftle
-from fieldspark.operators.select import BROADCAST_ROWS
 
 CHANNELS = ("u", "v", "w")
 
@@ -206,24 +206,6 @@ def _bricks(voxels: DataFrame, info: VolumeInfo, p: TraceParams) -> DataFrame:
     return pack_bricks(cells, list(CHANNELS))
 
 
-def _deal(live: DataFrame, bricks: DataFrame, keys: list[str], bound: int) -> tuple[DataFrame, DataFrame] | None:
-    """Lines and the bricks they need, both with a `copy`; None if there are no lines.
-
-    A brick with lines comes once for each `bound` of them or part of it; lines are dealt to its copies by a hash. keys: the brick, and for
-    path lines tk, the step that its pair begins with.
-    """
-    load = cut(live.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(bound)).cast("int").alias("copies")))
-    number, rows = load.agg(F.count("*"), F.sum("copies")).first()
-    if not number:
-        return None
-    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
-    lines = live.join(few(load, number), keys).withColumn("copy", F.pmod(F.xxhash64("line_id"), F.col("copies")).cast("int")).drop("copies")
-    need = load.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    if "tk" in keys:
-        need, rows = need.withColumn("t", F.explode(F.array("tk", F.col("tk") + 1))), 2 * rows
-    return lines, bricks.join(few(need, rows), ["bx", "by", "bz"] + (["t"] if "tk" in keys else []))
-
-
 def _loop(seeds: DataFrame, bricks: DataFrame, info: VolumeInfo, p: TraceParams, path: bool, hold: bool = False, runs: list[TraceParams] | None = None) -> tuple[DataFrame, DataFrame]:
     """Vertices and final states. runs: parameters by the remainder of a line's id."""
     many = runs or [p]
@@ -336,16 +318,15 @@ def ftle(voxels: DataFrame, info: VolumeInfo, res: int, box: Box, slice_at: floa
 
 
 def enrich_vertices(vertices: DataFrame, voxels: DataFrame, info: VolumeInfo, kernel: str = "catrom") -> DataFrame:
-    """Vertices with sampled velocity, temperature, their Jacobian and temperature gradient."""
+    """Vertices with sampled velocity, temperature, their Jacobian and temperature gradient; they meet the bricks once, as they are."""
     from fieldspark.functions.info import world_to_grid
-    from fieldspark.operators.sampling import derivative_at, sample
+    from fieldspark.operators.sampling import sample_at
 
-    keyed = vertices.withColumn("pid", F.struct("line_id", "seq"))
-    points = world_to_grid(keyed, info).withColumn("t", F.lit(0)).select("pid", "t", "gx", "gy", "gz")
-    values = sample(points, voxels, info, kernel, ("u", "v", "w", "temp"))
-    d = derivative_at(points, voxels, info, kernel, ("u", "v", "w", "temp"))
+    points = world_to_grid(vertices.withColumn("t", F.lit(0)) if "t" not in vertices.columns else vertices.withColumn("_t", F.col("t")).withColumn("t", F.lit(0)), info)
+    keep = ["_t" if c == "t" else c for c in vertices.columns]
+    got = sample_at(points, voxels, info, kernel, ("u", "v", "w", "temp"), derivatives=True, keep=keep)
     names = {f"d{c}_d{a}": f"j{r}{k}" for r, c in enumerate(CHANNELS) for k, a in enumerate(AXES)} | {f"dtemp_d{a}": f"grad_temp_{a}" for a in AXES}
-    return keyed.join(values, "pid").join(d.withColumnsRenamed(names), "pid").drop("pid")
+    return got.withColumnsRenamed(names | {"_t": "t"})
 
 
 def thin_vertices(vertices: DataFrame, pos_diff: float, time_diff: float) -> DataFrame:

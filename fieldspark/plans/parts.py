@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions import tensor as T
 from fieldspark.functions.session import shared
+from fieldspark.operators import bricks as B
 from fieldspark.operators import iso as ISO
 from fieldspark.operators import quantize as Q
 from fieldspark.operators import select as S
@@ -126,6 +128,39 @@ def _(s, d):
 
 
 
+@query("brk8_appendable", "SELECT p_partkey, CASE WHEN p_size%3=0 THEN 'nx' WHEN p_size%5=0 THEN 'hz' WHEN p_partkey%7=0 THEN 'periodic' WHEN p_size%2=0 THEN 'brick' END differs FROM part")
+def _(s, d):
+    size, odd = F.col("p_size"), lambda n, a, b: F.when(F.col("p_size") % n == 0, a).otherwise(b)
+    infos = table(s, d, "part").select("p_partkey", odd(3, 9, INFO.nx).alias("nx"), F.lit(INFO.ny).alias("ny"), F.lit(INFO.nz).alias("nz"), F.lit(INFO.hx).alias("hx"), F.lit(INFO.hy).alias("hy"), odd(5, 0.5, INFO.hz).alias("hz"), F.lit(INFO.dt).alias("dt"), (F.col("p_partkey") % 7 == 0).alias("periodic"), F.when(size % 2 == 0, 8).otherwise(INFO.brick).alias("brick"), F.lit(INFO.overlap).alias("overlap"))
+    return B.appendable(infos, INFO).select("p_partkey", "differs")
+
+
+@query("prj13_affine", f"WITH {WP} SELECT pid,{rr('0.5*x-2.0*y+0.25*z+3.0', 'x')},{rr('x+y+z-1.0', 'y')},{rr('-0.125*z+0.5', 'z')},{rr('0.5*x-2.0*y+0.25*z', 'dx')},{rr('x+y+z', 'dy')},{rr('-0.125*z', 'dz')} FROM wp")
+def _(s, d):
+    m = [[0.5, -2.0, 0.25, 3.0], [1.0, 1.0, 1.0, -1.0], [0.0, 0.0, -0.125, 0.5]]
+    v = tuple(F.col(a) for a in "xyz")
+    rows = world_points(s, d).select("pid", *[c.alias(a) for a, c in zip("xyz", T.transform_pos(v, m), strict=True)], *[c.alias(f"d{a}") for a, c in zip("xyz", T.transform_dir(v, m), strict=True)])
+    return rounded(rows, ["pid"], ["x", "y", "z", "dx", "dy", "dz"])
+
+
+_CLAMPED = "h AS (SELECT b.t,b.bx,b.\"by\",b.bz,g.u,g.temp FROM (SELECT DISTINCT t,bx,\"by\",bz FROM (SELECT t," + _BR + " FROM g)) b, (VALUES (-1),(0),(1),(2)) i(i),(VALUES (-1),(0),(1),(2)) j(j),(VALUES (-1),(0),(1),(2)) k(k), g WHERE g.t=b.t AND g.x=least(7,greatest(0,2*b.bx+i)) AND g.y=least(7,greatest(0,2*b.\"by\"+j)) AND g.z=least(7,greatest(0,2*b.bz+k)))"
+
+
+@query("sta1_with_ghosts", f"WITH {G}, {_CLAMPED}, c AS (SELECT t,bx,\"by\",bz,'u' channel,u v FROM h UNION ALL SELECT t,bx,\"by\",bz,'temp',temp FROM h) SELECT t,bx,\"by\",bz,channel,{_ST} FROM c GROUP BY 1,2,3,4,5")
+def _(s, d):
+    return rounded(stats.brick_stats(grid(s, d), INFO, ["u", "temp"], include_halo=True), ["t", "bx", "by", "bz", "channel", "n", "orig_bytes"], _STC)
+
+
+@query("src12_trace_stats", f"WITH {G}, k AS (SELECT 'first' run,* FROM g WHERE t=0 UNION ALL SELECT 'second',* FROM g WHERE t=1) SELECT run,t,count(*) n,{rr('max(u)', 'most')} FROM k GROUP BY 1,2")
+def _(s, d):
+    """Statistics of two runs, added up in one folder of text files."""
+    at = folder(s)
+    rows = rounded(grid(s, d).groupBy("t").agg(F.count("*").alias("n"), F.max("u").alias("most")), ["t", "n"], ["most"])
+    for run, t in (("first", 0), ("second", 1)):
+        VOL.write_trace_stats(rows.where(F.col("t") == t), at, run=run)
+    return VOL.read_stats(s, at, "run string, t int, n bigint, most double")
+
+
 # ---------------------------------------------------------------- raw files
 
 
