@@ -849,9 +849,9 @@ def _(s, d):
     return seeds.seed_grid(s, _n(s, d, "customer"), BOX).select("pid", r6("x").alias("x"), r6("y").alias("y"), "z")
 
 
-@query("sed3_ftle", "WITH n AS (SELECT CAST(count(*) AS BIGINT) r FROM nation), g AS (SELECT a.i gx,b.i gy,r FROM n,(SELECT row_number() OVER ()-1 i FROM nation) a,(SELECT row_number() OVER ()-1 i FROM nation) b), k AS (SELECT * FROM (VALUES (0,-0.1,0.0,0.0),(1,0.1,0.0,0.0),(2,0.0,-0.2,0.0),(3,0.0,0.2,0.0),(4,0.0,0.0,-0.3),(5,0.0,0.0,0.3)) q(k,dx,dy,dz)) SELECT CAST((gx*r+gy)*6+k AS BIGINT) pid," + rr("-6.0+12.0*gx/r+dx", "x") + "," + rr("-6.0+12.0*gy/r+dy", "y") + "," + rr("1.5+dz", "z") + " FROM g,k")
+@query("sed3_ftle", "WITH n AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) r FROM customer), g AS (SELECT a.i gx,b.i gy,r FROM n,(SELECT unnest(range(CAST(floor(sqrt(count(*))) AS BIGINT))) i FROM customer) a,(SELECT unnest(range(CAST(floor(sqrt(count(*))) AS BIGINT))) i FROM customer) b), k AS (SELECT * FROM (VALUES (0,-0.1,0.0,0.0),(1,0.1,0.0,0.0),(2,0.0,-0.2,0.0),(3,0.0,0.2,0.0),(4,0.0,0.0,-0.3),(5,0.0,0.0,0.3)) q(k,dx,dy,dz)) SELECT CAST((gx*r+gy)*6+k AS BIGINT) pid," + rr("-6.0+12.0*gx/r+dx", "x") + "," + rr("-6.0+12.0*gy/r+dy", "y") + "," + rr("1.5+dz", "z") + " FROM g,k")
 def _(s, d):
-    return rounded(seeds.seed_ftle(s, _n(s, d, "nation"), BOX, 1.5, (0.1, 0.2, 0.3)), ["pid"], ["x", "y", "z"])
+    return rounded(seeds.seed_ftle(s, I.isqrt(_n(s, d, "customer")), BOX, 1.5, (0.1, 0.2, 0.3)), ["pid"], ["x", "y", "z"])
 
 
 @query("sed4_regions", f"WITH {REG}, d AS (SELECT i pid,a.a attempt," + ",".join(f"-6.0+12.0*{_U('(i*20+a.a)', 1, k)} {a}" for k, a in enumerate("xyz")) + f" FROM (SELECT row_number() OVER ()-1 i FROM supplier), range(20) a(a)), h AS (SELECT pid,attempt,x,y,z FROM (SELECT *,{_TX[0]} tx,{_TX[1]} ty FROM d) JOIN reg USING (tx,ty) WHERE region IN (2,5) QUALIFY row_number() OVER (PARTITION BY pid ORDER BY attempt)=1) SELECT d.pid," + ",".join(rr(f"coalesce(h.{a},17.0)", a) for a in "xyz") + " FROM d LEFT JOIN h USING (pid) WHERE d.attempt=0")

@@ -106,14 +106,14 @@ def _(s, d):
     return TR.advect_points(_seeds(s, d), _frozen(s, d), TRACE, 0.04, scheme="rk4", dt=0.01).select("pid", "status", *[r6(c).alias(c) for c in ENDS])
 
 
-_FTLE_SEEDS = "seed AS (SELECT CAST((a.i*r+b.i)*6+k AS BIGINT) id," + ",".join(f"({p})/2+4 g{a}" for a, p in zip(AXES, ("-6.0+12.0*a.i/r+dx", "-6.0+12.0*b.i/r+dy", "dz"), strict=True)) + " FROM (SELECT count(*) r FROM nation) n,(SELECT row_number() OVER ()-1 i FROM nation) a,(SELECT row_number() OVER ()-1 i FROM nation) b,(VALUES (0,-0.1,0.0,0.0),(1,0.1,0.0,0.0),(2,0.0,-0.1,0.0),(3,0.0,0.1,0.0),(4,0.0,0.0,-0.1),(5,0.0,0.0,0.1)) q(k,dx,dy,dz))"
+_FTLE_SEEDS = "seed AS (SELECT CAST((a.i*r+b.i)*6+k AS BIGINT) id," + ",".join(f"({p})/2+4 g{a}" for a, p in zip(AXES, ("-6.0+12.0*a.i/r+dx", "-6.0+12.0*b.i/r+dy", "dz"), strict=True)) + " FROM (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) r FROM customer) n,(SELECT unnest(range(CAST(floor(sqrt(count(*))) AS BIGINT))) i FROM customer) a,(SELECT unnest(range(CAST(floor(sqrt(count(*))) AS BIGINT))) i FROM customer) b,(VALUES (0,-0.1,0.0,0.0),(1,0.1,0.0,0.0),(2,0.0,-0.1,0.0),(3,0.0,0.1,0.0),(4,0.0,0.0,-0.1),(5,0.0,0.0,0.1)) q(k,dx,dy,dz))"
 _FLOW_MAP = "fm AS (SELECT id//6 cell,max(time) age," + ",".join(f"sum(CASE id%6 WHEN {2 * c + 1} THEN 2*g{a} WHEN {2 * c} THEN -2*g{a} ELSE 0 END)/0.2 m{r}{c}" for r, a in enumerate(AXES) for c in range(3)) + " FROM tr WHERE status<>'active' GROUP BY 1)"
 _GRAM = "m0 AS (SELECT cell,age," + ",".join("+".join(f"m{r}{i}*m{r}{k}" for r in range(3)) + f" {n}" for n, i, k in zip("abcdef", (0, 1, 2, 0, 0, 1), (0, 1, 2, 1, 2, 2), strict=True)) + " FROM fm)"
 
 
-@query("trc7_ftle", f"{ctes(trace('rk4', 0.005, 0.03, most=None), _FLOW_MAP, _GRAM, _EIG, seeds=_FTLE_SEEDS)} SELECT CAST(cell//r AS INT) gx,CAST(cell%r AS INT) gy,{rr('CASE WHEN age>0 THEN ln(sqrt(greatest(hi,1e-30)))/age ELSE 0.0 END', 'ftle')} FROM e4,(SELECT count(*) r FROM nation)")
+@query("trc7_ftle", f"{ctes(trace('rk4', 0.005, 0.03, most=None), _FLOW_MAP, _GRAM, _EIG, seeds=_FTLE_SEEDS)} SELECT CAST(cell//r AS INT) gx,CAST(cell%r AS INT) gy,{rr('CASE WHEN age>0 THEN ln(sqrt(greatest(hi,1e-30)))/age ELSE 0.0 END', 'ftle')} FROM e4,(SELECT CAST(floor(sqrt(count(*))) AS BIGINT) r FROM customer)")
 def _(s, d):
-    res = table(s, d, "nation").count()
+    res = I.isqrt(table(s, d, "customer").count())
     return rounded(TR.ftle(_frozen(s, d), TRACE, res, BOX, 0.0, (0.1, 0.1, 0.1), 0.03, scheme="rk4", dt=0.005), ["gx", "gy"], ["ftle"])
 
 
@@ -149,9 +149,9 @@ def _flow_sql(source: str, steps: int) -> str:
     return f"{ctes(trace('rk4', 0.01, 0.01 * steps, most=None, hold=True), wide, seeds=seed)} {rows}"
 
 
-@query("trj8_flow_graph", _flow_sql("nation", 8))
+@query("trj8_flow_graph", _flow_sql("customer", 8))
 def _(s, d):
-    n = table(s, d, "nation").count()
+    n = table(s, d, "customer").count()
     unit = seeds.seed_random(s, n, ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
     return rounded(TR.flow_graph(_frozen(s, d), TRACE, unit, 0.01, 8), ["bx", "by", "bz", "dir"], ["freq"])
 
@@ -205,10 +205,10 @@ def _(s, d):
     return VOL.read_lines(s, at, 3).select("line_id", "seq", "x")
 
 
-@query("src9_flow_graph", _flow_sql("region", 2))
+@query("src9_flow_graph", _flow_sql("supplier", 2))
 def _(s, d):
     at = _folder(s)
-    unit = seeds.seed_random(s, table(s, d, "region").count(), ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
+    unit = seeds.seed_random(s, table(s, d, "supplier").count(), ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
     VOL.write_flow_graph(TR.flow_graph(_frozen(s, d), TRACE, unit, 0.01, 2), at)
     return rounded(VOL.read_flow_graph(s, at, TRACE), ["bx", "by", "bz", "dir"], ["freq"])
 
@@ -283,9 +283,9 @@ def _(s, d):
     return rounded(TR.trace_progress(TR.trace_stream(_frozen(s, d), TRACE, _seeds(s, d), scheme="rk4", dt=0.005, max_age=0.03)[1], 64, 0.03), [], ["progress"])
 
 
-@query("src13_vortex", "WITH n AS (SELECT CAST(count(*) AS INT) n FROM nation), a AS (SELECT CAST(row_number() OVER ()-1 AS INT) i FROM nation) SELECT 0 t,x.i x,y.i y,z.i z," + rr("-(2*(y.i+0.5)/n-1)", "u") + "," + rr("2*(x.i+0.5)/n-1", "v") + ",0.0 w FROM a x,a y,a z,n")
+@query("src13_vortex", "WITH n AS (SELECT CAST(CAST(floor(sqrt(count(*))) AS BIGINT) AS INT) n FROM customer), a AS (SELECT CAST(i AS INT) i FROM (SELECT unnest(range(CAST(floor(sqrt(count(*))) AS BIGINT))) i FROM customer)) SELECT 0 t,x.i x,y.i y,z.i z," + rr("-(2*(y.i+0.5)/n-1)", "u") + "," + rr("2*(x.i+0.5)/n-1", "v") + ",0.0 w FROM a x,a y,a z,n")
 def _(s, d):
-    n = table(s, d, "nation").count()
+    n = I.isqrt(table(s, d, "customer").count())
     return rounded(VOL.synth_vortex(s, n, n, n), ["t", "x", "y", "z"], ["u", "v", "w"])
 
 
