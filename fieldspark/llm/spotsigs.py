@@ -41,7 +41,7 @@ def by_letters(words: list[str]) -> str:
 
 
 def signatures(text: Column) -> Column:
-    """Distinct signatures of a text, as 32-bit hashes, ascending.
+    """Distinct signatures of a text, as 64-bit hashes, ascending.
 
     The text is cut at its anchors. What lies between two of them is content words alone, so an anchor's chain is the first
     CHAIN words of the pieces that follow it; each piece but the last has a word at least.
@@ -56,9 +56,9 @@ def signatures(text: Column) -> Column:
         for k in range(2, CHAIN + 1):
             found = F.zip_with(found, after(k), lambda a, b: F.concat_ws(" ", a, b))
         heads = F.transform(found, lambda s: F.substring_index(F.trim(s), " ", CHAIN))
-        return F.array_sort(F.array_distinct(F.transform(F.filter(heads, lambda s: F.instr(s, " ") > 0), lambda s: F.hash(s))))
+        return F.array_sort(F.array_distinct(F.transform(F.filter(heads, lambda s: F.instr(s, " ") > 0), lambda s: F.xxhash64(s))))
 
-    whole = F.when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text, F.lit("whole"))))
+    whole = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text, F.lit("whole"))))
     return once(once(pieces, chains), lambda spots: F.when(F.size(spots) > 0, spots).otherwise(whole))
 
 
@@ -74,7 +74,7 @@ def fingerprint(spots: Column) -> Column:
 
 def spots_of(fingerprint: Column) -> Column:
     """The signatures of a fingerprint."""
-    return F.when(fingerprint == "", F.array().cast("array<int>")).otherwise(F.split(fingerprint, " ").cast("array<int>"))
+    return F.when(fingerprint == "", F.array().cast("array<bigint>")).otherwise(F.split(fingerprint, " ").cast("array<bigint>"))
 
 
 def likeness(a: Column, b: Column) -> Column:
