@@ -36,6 +36,9 @@ def neighbour(col: str, axis: str, k: int, boundary: str = "clamp", size: int |
         value = F.first(col).over(w.rangeBetween(k, k)) if k else F.col(col)
     if boundary == "null" or not k:
         return value
+    if boundary == "clamp" and abs(k) == 1:  # only the border cell itself looks beyond the border
+        last = (F.col(axis) == (size - 1 if k > 0 else 0)) if size else step(axis).over(w).isNull()
+        return F.when(last, F.col(col)).otherwise(value)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     top = F.lit(size - 1) if size else (F.max(axis).over(whole) if k > 0 else F.lit(0))
     low = F.lit(0) if size else (F.min(axis).over(whole) if k < 0 else F.lit(0))
