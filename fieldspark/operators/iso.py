@@ -76,6 +76,24 @@ def transmittance(alpha: Column, axis: str) -> Column:
     return F.when(clear, F.exp(F.coalesce(logs, F.lit(0.0)))).otherwise(0.0)
 
 
+def with_transmittance(df: DataFrame, alpha: Column, axis: str, cells: int, name: str = "pass") -> DataFrame:
+    """df with transmittance(), by bricks of so many cells along the axis.
+
+    A brick and pencil has one product, and these meet in a window of the pencil's bricks; within a brick the window is the
+    brick's. So no task holds a pencil's cells.
+    """
+    keys = PENCIL[axis]
+    rows = df.withColumns({"_brick": F.floor(F.col(axis) / cells).cast("int"), "_alpha": alpha})
+    shut, clear = F.max((F.col("_alpha") >= 1.0).cast("int")), F.sum(F.when(F.col("_alpha") < 1.0, F.log1p(-F.col("_alpha"))).otherwise(0.0))
+    whole = rows.groupBy(*keys, "_brick").agg(shut.alias("_shut"), clear.alias("_log"))
+    earlier = Window.partitionBy(*keys).orderBy("_brick").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*keys, "_brick", F.coalesce(F.max("_shut").over(earlier), F.lit(0)).alias("_shut"), F.coalesce(F.sum("_log").over(earlier), F.lit(0.0)).alias("_log"))
+    inner = Window.partitionBy(*keys, "_brick").orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_own_shut": F.coalesce(shut.over(inner), F.lit(0)), "_own_log": F.coalesce(clear.over(inner), F.lit(0.0))}).join(whole, [*keys, "_brick"])
+    value = F.when(F.greatest("_shut", "_own_shut") == 1, 0.0).otherwise(F.exp(F.col("_log") + F.col("_own_log")))
+    return rows.select(*[F.col(c) for c in df.columns if c != name], value.alias(name))
+
+
 def composite(df: DataFrame, axis: str, clip: tuple[float, float] | None = None) -> DataFrame:
     """Front-to-back sum of (r, g, b, a) along an axis: a colour for each pencil; clip: the closed depth range that counts."""
     if clip:

@@ -254,6 +254,11 @@ for _name, _clip in (("iso9_by_bricks", None), ("iso10_by_bricks", (2, 5))):
     query(_name, ORACLES["iso10_clipped" if _clip else "iso9_composite"])(lambda s, d, clip=_clip: rounded(ISO.composite_bricks(_shaded(s, d), "z", INFO.core, clip), ["t", "x", "y"], list("rgba")))
 
 
+@query("win5_by_bricks", ORACLES["win5_transmittance"])
+def _(s, d):
+    return rounded(ISO.with_transmittance(grid(s, d), F.col("v") / 20.0, "z", INFO.core), ["t", "x", "y", "z"], ["pass"])
+
+
 @query("flt3_four_radii", f"WITH {G}, " + ", ".join(_B3(r, f"r{r}") for r in (1, 2, 4, 8)) + " " + " UNION ALL ".join(f"SELECT {k} \"level\",t,x,y,z,{rr('u', 'u')} FROM {src}" for k, src in enumerate(["g", "f3r1", "f3r2", "f3r4", "f3r8"])))
 def _(s, d):
     return rounded(smoothing.filter_pyramid(grid(s, d), ["u"], [1, 2, 4, 8]), ["level", "t", "x", "y", "z"], ["u"])

@@ -79,6 +79,11 @@ def test_bricks_over_one_another_are_the_ray(spark, opaque):
     for clip in (None, (3.0, 15.0)):
         one, two = rows(ISO.composite(df, "z", clip)), rows(ISO.composite_bricks(df, "z", 6, clip))
         assert one.keys() == two.keys() and all(np.allclose(one[k], two[k], atol=1e-12) for k in one)
+    alone = {(r.x, r.y, r.z): r["pass"] for r in df.withColumn("pass", ISO.transmittance(F.col("a"), "z")).collect()}
+    bricks = ISO.with_transmittance(df, F.col("a"), "z", 6)
+    assert bricks.columns == [*df.columns, "pass"]
+    got = {(r.x, r.y, r.z): r["pass"] for r in bricks.collect()}
+    assert got.keys() == alone.keys() and all(abs(got[k] - alone[k]) < 1e-12 for k in got)
 
 
 @pytest.mark.parametrize("edge", ["zero", "shrink", "clamp"])
