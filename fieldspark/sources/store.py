@@ -227,9 +227,9 @@ def read(spark: SparkSession, path: str, bricks: DataFrame | None = None, ghosts
             parts = F.when(F.col("t") == t, part_of(info, morton(info), m["parts"])).otherwise(parts)
         wanted = near.select("t", parts.alias("part")).distinct().limit(MOST_PATHS + 1).collect()
         if len(wanted) <= MOST_PATHS:
-            paths = [f"{at}/store_step={live[r.t]['step']}/store_part={r.part}" for r in sorted(wanted)]
             files = Files(spark, path)
-            paths = [p for p in paths if files.fs.exists(files.at(p))]
+            there = {t: set(files.names(f"voxels/store_step={live[t]['step']}")) for t in {r.t for r in wanted}}  # a listing for each step
+            paths = [f"{at}/store_step={live[r.t]['step']}/store_part={r.part}" for r in sorted(wanted) if f"store_part={r.part}" in there[r.t]]
     any_step = spark.read.option("basePath", at).parquet(f"{at}/store_step={next(iter(live.values()))['step']}")
     cells = spark.read.option("basePath", at).schema(any_step.schema).parquet(*paths) if paths else any_step.where("false")
     cells = cells.drop("store_step", "store_part", "store_morton")
