@@ -361,6 +361,57 @@ def test_seating_is_that_of_the_exact_distribution():
     assert abs(t.mean() - (1 + alpha / (alpha + 1 - d))) < 0.01
 
 
+def seatings(c, d):
+    """What c customers at 1, 2, ... tables weigh, by the sizes of all tables of all seatings."""
+    found = {(): 1.0}
+    for _ in range(c):
+        more = {}
+        for sizes, weight in found.items():
+            for k in range(len(sizes) + 1):
+                now = tuple(sorted((*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]) if k < len(sizes) else (*sizes, 1)))
+                more[now] = more.get(now, 0) + weight * (sizes[k] - d if k < len(sizes) else 1)
+        found = more
+    return np.array([sum(x for sizes, x in found.items() if len(sizes) == t + 1) for t in range(c)])
+
+
+def ways(c, d):
+    """The same up to a factor, for many customers, who come one after the other."""
+    logs, t = np.full(c + 1, -np.inf), np.arange(c + 1)
+    logs[1] = 0
+    for n in range(1, c):
+        logs[1:] = np.logaddexp(logs[:-1], logs[1:] + np.log(np.maximum(n - d * t[1:], 1e-300)))
+    return logs[1:]
+
+
+@pytest.mark.parametrize("d", [0.8, 0.5])
+@pytest.mark.parametrize("c, alpha", [(7, 1.5), (30, 0.4), (300, 2.0), (1024, 9.0), (1025, 9.0), (2500, 0.5), (2500, 40.0)])
+def test_all_customers_of_a_dish_are_seated_anew(c, alpha, d):
+    # with a few moved customers the tables stay near those to begin with, and spread too little
+    n = 3000
+    t = hpy.seat(np.full(n, c), np.full(n, alpha), d, np.arange(n).astype(np.uint64))
+    logs = np.log(seatings(c, d)) if c < 10 else ways(c, d)
+    p = logs + np.log(alpha) * np.arange(1, c + 1)
+    p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+    got = np.bincount(t.astype(int).ravel(), minlength=c + 1)[1:] / t.size
+    assert np.abs(np.cumsum(got) - np.cumsum(p)).max() < 0.025
+
+
+def test_weights_of_many_customers_are_exact():
+    for d, c, alpha in ((0.8, 1024, 0.3), (0.8, 1024, 60.0), (0.8, 2500, 2000.0), (0.5, 1024, 0.5), (0.5, 2500, 30.0), (0.8, 2500, 1e-12)):
+        first, weight = hpy.many_customers(c, alpha, d)
+        p = ways(c, d) + np.log(alpha) * np.arange(1, c + 1)
+        p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+        got = np.zeros(c)
+        got[first - 1 : first - 1 + len(weight)] = weight / weight.sum()
+        assert np.abs(got - p).max() < 1e-9
+    for c, alpha in ((10**5, 3.0), (10**8, 100.0), (10**10, 0.5)):  # for d = 1/2 the ratio of neighbours is known
+        first, weight = hpy.many_customers(c, alpha, 0.5)
+        t = np.arange(1.0, first + len(weight) - 1)
+        logs = np.r_[0, np.cumsum(np.log(4 * alpha * (c - t) / ((2 * c - t - 1) * t)))]
+        p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert np.abs(p[first - 1 :] - weight / weight.sum()).max() < 1e-10
+
+
 PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
