@@ -348,6 +348,29 @@ def test_scores_are_near_those_of_a_brute_force_sampler(spark):
     assert abs(mean - brute_seating(pairs, 30, 1)) < 0.03 * abs(mean)
 
 
+def test_the_hierarchy_is_sampled_jointly(spark):
+    # with one draw, given a table for each other dish and the parent as it was, the mean is off by a hundredth
+    r = random.Random(12)
+    rows = [(k, " ".join(r.choice(["the", "the", "of"] + [f"w{int(r.paretovariate(0.8))}" for _ in range(3)]) for _ in range(40))) for k in range(60)]
+    rows = [(i, t) for i, t in rows if not hpy.held_out(i)]
+    pairs = [p for _, t in rows for p in zip([None, *t.split()], [*t.split(), ""], strict=True)]
+    got = hpy.language_model(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), 4, sweeps=16, samples=10).collect()
+    mean = sum(x.score for x in got) / len(pairs)
+    assert abs(mean - brute_seating(pairs, 100, 1)) < 0.002 * abs(mean)
+
+
+def test_random_draws_have_their_moments():
+    key = np.arange(200_000).astype(np.uint64)
+    for a in (0.5, 1.0, 3.0, 2500.0):
+        x = hpy.gamma(np.full(len(key), a), key)
+        assert abs(x.mean() / a - 1) < 0.02 and abs(x.var() / a - 1) < 0.03
+        assert abs(np.exp(-x / a).mean() / (1 + 1 / a) ** -a - 1) < 0.01
+        x = hpy.inverse_gauss(a, key)
+        assert abs(x.mean() / (a / 2) - 1) < 0.02 and abs(x.var() / (a / 4) - 1) < 0.03
+        assert abs(np.exp(-x / a).mean() / np.exp(-a * (np.sqrt(1 + 1 / a) - 1)) - 1) < 0.01
+    assert (hpy.gamma(np.zeros(3), key[:3]) == 0).all()
+
+
 def test_seating_keeps_to_its_customers():
     c = np.array([0, 1, 2, 5, 12, 40, 5000])
     t = hpy.seat(c, np.full(len(c), 0.5), 0.8, np.arange(len(c)).astype(np.uint64))
