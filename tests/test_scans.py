@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldspark.operators import iso as ISO
 from fieldspark.operators import quantize as Q
 from fieldspark.operators import select as S
-from fieldspark.operators import smoothing, stats, stencil
+from fieldspark.operators import ranges, smoothing, stats, stencil
 
 
 @pytest.mark.parametrize("exclusive", [False, True])
@@ -115,3 +115,41 @@ def test_nothing_crosses_a_gap(spark):
     assert ISO.transitions(ISO.classify_iso(df, "u", 5.0), "inside", "z").count() == 1
     assert [r.d for r in stencil.derivative(df, "u", "z", out="d", size=8).orderBy("z").collect()] == [None, None, None]
     assert df.where(F.col("u") > 99).count() == stencil.derivative(df.where("u > 99"), "u", "z").count() == 0
+
+
+def test_sums_in_boxes_are_those_of_all_pairs(spark):
+    r = random.Random(8)
+    inf, nan = float("inf"), float("nan")
+    pts = [(r.choice([k, None]), r.randint(0, 30) / 4.0, r.gauss(0, 1), 0.5 if k % 3 else r.random()) for k in range(900)]
+    pts += [(k * 2**40 - 2**44, 3.25, 0.125, 0.5) for k in range(700)]  # a crowded place
+    pts += [(k, 5.0 + k * 1e-9, 0.25, 0.5) for k in range(300)] + [(1, None, 0.0, 0.0), (7, inf, 0.0, 0.0), (9, -inf, 0.0, 0.5), (3, nan, 0.0, 0.0)]
+    boxes = []
+    for k in range(200):
+        lo = [r.uniform(-2, 9), r.uniform(-3, 3), r.uniform(-0.5, 1)]
+        boxes.append((k if k % 9 else None, *lo, *[v + r.choice([0.0, 1e-9, 0.3, 2.0, 20.0]) for v in lo]))
+    boxes += [(500, -inf, -inf, -inf, inf, inf, inf), (501, 3.25, 0.125, 0.5, 3.5, 0.25, 0.75), (502, 0.0, -1.0, 0.0, None, 1.0, 1.0), (503, 9.0, 0.0, 0.0, 8.0, 1.0, 1.0)]
+    names = ["box", *[f"{e}_{a}" for e in ("lo", "hi") for a in "xyz"]]
+    p, b = spark.createDataFrame(pts, "pid long, x double, y double, z double"), spark.createDataFrame(boxes, ", ".join(f"{c} {'long' if c == 'box' else 'double'}" for c in names))
+    want = {}
+    for box in boxes:
+        hits = [q for q in pts if None not in (*box[1:], *q[1:]) and all(box[1 + k] <= q[1 + k] < box[4 + k] for k in range(3))]
+        if hits:
+            n, total = want.get(box[0], (0, None))
+            own = [q[0] for q in hits if q[0] is not None]
+            want[box[0]] = (n + len(hits), (total or 0) + sum(own) if own else total)
+    for places, boxes_a_task in ((1024, 50_000), (32, 20), (8, 50_000)):
+        got = ranges.sums_in_boxes(p, b, "box", ["pid"], places, boxes_a_task)
+        assert got.columns == ["box", "n", "pid"]
+        assert {x.box: (x.n, x.pid) for x in got.collect()} == want
+    assert ranges.sums_in_boxes(p.where("false"), b, "box", ["pid"]).count() == 0
+    assert ranges.sums_in_boxes(p, b.where("false"), "box", ["pid"]).count() == 0
+
+
+def test_boxes_of_orders_list_no_pairs(spark, monkeypatch):
+    from fieldspark.plans import catalog
+
+    def pairs(*_):
+        raise AssertionError("a row for each point of each box")
+
+    monkeypatch.setattr(S, "points_in_boxes", pairs)
+    assert catalog.queries()["jon6_order_boxes"](spark, "/root/testdata/sf0.001").count() > 0
