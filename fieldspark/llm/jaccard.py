@@ -197,10 +197,10 @@ def link_rows(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFr
     some = rows.where("digest is not null")
     heads = some.select("digest", F.explode("prefix").alias("h")).distinct()
     least = heads.groupBy("h").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1")
-    blocks = components(heads.join(least, "h").select(F.col("digest").alias("a"), "b").distinct())
+    blocks = components(heads.join(least.hint("merge"), "h").select(F.col("digest").alias("a"), "b").distinct())
     large = blocks.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = blocks.join(large, "comp").select(F.col("node").alias("digest"), "comp", F.when(F.col("size") <= CHUNK, 1).otherwise(F.ceil(F.sqrt(F.col("size") * 8 / CHUNK))).cast("int").alias("chunks"))
-    sets = some.groupBy("digest").agg(F.first("items").alias("items")).join(blocks, "digest")
+    blocks = blocks.join(large.hint("merge"), "comp").select(F.col("node").alias("digest"), "comp", F.when(F.col("size") <= CHUNK, 1).otherwise(F.ceil(F.sqrt(F.col("size") * 8 / CHUNK))).cast("int").alias("chunks"))
+    sets = some.groupBy("digest").agg(F.first("items").alias("items")).join(blocks.hint("merge"), "digest")
     own = F.pmod(F.xxhash64("digest"), F.col("chunks"))
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.expr("filter(sequence(0L, cast(chunks - 1 as bigint)), x -> x <> own)"))))
     sets = sets.select("digest", "items", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "chunks")
@@ -218,10 +218,10 @@ def link_rows(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFr
 
     edges = sets.groupBy("deal").applyInPandas(join, "a long, b long").where("a <> b")
     comps = components(edges)
-    every = rows.select("doc_id", "text_key", "n_shingles", "digest").join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    every = rows.select("doc_id", "text_key", "n_shingles", "digest").join(comps.withColumnRenamed("node", "digest").hint("merge"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     linked = every.where("comp is not null")
     least = linked.groupBy("comp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
-    linked = linked.join(least, "comp").select("doc_id", "text_key", "n_shingles", "least")
+    linked = linked.join(least.hint("merge"), "comp").select("doc_id", "text_key", "n_shingles", "least")
     return linked.unionByName(rows.where("digest is null").select("doc_id", "text_key", "n_shingles", F.struct("doc_id", "text_key").alias("least")))
 
 

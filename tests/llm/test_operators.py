@@ -548,3 +548,14 @@ def test_pipeline_keeps_clean_documents(spark):
             seen.append(docs.count())
     assert seen == sorted(seen, reverse=True) and docs.count() == seen[-1] and seen[1] > 0.6 * seen[0]
     assert isinstance(docs.toPandas(), pd.DataFrame)
+
+
+def test_labels_of_components_pass_no_driver(spark, monkeypatch):
+    # rows few enough for Spark to broadcast them in every round
+    from fieldspark.llm import components as C
+
+    plans, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = spark.range(300).selectExpr("id a", "if(id % 5 = 0, id, id - 1) b")
+    assert {(r.node, r.comp) for r in C.components(edges).collect()} == {(k, k - k % 5) for k in range(300)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
